@@ -14,6 +14,8 @@
    classes or BLOCK_SHINGLES shingles is dealt into blocks and every two blocks are compared, so no task holds an
    unbounded group and no link inside a cluster is lost.
 
+Joins with whole-corpus tables are always sort-merge joins, so the plan and its disk use are alike at every size.
+
 Nulls and texts without words have an empty set and are linked with nothing. Rows that share a doc_id count as one
 document; a null doc_id never stands for a class. An empty table gives no rows. Other columns are ignored.
 """
@@ -218,9 +220,9 @@ def candidate_clusters(reps: DataFrame) -> DataFrame:
     for depth in range(1, DEPTH + 1):
         rows = rows.distinct() if depth > 1 else rows
         sizes = rows.groupBy("node").agg(F.count("*").alias("n")).where("n > 1")
-        nodes = written(rows.join(sizes, "node"))
+        nodes = written(rows.join(sizes.hint("merge"), "node"))
         old.append(nodes)
-        full = nodes.where(F.col("n") <= LEAF).join(reps, "rep").select("node", "rep", "tokens")
+        full = nodes.where(F.col("n") <= LEAF).join(reps.hint("merge"), "rep").select("node", "rep", "tokens")
         found.append(full.repartition("node").sortWithinPartitions("node").mapInArrow(_leaves, "a long, b long"))
         large = nodes.where(F.col("n") > LEAF)
         if large.isEmpty():
@@ -247,7 +249,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     rows = written(docs.mapInArrow(_sketch, "doc_id long, n_shingles long, digest binary, tokens binary"))
     classes = rows.where("digest is not null").groupBy("digest").agg(F.min("doc_id").alias("rep")).where("rep is not null")
-    per_class = rows.join(classes, (rows.digest == classes.digest) & (rows.doc_id == classes.rep)).select("rep", "tokens", "n_shingles").dropDuplicates(["rep"])
+    per_class = rows.join(classes.hint("merge"), (rows.digest == classes.digest) & (rows.doc_id == classes.rep)).select("rep", "tokens", "n_shingles").dropDuplicates(["rep"])
     reps = written(per_class)
     clusters = written(candidate_clusters(reps.select("rep", "tokens")).join(reps.select(F.col("rep").alias("v"), "n_shingles"), "v").select(F.col("root").alias("cluster"), F.col("v").alias("rep"), "n_shingles"))
     blocks = clusters.groupBy("cluster").agg(F.greatest(F.ceil(F.count("*") / BLOCK_SETS), F.ceil(F.sum("n_shingles") / BLOCK_SHINGLES)).cast("int").alias("n_blocks"))
@@ -258,12 +260,12 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         .where("n_blocks = 1 or own <> other")
         .select("cluster", "rep", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
     )
-    texts = docs.select(F.col("doc_id").alias("rep"), "text").join(dealt, "rep").select("cluster", "i", "j", "rep", "text")
+    texts = docs.select(F.col("doc_id").alias("rep"), "text").join(dealt.hint("merge"), "rep").select("cluster", "i", "j", "rep", "text")
     sets = texts.mapInArrow(_sets, "cluster long, i int, j int, rep long, shingles binary")
     links = sets.repartition("cluster", "i", "j").sortWithinPartitions("cluster", "i", "j").mapInArrow(_decide, "a long, b long")
     roots = written(components(links))
     named = classes.join(roots, classes.rep == roots.v, "left").select(classes.digest, F.coalesce("root", "rep").alias("component_id"))
-    out = rows.select("doc_id", "n_shingles", "digest").join(named, "digest", "left")
+    out = rows.select("doc_id", "n_shingles", "digest").join(named.hint("merge"), "digest", "left")
     return out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
