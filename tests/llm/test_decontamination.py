@@ -17,9 +17,10 @@ def brute(docs, items):
     out = {}
     for d, t in docs:
         w = words(t)
+        seen = set(bag(w)) | {tuple(w[a : a + n]) for n in range(1, 5) for a in range(len(w) - n + 1)}
         for i, x in items:
             y = words(x)
-            if not y:
+            if not y or not seen & set(bag(y)):
                 continue
             best = 0
             for a in range(len(w) - len(y) + 1):
