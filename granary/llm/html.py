@@ -12,7 +12,8 @@ text elements of an article stay even where all pages of a host repeat them. Whe
 element, only its text counts.
 
 The style tree is two aggregations with map-side combining, so a host with a third of all pages is no hot task; low
-nodes are joined back by (host, path) and nothing is broadcast or collected. Pages of a host with equal html count once.
+nodes are joined back by (host, path) and nothing is broadcast or collected. Pages are parsed twice, for the tree and
+for the text, which costs less disk than keeping their blocks. Pages of a host with equal html count once.
 
 Null and empty html give an empty text. Repeated rows get equal results. A url without a host is a host of its own.
 """
@@ -166,23 +167,26 @@ def parse(html: str) -> tuple[list[tuple[str, tuple[int, ...]]], list[tuple[int,
     return kept, nodes
 
 
-_PARSED = "page_id long, url string, row_key long, host string, html_key long, blocks array<struct<text: string, chain: array<bigint>>>, nodes array<struct<path: bigint, presentation: bigint, content: bigint>>"
+_NODES = "row_key long, host string, html_key long, nodes array<struct<path: bigint, presentation: bigint, content: bigint>>"
 
 
-def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    block = pa.list_(pa.struct([("text", pa.string()), ("chain", pa.list_(pa.int64()))]))
+def _nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     node = pa.list_(pa.struct([("path", pa.int64()), ("presentation", pa.int64()), ("content", pa.int64())]))
     for batch in by_bytes(batches, "html"):
-        urls = batch.column("url").to_pylist()
         pages = batch.column("html").to_pylist()
-        parsed = [parse(h or "") for h in pages]
+        hosts = pa.array([host_of(u) for u in batch.column("url").to_pylist()], pa.string())
         keys = np.array([xxhash.xxh64_intdigest(h or "") for h in pages], np.uint64).view(np.int64)
-        row_keys = np.array([xxhash.xxh64_intdigest(f"{u}\0{i}\0{k}") for u, i, k in zip(urls, batch.column("page_id").to_pylist(), keys.tolist())], np.uint64).view(np.int64)
-        yield pa.RecordBatch.from_arrays(
-            [batch.column("page_id"), batch.column("url"), pa.array(row_keys), pa.array([host_of(u) for u in urls], pa.string()), pa.array(keys)]
-            + [pa.array([[{"text": t, "chain": c} for t, c in b] for b, _ in parsed], block), pa.array([[{"path": p, "presentation": s, "content": c} for p, s, c in x] for _, x in parsed], node)],
-            ["page_id", "url", "row_key", "host", "html_key", "blocks", "nodes"],
-        )
+        nodes = pa.array([[{"path": p, "presentation": s, "content": c} for p, s, c in parse(h or "")[1]] for h in pages], node)
+        yield pa.RecordBatch.from_arrays([batch.column("row_key"), hosts, pa.array(keys), nodes], ["row_key", "host", "html_key", "nodes"])
+
+
+def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in by_bytes(batches, "html"):
+        texts = []
+        for page, low in zip(batch.column("html").to_pylist(), batch.column("low").to_pylist()):
+            gone = frozenset(low or ())
+            texts.append("\n\n".join(t for t, chain in parse(page or "")[0] if gone.isdisjoint(chain)))
+        yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string())], ["page_id", "url", "text"])
 
 
 def style_tree(parsed: DataFrame) -> DataFrame:
@@ -198,10 +202,10 @@ def style_tree(parsed: DataFrame) -> DataFrame:
 def extract(pages: DataFrame) -> DataFrame:
     """page_id, url, text, n_chars of every page."""
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
-    parsed = written(rows.mapInArrow(_parse, _PARSED))
+    rows = rows.withColumn("row_key", F.xxhash64("page_id", "url", "html"))
+    parsed = written(rows.select("row_key", "url", "html").mapInArrow(_nodes, _NODES))
     low = style_tree(parsed).where((F.col("pages") >= MIN_PAGES) & (F.col("importance") < LOW_IMPORTANCE)).select("host", "path")
     own = parsed.select("row_key", "host", F.explode("nodes.path").alias("path"))
     removed = own.join(low, ["host", "path"]).groupBy("row_key").agg(F.collect_set("path").alias("low"))
-    joined = parsed.select("page_id", "url", "row_key", "blocks").join(removed, "row_key", "left")
-    kept = F.expr("transform(filter(blocks, b -> low is null or not coalesce(arrays_overlap(b.chain, low), false)), b -> b.text)")
-    return joined.select("page_id", "url", F.array_join(kept, "\n\n").alias("text")).withColumn("n_chars", F.length("text").cast("long"))
+    out = rows.join(removed.hint("merge"), "row_key", "left").mapInArrow(_texts, "page_id long, url string, text string")
+    return out.withColumn("n_chars", F.length("text").cast("long"))
