@@ -1,6 +1,607 @@
-"""Every query of the storage-analytics side, with the DuckDB SQL that checks it."""
+"""Every query of the storage-analytics side, with the DuckDB SQL that checks it.
+
+Files are `documents`, their blocks are BLOCK characters long; names and directories come from page urls; `events` is a
+log of writes. Each query calls the operator of its name on whole tables.
+"""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
+import tempfile
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from granary.functions import codec, scalar
+from granary.operators import checks, content, relational, stats, tree, versions
+from granary.operators.storage import saved, shared_folder
+from granary.plans.schema import CONTROL, DIRECTORY, REGULAR, ROOT, SYMLINK, Tables
+from granary.sources import store
+from granary.streaming import flows
+
+BLOCK = 1024
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
+
+
+def _query(sql: str | None = None):
+    def register(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE[f.__name__] = sql
+        return f
+
+    return register
+
+
+def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def _blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return content.with_hash(content.chunk(_t(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id", "text", BLOCK))
+
+
+def _seconds(c: str = "ts"):
+    return F.unix_timestamp(F.col(c).cast("timestamp"))
+
+
+_B = f"b AS (SELECT doc_id, blockno, substr(text, blockno * {BLOCK} + 1, {BLOCK}) AS data FROM (SELECT doc_id, text, unnest(range((length(text) + {BLOCK - 1}) // {BLOCK})) AS blockno FROM documents)), h AS (SELECT doc_id, blockno, data, length(data) AS length, sha256(data) AS hash FROM b)"
+_SEG = "seg AS (SELECT page_id, unnest(string_split(regexp_replace(regexp_replace(url, '^[a-z]+://', ''), '[?#].*$', ''), '/')) AS name FROM pages)"
+_URL_TREE = "p AS (SELECT DISTINCT string_split(rtrim(regexp_replace(regexp_replace(url, '^[a-z]+://', ''), '[?#].*$', ''), '/'), '/') AS s FROM pages), e AS (SELECT DISTINCT array_to_string(s[1:i], '/') AS parent, array_to_string(s[1:i+1], '/') AS child FROM (SELECT s, unnest(range(1, len(s))) AS i FROM p))"
+
+
+# --- content -------------------------------------------------------------------------------------------------
+
+
+@_query(f"WITH {_B} SELECT (SELECT count(*) FROM documents) AS files, sum(n)::BIGINT AS blocks, count(*) AS objects, sum(n * length)::BIGINT AS total_size, sum(length)::BIGINT AS unique_size, round(100.0 * sum(length) / sum(n * length), 4) AS dedup_pct FROM (SELECT hash, count(*) AS n, max(length) AS length FROM h GROUP BY hash)")
+def dedup_stats(spark, sf_dir):
+    return content.dedup_stats(_blocks(spark, sf_dir), _t(spark, sf_dir, "documents").select("doc_id"))
+
+
+@_query(f"WITH {_B} SELECT doc_id, blockno::BIGINT AS blockno, length, hash FROM h")
+def block_map(spark, sf_dir):
+    return _blocks(spark, sf_dir).select("doc_id", "blockno", "length", "hash")
+
+
+@_query(f"WITH {_B} SELECT hash, count(*) AS refcount, max(length) AS length FROM h GROUP BY hash")
+def object_table(spark, sf_dir):
+    return content.object_table(_blocks(spark, sf_dir))
+
+
+@_query(f"WITH {_B} SELECT hash, count(*) AS refcount, max(length) AS length FROM h GROUP BY hash HAVING count(*) > 1")
+def shared_blocks(spark, sf_dir):
+    return content.object_table(_blocks(spark, sf_dir)).where("refcount > 1")
+
+
+@_query(f"WITH {_B} SELECT hash, sum(CASE WHEN doc_id % 2 = 0 THEN 1 ELSE 0 END + CASE WHEN doc_id % 2 = 1 THEN 1 ELSE 0 END)::BIGINT AS refcount, CASE WHEN max(CASE WHEN doc_id % 2 = 0 THEN 1 ELSE 0 END) = 1 THEN 100 ELSE -1 END AS phys_size, max(length) AS length FROM h GROUP BY hash")
+def dedup_insert(spark, sf_dir):
+    blocks = _blocks(spark, sf_dir)
+    old = content.object_table(blocks.where("doc_id % 2 = 0")).withColumn("phys_size", F.lit(100).cast("long"))
+    return content.dedup_insert(old.select("hash", "refcount", "phys_size", "length"), blocks.where("doc_id % 2 = 1")).withColumn("phys_size", F.col("phys_size").cast("int"))
+
+
+@_query(f"WITH {_B}, o AS (SELECT hash, count(*) AS n, count(*) FILTER (doc_id % 3 = 0) AS gone, max(length) AS length FROM h GROUP BY hash) SELECT hash, n - gone AS refcount FROM o WHERE n > gone")
+def dereference(spark, sf_dir):
+    blocks = _blocks(spark, sf_dir)
+    left, _ = content.dereference(content.object_table(blocks).withColumn("phys_size", F.col("length")), blocks.where("doc_id % 3 = 0").select("hash"))
+    return left.select("hash", "refcount")
+
+
+@_query(f"WITH {_B} SELECT hash, CASE WHEN hash LIKE '%0' THEN count(*) + 1 ELSE count(*) END AS refcount, count(*) AS counted FROM h GROUP BY hash HAVING hash LIKE '%0'")
+def refcount_mismatch(spark, sf_dir):
+    blocks = _blocks(spark, sf_dir)
+    stored = content.object_table(blocks).select("hash", (F.col("refcount") + F.when(F.col("hash").endswith("0"), 1).otherwise(0)).alias("refcount"))
+    counted = content.object_table(blocks).select("hash", F.col("refcount").alias("counted"))
+    return stored.join(counted, "hash", "left").where(~F.col("refcount").eqNullSafe(F.col("counted")))
+
+
+@_query(f"WITH {_B} SELECT count(*) FILTER (hash IS NULL OR hash LIKE '0%') AS failed, count(DISTINCT CASE WHEN hash NOT LIKE '0%' THEN hash END) AS objects FROM h")
+def failed_uploads(spark, sf_dir):
+    blocks = _blocks(spark, sf_dir).withColumn("hash", F.when(~F.col("hash").startswith("0"), F.col("hash")))
+    return relational.beside(blocks.agg(F.count_if(F.col("hash").isNull()).alias("failed")), content.object_table(blocks).agg(F.count("*").alias("objects")))
+
+
+@_query("SELECT doc_id, encode(text)[1501:4500] AS data FROM documents WHERE octet_length(encode(text)) > 1500")
+def read_range(spark, sf_dir):
+    docs = _t(spark, sf_dir, "documents").select("doc_id", F.col("text").cast("binary").alias("text"))
+    blocks = content.chunk(docs, "doc_id", "text", BLOCK)
+    return content.read_range(blocks, docs.select("doc_id", F.length("text").cast("long").alias("size")), "doc_id", BLOCK, 1500, 3000)
+
+
+@_query(f"WITH {_B} SELECT doc_id, blockno::BIGINT AS blockno, CASE WHEN doc_id % 4 = 0 THEN substr(data, 1, (1500 - blockno * {BLOCK})::INT) ELSE data END AS data FROM h WHERE doc_id % 4 <> 0 OR blockno * {BLOCK} < 1500")
+def truncate_blocks(spark, sf_dir):
+    sizes = _t(spark, sf_dir, "documents").where("doc_id % 4 = 0").select("doc_id", F.lit(1500).cast("long").alias("size"))
+    return content.truncate(_blocks(spark, sf_dir).select("doc_id", "blockno", "data"), sizes, "doc_id", BLOCK)
+
+
+@_query("SELECT doc_id, sha256(substr(rpad(text, 2000, 'x'), 1, 1000) || repeat('B', 100) || substr(rpad(text, 2000, 'x'), 1101, 500) || repeat('C', 30) || substr(rpad(text, 2000, 'x'), 1631, 370)) AS hash FROM documents WHERE length(text) >= 2000")
+def apply_writes(spark, sf_dir):
+    # writes address bytes; texts of one-byte characters keep the two sides comparable
+    plain = _t(spark, sf_dir, "documents").where(F.length("text") >= 2000).select("doc_id", F.substring("text", 1, 2000).alias("text"))
+    base = content.chunk(plain.select("doc_id", F.col("text").cast("binary").alias("text")), "doc_id", "text", BLOCK).select("doc_id", "blockno", "data")
+    at = lambda n: F.octet_length(F.substring("text", 1, n)).cast("long")
+    one = plain.select("doc_id", at(1000).alias("offset"), F.lit("A" * 100).alias("data"), F.lit(1).alias("version"), "text")
+    two = plain.select("doc_id", at(1000).alias("offset"), F.lit("B" * 100).alias("data"), F.lit(2).alias("version"), "text")
+    three = plain.select("doc_id", at(1600).alias("offset"), F.lit("C" * 30).alias("data"), F.lit(3).alias("version"), "text")
+    only = F.octet_length("text") == F.length("text")
+    writes = one.unionByName(two).unionByName(three).where(only).drop("text")
+    new = content.apply_writes(base.join(plain.where(only).select("doc_id"), "doc_id", "left_semi"), writes, "doc_id", BLOCK)
+    return content.read_range(new, plain.where(only).select("doc_id", F.lit(2000).cast("long").alias("size")), "doc_id", BLOCK, 0, 2000).select("doc_id", F.sha2("data", 256).alias("hash"))
+
+
+ORACLE["apply_writes"] += " AND octet_length(encode(substr(text, 1, 2000))) = 2000"
+
+
+@_query("SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN 'missing' WHEN doc_id % 11 = 0 AND length(text) > 0 THEN 'size' WHEN doc_id % 7 = 0 THEN 'hash' ELSE 'ok' END AS status FROM documents")
+def verify_objects(spark, sf_dir):
+    docs = _t(spark, sf_dir, "documents").select("doc_id", F.col("text").cast("binary").alias("data"))
+    objects = docs.select("doc_id", F.length("data").cast("long").alias("length"), F.sha2("data", 256).alias("hash"))
+    damaged = F.when(F.col("doc_id") % 11 == 0, F.substring("data", F.lit(2), F.length("data"))).when(F.col("doc_id") % 7 == 0, F.concat(F.substring("data", F.lit(2), F.length("data")), F.lit("~").cast("binary"))).otherwise(F.col("data"))
+    return content.verify_objects(objects, docs.where("doc_id % 5 <> 0").withColumn("data", damaged), "doc_id")
+
+
+@_query(f"WITH {_B} SELECT doc_id, blockno::BIGINT AS blockno, CASE WHEN doc_id % 3 = 0 THEN 'relink' WHEN doc_id % 3 = 1 THEN 'keep' ELSE 'add' END AS action FROM h WHERE blockno = 0")
+def commit_cache(spark, sf_dir):
+    blocks = _blocks(spark, sf_dir).where("blockno = 0").select(F.col("doc_id").alias("inode"), "blockno", "hash")
+    cached = blocks.withColumn("hash", F.when(F.col("inode") % 3 == 0, F.reverse("hash")).otherwise(F.col("hash")))
+    return content.commit_cache(blocks.where("inode % 3 <> 2"), cached).select(F.col("inode").alias("doc_id"), "blockno", "action")
+
+
+@_query("SELECT doc_id, ['none', 'zlib', 'bzip2', 'lzma'][doc_id % 4 + 1] AS compression, CAST(NULL AS VARCHAR) AS error, sha256(text) AS hash FROM documents")
+def codec_roundtrip(spark, sf_dir):
+    docs = _t(spark, sf_dir, "documents").select("doc_id", F.col("doc_id").cast("string").alias("key"), F.col("text").cast("binary").alias("data"))
+    out = None
+    for k, algorithm in enumerate(codec.ALGORITHMS):
+        phrase = "test phrase" if k % 2 else None
+        stored = codec.encode_objects(docs.where(F.col("doc_id") % 4 == k).select("key", "data"), algorithm, 1, phrase)
+        back = codec.decode_objects(stored, phrase).select(F.col("key").cast("long").alias("doc_id"), F.lit(algorithm).alias("compression"), "error", F.sha2("data", 256).alias("hash"))
+        out = back if out is None else out.unionByName(back)
+    return out
+
+
+# --- relational core -----------------------------------------------------------------------------------------
+
+
+@_query("SELECT o_orderkey FROM orders o WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o.o_orderkey)")
+def dangling_fk(spark, sf_dir):
+    return relational.dangling(_t(spark, sf_dir, "orders"), "o_orderkey", _t(spark, sf_dir, "lineitem"), "l_orderkey").select("o_orderkey")
+
+
+_KEYS = [("nation", "n_regionkey", "region", "r_regionkey"), ("customer", "c_nationkey", "nation", "n_nationkey"), ("supplier", "s_nationkey", "nation", "n_nationkey"), ("orders", "o_custkey", "customer", "c_custkey"), ("lineitem", "l_orderkey", "orders", "o_orderkey"), ("lineitem", "l_partkey", "part", "p_partkey"), ("lineitem", "l_suppkey", "supplier", "s_suppkey"), ("labels", "doc_id", "documents", "doc_id"), ("documents", "doc_id", "labels", "doc_id")]
+
+
+@_query(" UNION ALL ".join(f"SELECT '{a}' AS src_table, '{c}' AS src_column, '{b}' AS dst_table, count(*) AS violations FROM {a} x WHERE {c} IS NOT NULL AND NOT EXISTS (SELECT 1 FROM {b} y WHERE y.{k} = x.{c})" for a, c, b, k in _KEYS))
+def fk_report(spark, sf_dir):
+    return relational.foreign_key_report({n: _t(spark, sf_dir, n) for k in _KEYS for n in (k[0], k[2])}, _KEYS)
+
+
+@_query(f"WITH {_B} SELECT d.doc_id, length(text) - 1 AS size, m.min_size FROM documents d JOIN (SELECT doc_id, max(blockno * {BLOCK} + length)::BIGINT AS min_size FROM h GROUP BY doc_id) m USING (doc_id) WHERE d.doc_id % 3 = 0")
+def min_size_check(spark, sf_dir):
+    t = _file_tables(spark, sf_dir)
+    return checks.detect_sizes(t, BLOCK).select(F.col("id").alias("doc_id"), "size", "min_size")
+
+
+def _file_tables(spark, sf_dir) -> Tables:
+    """Documents as inodes; every third one is recorded one character too small."""
+    docs = _t(spark, sf_dir, "documents")
+    zero = F.lit(0).cast("long")
+    inodes = docs.select(F.col("doc_id").alias("id"), *[zero.alias(c) for c in ("uid", "gid")], F.lit(REGULAR).cast("long").alias("mode"), *[zero.alias(c) for c in ("mtime_ns", "atime_ns", "ctime_ns")], F.lit(1).cast("long").alias("refcount"), (F.length("text") - F.when(F.col("doc_id") % 3 == 0, 1).otherwise(0)).cast("long").alias("size"), zero.alias("rdev"), F.lit(False).alias("locked"))
+    blocks = _blocks(spark, sf_dir).select(F.col("doc_id").alias("inode"), "blockno", F.xxhash64("hash").alias("obj_id"), F.unhex("hash").alias("hash"), "length")
+    objects = blocks.groupBy("obj_id").agg(F.first("hash").alias("hash"), F.count("*").alias("refcount"), F.max("length").alias("length")).select(F.col("obj_id").alias("id"), "hash", "refcount", F.col("length").alias("phys_size"), "length")
+    empty = lambda ddl: spark.createDataFrame([], ddl)
+    return Tables(objects, inodes, blocks.select("inode", "blockno", "obj_id"), empty("inode long, target binary"), empty("id long, name binary, refcount long"), empty("rowid long, name_id long, inode long, parent_inode long"), empty("inode long, name_id long, value binary"))
+
+
+@_query(f"WITH {_SEG} SELECT name, count(*) AS refcount FROM seg GROUP BY name")
+def names_intern(spark, sf_dir):
+    url = F.regexp_replace(F.regexp_replace("url", "^[a-z]+://", ""), "[?#].*$", "")
+    uses = _t(spark, sf_dir, "pages").select(F.explode(F.split(url, "/")).alias("name"))
+    names = uses.distinct().select(F.col("name").alias("id"), F.lit(0).cast("long").alias("refcount"))
+    return relational.recount(names, "id", "refcount", [(uses, "name")]).select(F.col("id").alias("name"), "refcount")
+
+
+@_query("SELECT doc_id, 'documents' AS side FROM (SELECT doc_id FROM documents EXCEPT SELECT doc_id FROM labels) UNION ALL SELECT doc_id, 'labels' FROM (SELECT doc_id FROM labels EXCEPT SELECT doc_id FROM documents)")
+def except_both_ways(spark, sf_dir):
+    return relational.differences(_t(spark, sf_dir, "documents").select("doc_id"), _t(spark, sf_dir, "labels").select("doc_id"), ("documents", "labels"))
+
+
+@_query("SELECT o_orderkey, o_custkey FROM orders WHERE o_orderkey > 1000 ORDER BY o_orderkey LIMIT 100")
+def keyset_page(spark, sf_dir):
+    return relational.keyset_page(_t(spark, sf_dir, "orders").select("o_orderkey", "o_custkey"), "o_orderkey", 1000, 100)
+
+
+@_query("SELECT o_custkey, o_orderkey, rank::INT AS rank FROM (SELECT o_custkey, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) AS rank FROM orders) WHERE rank BETWEEN 2 AND 4")
+def topn_versions(spark, sf_dir):
+    return relational.latest_n(_t(spark, sf_dir, "orders"), ["o_custkey"], [F.desc("o_orderdate"), F.desc("o_orderkey")], 3, 1).select("o_custkey", "o_orderkey", "rank")
+
+
+@_query("SELECT c.event_id, arg_max(p.event_id, row(p.ts, p.event_id)) AS purchase_id FROM events c LEFT JOIN events p ON p.user_id = c.user_id AND p.ts <= c.ts AND p.event_type = 'purchase' WHERE c.event_type = 'click' GROUP BY c.event_id")
+def asof_block(spark, sf_dir):
+    e = _t(spark, sf_dir, "events")
+    return relational.as_of(e.where("event_type = 'click'").select("event_id", "user_id", "ts"), e.where("event_type = 'purchase'"), "user_id", "ts", F.col("event_id"), "purchase_id").select("event_id", "purchase_id")
+
+
+@_query("SELECT user_id, event_type, event_id FROM events QUALIFY row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts DESC, event_id DESC) = 1")
+def upsert_last_wins(spark, sf_dir):
+    return relational.last_wins(_t(spark, sf_dir, "events"), ["user_id", "event_type"], [F.col("ts"), F.col("event_id")]).select("user_id", "event_type", "event_id")
+
+
+@_query("SELECT c_custkey, CASE WHEN c_custkey % 10 = 0 THEN 'NEW' ELSE c_mktsegment END AS c_mktsegment FROM customer WHERE c_custkey % 3 <> 1 OR c_custkey % 10 = 0 UNION ALL SELECT c_custkey + 1000000, 'NEW' FROM customer WHERE c_custkey % 100 = 0")
+def upsert(spark, sf_dir):
+    c = _t(spark, sf_dir, "customer").select("c_custkey", "c_mktsegment")
+    new = c.where("c_custkey % 10 = 0").withColumn("c_mktsegment", F.lit("NEW")).unionByName(c.where("c_custkey % 100 = 0").select((F.col("c_custkey") + 1000000).alias("c_custkey"), F.lit("NEW").alias("c_mktsegment")))
+    return relational.upsert(c.where("c_custkey % 3 <> 1"), new, ["c_custkey"])
+
+
+@_query("SELECT coalesce(a.o_custkey, b.o_custkey) AS o_custkey, coalesce(a.n, 0) + coalesce(b.n, 0) AS n FROM (SELECT o_custkey, count(*) AS n FROM orders WHERE o_orderkey % 2 = 0 GROUP BY 1) a FULL JOIN (SELECT o_custkey, count(*) AS n FROM orders WHERE o_orderkey % 2 = 1 GROUP BY 1) b USING (o_custkey)")
+def grouped_upsert(spark, sf_dir):
+    o = _t(spark, sf_dir, "orders")
+    return relational.add_counts(o.where("o_orderkey % 2 = 0").groupBy("o_custkey").agg(F.count("*").alias("n")), o.where("o_orderkey % 2 = 1"), ["o_custkey"], "n")
+
+
+@_query("SELECT s_suppkey, CASE WHEN s_nationkey IN (SELECT n_nationkey FROM nation WHERE n_regionkey = 1) THEN -1 ELSE s_nationkey END AS s_nationkey FROM supplier")
+def update_in(spark, sf_dir):
+    ids = _t(spark, sf_dir, "nation").where("n_regionkey = 1").select("n_nationkey")
+    return relational.update_in(_t(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey"), "s_nationkey", ids, {"s_nationkey": F.lit(-1)})
+
+
+@_query("SELECT doc_id, quality FROM (SELECT d.doc_id, l.quality FROM documents d LEFT JOIN labels l USING (doc_id)) WHERE NOT coalesce(quality = 0, false)")
+def delete_where(spark, sf_dir):
+    joined = _t(spark, sf_dir, "documents").select("doc_id").join(_t(spark, sf_dir, "labels").select("doc_id", "quality"), "doc_id", "left")
+    return relational.delete_where(joined, F.col("quality") == 0)
+
+
+@_query("SELECT l_orderkey, l_linenumber FROM lineitem UNION ALL SELECT l_orderkey + 10000000, l_linenumber FROM lineitem WHERE l_orderkey % 50 = 0")
+def insert_select(spark, sf_dir):
+    items = _t(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber")
+    ids = items.where("l_orderkey % 50 = 0").select(F.col("l_orderkey").alias("old"), (F.col("l_orderkey") + 10000000).alias("new")).distinct()
+    return relational.insert_select(items, "l_orderkey", ids)
+
+
+@_query("SELECT c.c_custkey, c.c_nationkey AS refcount, coalesce(n, 0) AS counted FROM customer c LEFT JOIN (SELECT o_custkey, count(*) AS n FROM orders GROUP BY 1) o ON o.o_custkey = c.c_custkey WHERE c.c_nationkey IS DISTINCT FROM coalesce(n, 0)")
+def link_counts(spark, sf_dir):
+    c = _t(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), F.col("c_nationkey").cast("int").alias("refcount"))
+    counted = relational.recount(c, "id", "refcount", [(_t(spark, sf_dir, "orders"), "o_custkey")]).select("id", F.col("refcount").alias("counted"))
+    return c.join(counted, "id").where(~F.col("refcount").eqNullSafe(F.col("counted"))).withColumnRenamed("id", "c_custkey")
+
+
+@_query("SELECT n.n_nationkey, count(x.k) AS refcount FROM nation n LEFT JOIN (SELECT c_nationkey AS k FROM customer UNION ALL SELECT s_nationkey FROM supplier) x ON x.k = n.n_nationkey GROUP BY 1")
+def name_refcounts(spark, sf_dir):
+    n = _t(spark, sf_dir, "nation").select("n_nationkey", F.lit(0).cast("long").alias("refcount"))
+    return relational.recount(n, "n_nationkey", "refcount", [(_t(spark, sf_dir, "customer"), "c_nationkey"), (_t(spark, sf_dir, "supplier"), "s_nationkey")])
+
+
+_PATTERNS = [("http://", "scheme", "plain", 0), ("https://", "scheme", "secure", 1), ("https://www.", "scheme", "www", 2), ("http", "any", "yes", 3), ("https://m.", "mobile", "yes", 4)]
+
+
+@_query("WITH c(pattern, option, value, position) AS (VALUES " + ", ".join(map(str, _PATTERNS)) + ") SELECT url, option, arg_max(value, position) AS value FROM (SELECT DISTINCT url FROM pages) p JOIN c ON starts_with(p.url, c.pattern) GROUP BY 1, 2")
+def config_prefix(spark, sf_dir):
+    return relational.prefix_match(_t(spark, sf_dir, "pages").select("url"), spark.createDataFrame(_PATTERNS, "pattern string, option string, value string, position int"), "position")
+
+
+# --- ordered figures -----------------------------------------------------------------------------------------
+
+
+@_query("SELECT o_orderkey, coalesce(sum(round(o_totalprice * 100)::BIGINT) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS done FROM orders")
+def progress_sum(spark, sf_dir):
+    o = _t(spark, sf_dir, "orders").withColumn("cents", F.round(F.col("o_totalprice") * 100).cast("long"))
+    return relational.running_sum(o, ["o_custkey"], ["o_orderdate", "o_orderkey"], "cents", "done").select("o_orderkey", "done")
+
+
+@_query("SELECT event_type, second, n, sum(n) OVER (PARTITION BY event_type ORDER BY second RANGE BETWEEN 3599 PRECEDING AND CURRENT ROW)::BIGINT AS in_window, sum(n) OVER (PARTITION BY event_type ORDER BY second RANGE BETWEEN 3599 PRECEDING AND CURRENT ROW)::DOUBLE / 3600 AS rate FROM (SELECT event_type, floor(epoch(ts))::BIGINT AS second, count(*) AS n FROM events GROUP BY 1, 2)")
+def rate_window(spark, sf_dir):
+    return relational.sliding_rate(_t(spark, sf_dir, "events"), ["event_type"], _seconds(), 3600)
+
+
+@_query("WITH s AS (SELECT event_id, user_id, floor(epoch(ts))::BIGINT AS s FROM events), n AS (SELECT *, lead(s) OVER (PARTITION BY user_id ORDER BY s, event_id) AS nx, (SELECT max(s) FROM s) AS horizon FROM s) SELECT event_id, user_id, s + 86400 AS committed_at FROM n WHERE coalesce(nx, horizon) - s >= 86400")
+def idle_commit(spark, sf_dir):
+    e = _t(spark, sf_dir, "events").select("event_id", "user_id", "ts")
+    horizon = e.agg(F.max(_seconds())).first()[0] or 0
+    return relational.idle_commits(e, ["user_id"], _seconds(), 86400, horizon).select("event_id", "user_id", "committed_at")
+
+
+@_query("WITH RECURSIVE s AS (SELECT event_id, user_id, epoch(ts) AS s, row_number() OVER (PARTITION BY user_id ORDER BY epoch(ts), event_id) AS k FROM events), r AS (SELECT event_id, user_id, s, k FROM s WHERE k = 1 UNION ALL SELECT x.event_id, x.user_id, x.s, x.k FROM r JOIN LATERAL (SELECT * FROM s WHERE s.user_id = r.user_id AND s.k > r.k AND s.s - r.s >= 604800 ORDER BY s.k LIMIT 1) x ON true) SELECT event_id, user_id FROM r")
+def throttle(spark, sf_dir):
+    e = _t(spark, sf_dir, "events").select("event_id", "user_id", "ts")
+    return flows.throttle_batch(e, "user_id", F.unix_micros(F.col("ts").cast("timestamp")) / 1e6, 604800.0, "event_id").select("event_id", "user_id")
+
+
+@_query("SELECT min(event_id) AS event_id, event_type, floor(value)::BIGINT AS v FROM events GROUP BY event_type, floor(value)")
+def log_dedup(spark, sf_dir):
+    e = _t(spark, sf_dir, "events").select("event_id", "event_type", F.floor("value").alias("v"))
+    return relational.last_wins(e, ["event_type", "v"], [-F.col("event_id")])
+
+
+_ISLANDS = "WITH k AS (SELECT o_orderkey // 1000 AS bucket, o_orderkey AS n FROM orders WHERE o_orderkey % 7 < 5 AND o_orderkey % 11 <> 3), r AS (SELECT bucket, min(n) AS first, max(n) AS last, count(*) AS size FROM (SELECT bucket, n, n - row_number() OVER (PARTITION BY bucket ORDER BY n) AS g FROM k) GROUP BY bucket, g)"
+
+
+def _gappy(spark, sf_dir):
+    return _t(spark, sf_dir, "orders").where("o_orderkey % 7 < 5 and o_orderkey % 11 <> 3").select(F.expr("o_orderkey div 1000").alias("bucket"), F.col("o_orderkey").alias("n"))
+
+
+@_query(f"{_ISLANDS} SELECT bucket, first, last, size FROM r")
+def gaps_islands(spark, sf_dir):
+    return relational.islands(_gappy(spark, sf_dir), ["bucket"], "n")
+
+
+@_query(f"{_ISLANDS}, p AS (SELECT bucket, list(x ORDER BY first) AS x FROM (SELECT bucket, first, CASE WHEN last - first > 1 THEN first || '-' || last WHEN last > first THEN first || ', ' || last ELSE first::VARCHAR END AS x FROM r) GROUP BY bucket), f AS (SELECT bucket, string_split(array_to_string(x, ', '), ', ') AS y FROM p) SELECT bucket, CASE WHEN len(y) > 1 THEN array_to_string(y[:-2], ', ') || ' and ' || y[-1] ELSE y[1] END AS numbers FROM f")
+def number_list(spark, sf_dir):
+    return scalar.number_list(_gappy(spark, sf_dir), ["bucket"], "n")
+
+
+# --- versions ------------------------------------------------------------------------------------------------
+
+
+@_query(f"WITH {_B}, n AS (SELECT doc_id, blockno, CASE WHEN doc_id % 7 = 0 THEN sha256(upper(data)) ELSE hash END AS hash FROM h WHERE doc_id % 10 <> 0 UNION ALL SELECT doc_id + 1000000, blockno, hash FROM h WHERE doc_id % 11 = 0) SELECT coalesce(h.doc_id, n.doc_id) AS doc_id, coalesce(h.blockno, n.blockno)::BIGINT AS blockno, CASE WHEN h.hash IS NULL THEN 'added' WHEN n.hash IS NULL THEN 'removed' ELSE 'changed' END AS change FROM h FULL JOIN n ON h.doc_id = n.doc_id AND h.blockno = n.blockno WHERE h.hash IS DISTINCT FROM n.hash")
+def snapshot_diff(spark, sf_dir):
+    old = _blocks(spark, sf_dir)
+    new = old.where("doc_id % 10 <> 0").withColumn("hash", F.when(F.col("doc_id") % 7 == 0, F.sha2(F.upper("data").cast("binary"), 256)).otherwise(F.col("hash")))
+    new = new.unionByName(old.where("doc_id % 11 = 0").withColumn("doc_id", F.col("doc_id") + 1000000))
+    return versions.snapshot_diff(old, new, ["doc_id", "blockno"])
+
+
+def _event_versions(spark, sf_dir):
+    day = F.expr("unix_date(cast(ts as date))").cast("long")
+    return _t(spark, sf_dir, "events").select(F.col("user_id").alias("blockno"), day.alias("seq_no")).distinct()
+
+
+_V = "v AS (SELECT DISTINCT user_id AS blockno, (ts::DATE - DATE '1970-01-01')::BIGINT AS seq_no FROM events)"
+
+
+@_query(f"WITH {_V}, n AS (SELECT *, lead(seq_no) OVER (PARTITION BY blockno ORDER BY seq_no) AS nx FROM v), k AS (SELECT DISTINCT seq_no FROM v ORDER BY seq_no DESC LIMIT 5) SELECT blockno, seq_no FROM n WHERE NOT EXISTS (SELECT 1 FROM k WHERE k.seq_no >= n.seq_no AND (nx IS NULL OR k.seq_no < nx))")
+def retention_keep(spark, sf_dir):
+    v = _event_versions(spark, sf_dir)
+    params = v.select("seq_no").distinct().withColumn("n_blocks", F.lit(2**40))
+    return versions.retention(v, params, 5)
+
+
+@_query(f"WITH {_V} SELECT blockno, max(seq_no) AS seq_no FROM v WHERE seq_no <= (SELECT avg(seq_no)::BIGINT FROM v) GROUP BY blockno")
+def asof_snapshot(spark, sf_dir):
+    v = _event_versions(spark, sf_dir)
+    target = v.agg(F.round(F.avg("seq_no")).cast("long")).first()[0] or 0
+    return versions.as_of_blocks(v, F.lit(target)).select("blockno", "seq_no")
+
+
+ORACLE["asof_snapshot"] = ORACLE["asof_snapshot"].replace("avg(seq_no)::BIGINT", "round(avg(seq_no))::BIGINT")
+
+
+@_query("WITH d AS (SELECT DISTINCT event_type, floor(epoch(ts) / 7200)::BIGINT * 7200 AS s FROM events WHERE user_id % 5 = 0), g AS (SELECT *, s - lag(s) OVER (PARTITION BY event_type ORDER BY s) AS gap FROM d), a AS (SELECT event_type, s, min(gap) OVER (PARTITION BY event_type) AS step, max(s) OVER (PARTITION BY event_type) - s AS age FROM g) SELECT event_type, s, step, age, ceil(age / step)::BIGINT AS cycles FROM a")
+def backup_ages(spark, sf_dir):
+    d = _t(spark, sf_dir, "events").where("user_id % 5 = 0").select("event_type", (F.floor(_seconds() / 7200) * 7200).alias("s")).distinct()
+    return versions.backup_ages(d, ["event_type"], "s")
+
+
+@_query()
+def expire_backups(spark, sf_dir):
+    ages = backup_ages(spark, sf_dir).select(F.col("event_type").alias("backup_set"), F.concat(F.lit("b"), F.col("s").cast("string")).alias("name"), F.least(F.col("cycles"), F.lit(400)).alias("age"))
+    return versions.expire_backups(ages, [1, 3, 7, 14, 31, 150, 300], most_deleted=1.0)
+
+
+@_query("SELECT 'fs' || c_custkey AS label, CASE WHEN c_custkey % 4 = 0 THEN 'no local copy' WHEN c_custkey % 4 = 1 THEN 'local outdated' WHEN c_custkey % 4 = 2 THEN 'local newer' WHEN c_custkey % 3 = 0 THEN 'mounted elsewhere' WHEN c_custkey % 5 = 0 THEN 'needs check' WHEN c_acctbal < 0 THEN 'check due' ELSE 'clean' END AS state FROM customer")
+def reconcile(spark, sf_dir):
+    c = _t(spark, sf_dir, "customer")
+    label, k = F.concat(F.lit("fs"), F.col("c_custkey").cast("string")).alias("label"), F.col("c_custkey")
+    remote = c.select(label, F.lit(10).alias("seq_no"), (k % 3 == 0).alias("is_mounted"), (k % 5 == 0).alias("needs_fsck"), F.when(F.col("c_acctbal") < 0, 0.0).otherwise(5e6).alias("last_fsck"))
+    local = c.where("c_custkey % 4 <> 0").select(label, F.when(k % 4 == 1, 9).when(k % 4 == 2, 11).otherwise(10).alias("seq_no"))
+    return versions.reconcile(local, remote, 5e6)
+
+
+# --- trees ---------------------------------------------------------------------------------------------------
+
+
+@_query("WITH RECURSIVE r AS (SELECT conv_id, turn, '' AS path FROM conversations WHERE turn = 0 UNION ALL SELECT c.conv_id, c.turn, r.path || '/' || c.role FROM r JOIN conversations c ON c.conv_id = r.conv_id AND c.turn = r.turn + 1) SELECT DISTINCT conv_id, turn, path FROM r")
+def path_of(spark, sf_dir):
+    c = _t(spark, sf_dir, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("child"), (F.col("conv_id") * 1000 + F.col("turn") - 1).alias("parent"), F.col("role").alias("name"), "turn")
+    out = tree.paths(c.where("turn > 0"), c.where("turn = 0").select(F.col("child").alias("node")).distinct())
+    return out.select(F.expr("node div 1000").alias("conv_id"), (F.col("node") % 1000).alias("turn"), "path")
+
+
+def _url_edges(spark, sf_dir):
+    parts = F.split(F.expr("rtrim('/', regexp_replace(regexp_replace(url, '^[a-z]+://', ''), '[?#].*$', ''))"), "/")
+    s = _t(spark, sf_dir, "pages").select(parts.alias("s")).distinct().where(F.size("s") > 1)
+    e = s.select("s", F.explode(F.sequence(F.lit(1), F.size("s") - 1)).alias("i"))
+    return e.select(F.expr("array_join(slice(s, 1, i), '/')").alias("parent"), F.expr("array_join(slice(s, 1, i + 1), '/')").alias("child")).distinct()
+
+
+@_query(f"WITH RECURSIVE {_URL_TREE}, r AS (SELECT DISTINCT parent AS node, 0 AS depth FROM e WHERE parent LIKE 'blog.%' AND parent NOT LIKE '%/%' UNION SELECT e.child, r.depth + 1 FROM r JOIN e ON e.parent = r.node) SELECT node, min(depth)::INT AS depth FROM r GROUP BY node")
+def subtree(spark, sf_dir):
+    e = saved(_url_edges(spark, sf_dir))
+    return tree.reachable(e, e.where("parent like 'blog.%' and parent not like '%/%'").select("parent"))
+
+
+@_query(f"WITH RECURSIVE {_URL_TREE}, hosts AS (SELECT DISTINCT parent AS host FROM e WHERE parent NOT LIKE '%/%'), g AS (SELECT parent, child FROM e UNION SELECT '', host FROM hosts WHERE host NOT LIKE 'm.%' UNION SELECT child, split_part(child, '/', 1) FROM e WHERE child LIKE 'm.%'), r AS (SELECT '' AS node UNION SELECT g.child FROM r JOIN g ON g.parent = r.node) SELECT DISTINCT x.node FROM (SELECT parent AS node FROM g UNION SELECT child FROM g) x WHERE x.node NOT IN (SELECT node FROM r)")
+def unreachable(spark, sf_dir):
+    e = saved(_url_edges(spark, sf_dir))
+    hosts = e.where("parent not like '%/%'").select(F.col("parent").alias("child")).distinct()
+    loops = e.where("child like 'm.%'").select(F.col("child").alias("parent"), F.expr("split(child, '/')[0]").alias("child"))
+    g = saved(e.unionByName(hosts.where("child not like 'm.%'").select(F.lit("").alias("parent"), "child")).unionByName(loops))
+    nodes = g.select(F.col("parent").alias("node")).unionByName(g.select(F.col("child").alias("node"))).distinct()
+    return tree.unreachable(g, nodes, spark.range(1).select(F.lit("").alias("node")))
+
+
+def _nation_tables(spark, sf_dir) -> Tables:
+    """Regions as directories below the root, nations as files in them, one object per nation."""
+    r, n = _t(spark, sf_dir, "region"), _t(spark, sf_dir, "nation")
+    zero = F.lit(0).cast("long")
+    inode = lambda i, mode, refs, size: [i.cast("long").alias("id"), *[zero.alias(c) for c in ("uid", "gid")], F.lit(mode).cast("long").alias("mode"), *[zero.alias(c) for c in ("mtime_ns", "atime_ns", "ctime_ns")], F.lit(refs).cast("long").alias("refcount"), size.cast("long").alias("size"), zero.alias("rdev"), F.lit(False).alias("locked")]
+    dir_id, file_id = F.col("r_regionkey") + 100, F.col("n_nationkey") + 1000
+    seeds = spark.range(1).select(*inode(F.lit(ROOT), DIRECTORY, 1, F.lit(0))).unionByName(spark.range(1).select(*inode(F.lit(CONTROL), REGULAR, 42, F.lit(0))))
+    inodes = seeds.unionByName(r.select(*inode(dir_id, DIRECTORY, 1, F.lit(0)))).unionByName(n.select(*inode(file_id, REGULAR, 1, F.length("n_name"))))
+    names = r.select(dir_id.cast("long").alias("id"), F.col("r_name").cast("binary").alias("name")).unionByName(n.select(file_id.cast("long").alias("id"), F.col("n_name").cast("binary").alias("name"))).withColumn("refcount", F.lit(1).cast("long"))
+    contents = r.select(dir_id.cast("long").alias("rowid"), dir_id.cast("long").alias("name_id"), dir_id.cast("long").alias("inode"), F.lit(ROOT).cast("long").alias("parent_inode")).unionByName(n.select(file_id.cast("long").alias("rowid"), file_id.cast("long").alias("name_id"), file_id.cast("long").alias("inode"), (F.col("n_regionkey") + 100).cast("long").alias("parent_inode")))
+    objects = n.select(file_id.cast("long").alias("id"), F.unhex(F.sha2(F.col("n_name").cast("binary"), 256)).alias("hash"), F.lit(1).cast("long").alias("refcount"), F.length("n_name").cast("long").alias("phys_size"), F.length("n_name").cast("long").alias("length"))
+    blocks = n.select(file_id.cast("long").alias("inode"), zero.alias("blockno"), file_id.cast("long").alias("obj_id"))
+    empty = lambda ddl: spark.createDataFrame([], ddl)
+    return Tables(objects, inodes, blocks, empty("inode long, target binary"), names, contents, empty("inode long, name_id long, value binary"))
+
+
+@_query("SELECT (SELECT count(*) FROM nation) + (SELECT count(*) FROM region) + 1 + (SELECT count(*) FROM nation WHERE n_regionkey = 1) AS entries, (SELECT count(*) FROM nation) + (SELECT count(*) FROM region) + 2 + 1 + (SELECT count(*) FROM nation WHERE n_regionkey = 1) AS inodes, (SELECT count(*) FROM nation) AS objects, (SELECT sum(length(n_name) * CASE WHEN n_regionkey = 1 THEN 2 ELSE 1 END) FROM nation)::BIGINT AS total_size, (SELECT sum(length(n_name)) FROM nation)::BIGINT AS dedup_size")
+def subtree_copy(spark, sf_dir):
+    t = tree.copy_subtree(_nation_tables(spark, sf_dir), 101, ROOT, 1001)
+    return stats.extended_stats(t).select("entries", "inodes", "objects", "total_size", "dedup_size")
+
+
+@_query("SELECT n_nationkey + 1000 AS inode FROM nation WHERE n_regionkey <> 2 UNION ALL SELECT r_regionkey + 100 FROM region WHERE r_regionkey <> 2")
+def subtree_remove(spark, sf_dir):
+    region = _t(spark, sf_dir, "region").where("r_regionkey = 2").first()
+    t = tree.remove_subtree(_nation_tables(spark, sf_dir), ROOT, region.r_name.encode())
+    return t.inodes.where("id > 2").select(F.col("id").cast("int").alias("inode"))
+
+
+@_query("SELECT n_nationkey + 1000 AS inode, n_regionkey = 3 AS locked FROM nation UNION ALL SELECT r_regionkey + 100, r_regionkey = 3 FROM region")
+def subtree_lock(spark, sf_dir):
+    return tree.lock_subtree(_nation_tables(spark, sf_dir), 103).inodes.where("id > 2").select(F.col("id").cast("int").alias("inode"), "locked")
+
+
+@_query("SELECT n_nationkey + 1000 AS inode, CASE WHEN n_regionkey = 0 THEN 104 ELSE n_regionkey + 100 END AS parent_inode FROM nation UNION ALL SELECT r_regionkey + 100, 1 FROM region")
+def bulk_reparent(spark, sf_dir):
+    return tree.reparent(_nation_tables(spark, sf_dir).contents, 100, 104).select(F.col("inode").cast("int").alias("inode"), F.col("parent_inode").cast("int").alias("parent_inode"))
+
+
+@_query("SELECT n_nationkey + 1000 AS node, '/' || r_name || '/' || n_name AS path FROM nation JOIN region ON n_regionkey = r_regionkey UNION ALL SELECT r_regionkey + 100, '/' || r_name FROM region UNION ALL SELECT 1, ''")
+def tree_paths(spark, sf_dir):
+    t = _nation_tables(spark, sf_dir)
+    e = t.contents_v().select(F.col("parent_inode").alias("parent"), F.col("inode").alias("child"), scalar.text_of(F.col("name")).alias("name"))
+    return tree.paths(e, spark.range(ROOT, ROOT + 1).select(F.col("id").alias("node"))).select(F.col("node").cast("int").alias("node"), "path")
+
+
+# --- checks --------------------------------------------------------------------------------------------------
+
+
+@_query(
+    "WITH i AS (SELECT p_partkey AS id, p_partkey % 6 AS k, p_size AS size FROM part) SELECT id, unnest(list_filter(["
+    "CASE WHEN k = 0 THEN 'no type' END, CASE WHEN k = 2 AND id % 5 = 0 THEN 'symlink without target' END, CASE WHEN k = 2 AND id % 5 <> 0 AND size <> 7 THEN 'symlink size' END,"
+    "CASE WHEN k = 4 AND size <> 0 THEN 'size of special file' END, CASE WHEN k <> 2 AND id % 10 = 1 THEN 'target of non-symlink' END, CASE WHEN id % 9 = 0 AND k <> 5 THEN 'device number' END,"
+    "CASE WHEN id % 14 = 1 AND k NOT IN (0, 1) THEN 'children of non-directory' END, CASE WHEN id % 15 = 0 AND k NOT IN (0, 3) THEN 'blocks of non-file' END], lambda x: x IS NOT NULL)) AS rule FROM i"
+)
+def mode_rules(spark, sf_dir):
+    p = _t(spark, sf_dir, "part")
+    zero, k, i = F.lit(0).cast("long"), F.col("p_partkey") % 6, F.col("p_partkey")
+    mode = F.when(k == 1, DIRECTORY).when(k == 2, SYMLINK).when(k == 3, REGULAR).when(k == 4, 0o010000).when(k == 5, 0o060000).otherwise(0)
+    inodes = p.select(i.alias("id"), *[zero.alias(c) for c in ("uid", "gid")], mode.cast("long").alias("mode"), *[zero.alias(c) for c in ("mtime_ns", "atime_ns", "ctime_ns")], F.lit(1).cast("long").alias("refcount"), F.when(k == 5, 0).otherwise(F.col("p_size")).cast("long").alias("size"), F.when(i % 9 == 0, 7).otherwise(0).cast("long").alias("rdev"), F.lit(False).alias("locked"))
+    links = p.where(((k == 2) & (i % 5 != 0)) | ((k != 2) & (i % 10 == 1))).select(i.alias("inode"), F.lit("seven77").cast("binary").alias("target"))
+    contents = p.where(i % 14 == 1).select(i.alias("rowid"), zero.alias("name_id"), (i + 10**7).alias("inode"), i.alias("parent_inode"))
+    blocks = p.where(i % 15 == 0).select(i.alias("inode"), zero.alias("blockno"), zero.alias("obj_id"))
+    empty = lambda ddl: spark.createDataFrame([], ddl)
+    t = Tables(empty("id long, hash binary, refcount long, phys_size long, length long"), inodes, blocks, links, empty("id long, name binary, refcount long"), contents, empty("inode long, name_id long, value binary"))
+    return checks.detect_conventions(t)
+
+
+# the control inode (2) is exempt
+ORACLE["mode_rules"] += " WHERE id <> 2"
+
+
+@_query()
+def full_check(spark, sf_dir):
+    t, found = checks.run_checks(_nation_tables(spark, sf_dir), BLOCK)
+    _, again = checks.run_checks(t, BLOCK)
+    return spark.createDataFrame([(k, n, again[k]) for k, n in found.items()], "check string, violations long, after_repair long")
+
+
+# --- scalar functions ----------------------------------------------------------------------------------------
+
+
+@_query(
+    "WITH v AS (SELECT doc_id, length(text) * [1, 1000, 1000000, 1000000000][doc_id % 4 + 1]::BIGINT AS n FROM documents), u AS (SELECT doc_id, n, CASE WHEN n < 1024 THEN 0 WHEN n < 1048576 THEN 1 WHEN n < 1073741824 THEN 2 WHEN n < 1099511627776 THEN 3 ELSE 4 END AS k FROM v), w AS (SELECT *, n / power(1024, k) AS x FROM u)"
+    " SELECT doc_id, n, CASE WHEN k = 0 THEN n || ' bytes' ELSE (CASE WHEN x < 10 THEN printf('%.2f', x) WHEN x < 100 THEN printf('%.1f', x) ELSE floor(x)::BIGINT::VARCHAR END) || ' ' || ['KiB', 'MiB', 'GiB', 'TiB'][k] END AS size FROM w"
+)
+def size_pretty(spark, sf_dir):
+    n = F.length("text").cast("long") * F.element_at(F.array(*[F.lit(x).cast("long") for x in (1, 1000, 1000000, 1000000000)]), (F.col("doc_id") % 4 + 1).cast("int"))
+    return _t(spark, sf_dir, "documents").select("doc_id", n.alias("n")).withColumn("size", scalar.pretty_size(F.col("n")))
+
+
+@_query("SELECT doc_id, 'metadata_' || lpad(lower(printf('%x', doc_id)), 12, '0') || '_' || lpad(lower(printf('%x', doc_id * 7)), 10, '0') AS key, replace(replace(replace(source || '/a=b#' || doc_id, '=', '=3D'), '/', '=2F'), '#', '=23') AS escaped, source || '/a=b#' || doc_id AS plain, doc_id AS blockno, doc_id * 7 AS seq_no FROM documents")
+def key_codec(spark, sf_dir):
+    d = _t(spark, sf_dir, "documents")
+    plain = F.concat("source", F.lit("/a=b#"), F.col("doc_id").cast("string"))
+    d = d.select("doc_id", scalar.metadata_key(F.col("doc_id"), F.col("doc_id") * 7).alias("key"), scalar.escape_key(plain).alias("escaped"))
+    block, seq = scalar.parse_metadata_key(F.col("key"))
+    return d.select("doc_id", "key", "escaped", scalar.unescape_key(F.col("escaped")).alias("plain"), block.alias("blockno"), seq.alias("seq_no"))
+
+
+@_query("SELECT doc_id, sha256(text) AS sha256, base64(unhex(md5(text))) AS md5_base64 FROM documents")
+def digests(spark, sf_dir):
+    return _t(spark, sf_dir, "documents").select("doc_id", F.lower(F.hex(scalar.sha256(F.col("text")))).alias("sha256"), scalar.md5_base64(F.col("text")).alias("md5_base64"))
+
+
+@_query("SELECT p_partkey, CASE WHEN instr('abcdefghijklmnopqrstuvwxyz0123456789', lower(p_name[1])) > 0 AND length(p_name) > 0 THEN ((instr('abcdefghijklmnopqrstuvwxyz0123456789', lower(p_name[1])) - 1) * 4 // 36)::INT ELSE 4 END AS part FROM part")
+def char_partition(spark, sf_dir):
+    return _t(spark, sf_dir, "part").select("p_partkey", scalar.first_char_part(F.col("p_name"), 5).alias("part"))
+
+
+@_query("SELECT doc_id, len(c) AS pieces, array_to_string(c, '') = substr(text, 1, 2000) AS same FROM (SELECT doc_id, text, list_transform(range((length(substr(text, 1, 2000)) + 254) // 255), lambda i: substr(substr(text, 1, 2000), i * 255 + 1, 255)) AS c FROM documents)")
+def header_chunks(spark, sf_dir):
+    d = _t(spark, sf_dir, "documents").select("doc_id", F.substring("text", 1, 2000).alias("t")).withColumn("c", scalar.header_chunks(F.col("t")))
+    return d.select("doc_id", F.size("c").cast("long").alias("pieces"), (scalar.join_chunks(F.col("c")) == F.col("t")).alias("same"))
+
+
+@_query("SELECT o_orderkey, CASE WHEN length(s) > 3 THEN array_to_string(list_transform(range((length(s) - 1) // 3), lambda k: substr(s, k * 3 + 1, 3)), '/') || '/' || s ELSE s END AS path FROM (SELECT o_orderkey, o_orderkey::VARCHAR AS s FROM orders)")
+def key_path(spark, sf_dir):
+    return _t(spark, sf_dir, "orders").select("o_orderkey", scalar.key_path(F.col("o_orderkey")).alias("path"))
+
+
+@_query("SELECT event_id, ts::TIMESTAMP AS parsed FROM (SELECT event_id, date_trunc('second', ts) AS ts FROM events)")
+def backup_time(spark, sf_dir):
+    named = _t(spark, sf_dir, "events").select("event_id", F.date_format("ts", "yyyy-MM-dd_HH:mm:ss").alias("name"))
+    return named.select("event_id", scalar.backup_time(F.col("name")).cast("timestamp_ntz").alias("parsed"))
+
+
+@_query("WITH w AS (SELECT doc_id, source AS parent, lang AS name FROM documents WHERE doc_id % 2 = 0), k AS (SELECT DISTINCT source AS parent, lang AS name FROM documents WHERE doc_id % 2 = 1), n AS (SELECT w.*, row_number() OVER (PARTITION BY w.parent, w.name ORDER BY doc_id) - CASE WHEN k.name IS NULL THEN 1 ELSE 0 END AS i FROM w LEFT JOIN k ON k.parent = w.parent AND k.name = w.name) SELECT doc_id, CASE WHEN i = 0 THEN name ELSE name || '-' || i END AS new_name FROM n")
+def unique_names(spark, sf_dir):
+    d = _t(spark, sf_dir, "documents").select("doc_id", F.col("source").alias("parent"), F.col("lang").alias("name"))
+    return scalar.unique_names(d.where("doc_id % 2 = 0"), d.where("doc_id % 2 = 1").select("parent", "name").distinct(), order="doc_id").select("doc_id", "new_name")
+
+
+@_query("SELECT o_orderkey, CASE WHEN o_orderkey % 3 < o_orderkey % 5 OR o_orderkey % 3 < o_orderkey % 7 THEN 99 ELSE o_orderkey % 3 END AS atime, (o_custkey + 511) // 512 AS st_blocks FROM orders")
+def stat_columns(spark, sf_dir):
+    o = _t(spark, sf_dir, "orders").withColumn("size", F.col("o_custkey")).withColumn("refcount", F.lit(1))
+    k = F.col("o_orderkey")
+    return stats.attribute_columns(o).select("o_orderkey", scalar.touch_atime(k % 3, k % 7, k % 5, F.lit(99).cast("long")).alias("atime"), "st_blocks")
+
+
+@_query("SELECT doc_id, md5('4:lang=' || length(lang) || ':' || lang || ';6:source=' || length(source) || ':' || source) AS checksum FROM documents")
+def mapping_checksum(spark, sf_dir):
+    m = F.create_map(F.lit("source"), F.col("source"), F.lit("signature"), F.lit("x"), F.lit("lang"), F.col("lang"))
+    return _t(spark, sf_dir, "documents").select("doc_id", scalar.mapping_checksum(m).alias("checksum"))
+
+
+# --- figures and caches --------------------------------------------------------------------------------------
+
+
+@_query(f"WITH {_B}, o AS (SELECT count(*) AS objects, sum(length)::BIGINT AS size FROM (SELECT hash, max(length) AS length FROM h GROUP BY hash)), n AS (SELECT count(*) AS inodes FROM documents), s AS (SELECT *, greatest(4096, size // objects) AS block_size, greatest(2 * size, 1099511627776) AS total FROM o, n) SELECT block_size, total // block_size AS blocks, (total - size) // block_size AS free_blocks, greatest(2 * inodes, 1000000) AS inode_total, greatest(2 * inodes, 1000000) - inodes AS inodes_free FROM s")
+def capacity(spark, sf_dir):
+    return stats.capacity(content.object_table(_blocks(spark, sf_dir)), _t(spark, sf_dir, "documents").select("doc_id"))
+
+
+@_query("SELECT o_orderpriority, count(*) AS entries, sum(round(o_totalprice))::BIGINT AS bytes, count(*) FILTER (o_orderstatus = 'O') AS dirty_entries, coalesce(sum(round(o_totalprice)) FILTER (o_orderstatus = 'O'), 0)::BIGINT AS dirty_bytes FROM orders GROUP BY 1")
+def cache_usage(spark, sf_dir):
+    o = _t(spark, sf_dir, "orders").withColumn("n", F.round("o_totalprice").cast("long"))
+    return stats.cache_usage(o, "n", F.col("o_orderstatus") == "O", ["o_orderpriority"])
+
+
+@_query()
+def lru_cache(spark, sf_dir):
+    e = _t(spark, sf_dir, "events").select(F.col("event_type").alias("cache"), F.col("event_id").alias("seq"), F.col("user_id").alias("key"), F.lit(1024).cast("long").alias("bytes"))
+    return content.lru_cache(e, 100 * 1024, 50)
+
+
+# --- stores and streams --------------------------------------------------------------------------------------
+
+
+@_query("SELECT doc_id, 'metadata_' || lpad(printf('%x', doc_id % 64), 12, '0') || '_' || lpad(printf('%x', doc_id // 64), 10, '0') AS key, doc_id % 64 AS blockno, doc_id // 64 AS seq_no FROM documents WHERE doc_id % 3 <> 0")
+def metadata_listing(spark, sf_dir):
+    d = _t(spark, sf_dir, "documents").select("doc_id", scalar.metadata_key(F.col("doc_id") % 64, F.expr("doc_id div 64")).alias("key"))
+    listing = d.where("doc_id % 3 <> 0").unionByName(d.where("doc_id % 3 = 0").withColumn("key", F.concat("key", F.lit("_bak_0"))))
+    found = store.metadata_versions(listing)
+    return found.select((F.col("seq_no") * 64 + F.col("blockno")).alias("doc_id"), scalar.metadata_key(F.col("blockno"), F.col("seq_no")).alias("key"), "blockno", "seq_no")
+
+
+@_query("SELECT time_bucket(INTERVAL 1 DAY, ts) AS start, time_bucket(INTERVAL 1 DAY, ts) + INTERVAL 1 DAY AS \"end\", count(*) AS n FROM events GROUP BY 1, 2 HAVING \"end\" <= (SELECT max(ts) FROM events) - INTERVAL 1 HOUR")
+def stream_rates(spark, sf_dir):
+    folder = f"{shared_folder(spark)}/stream-{tempfile.mkdtemp().rsplit('/', 1)[-1]}"
+    events = flows.event_stream(spark, f"{sf_dir}/events.parquet")
+    # one batch moves the watermark, the next one closes the windows before it
+    flows.append(flows.rates(events, "ts", "1 day", "1 day", "1 hour"), f"{folder}/out", f"{folder}/checkpoint").awaitTermination()
+    out = spark.read.schema("start timestamp, end timestamp, n long").parquet(f"{folder}/out")
+    return out.select(F.col("start").cast("timestamp_ntz").alias("start"), F.col("end").cast("timestamp_ntz").alias("end"), "n")
