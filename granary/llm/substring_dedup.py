@@ -266,7 +266,7 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _all_marks(segments: DataFrame) -> DataFrame:
     """anchor, segment, at, to: what is repeated of each distinct segment (anchor, segment, bytes, copies)."""
     whole = segments.where("copies > 1").select("anchor", "segment", F.lit(0).cast("long").alias("at"), F.length("bytes").cast("long").alias("to"))
-    kinds = segments.groupBy("anchor").agg(F.count("*").alias("kinds"))
+    kinds = written(segments.groupBy("anchor").agg(F.count("*").alias("kinds")))
     sized = segments.select("anchor", "segment", "bytes").join(kinds.hint("merge"), "anchor")
     cold = sized.where(F.col("kinds") <= HOT).select("anchor", "segment", "bytes")
     marks = whole.unionByName(cold.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(_index, _MARKS))
@@ -285,7 +285,8 @@ def repeated_bytes(docs: DataFrame) -> DataFrame:
     rows = written(docs.mapInArrow(_scan, "doc_id long, n_bytes long, sha binary, anchors array<long>, places array<long>"))
     classes = rows.groupBy("sha").agg(F.count("*").alias("copies"), F.first("n_bytes").alias("n_bytes"), F.first("anchors").alias("anchors"), F.first("places").alias("places"))
     places = classes.where(F.col("n_bytes") >= LENGTH).select("sha", F.explode(F.arrays_zip("anchors", "places")).alias("x")).select("sha", F.col("x.anchors").alias("anchor"), F.col("x.places").alias("place"))
-    often = places.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor")
+    # written, so that adaptive execution can split the join's hot anchors: it can't where an aggregate feeds a join
+    often = written(places.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor"))
     asked = places.join(often.hint("merge"), "anchor").groupBy("sha").agg(F.collect_list(F.struct("anchor", "place")).alias("a"))
     asked = asked.select("sha", F.col("a.anchor").alias("anchors"), F.col("a.place").alias("places"))
     texts = docs.where(F.octet_length("text") >= LENGTH).select(F.unhex(F.sha2("text", 256)).alias("sha"), "text")
