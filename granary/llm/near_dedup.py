@@ -219,7 +219,9 @@ def candidate_clusters(reps: DataFrame) -> DataFrame:
     rows = reps.mapInArrow(_roots, "node long, rep long")
     for depth in range(1, DEPTH + 1):
         rows = rows.distinct() if depth > 1 else rows
-        sizes = rows.groupBy("node").agg(F.count("*").alias("n")).where("n > 1")
+        # written, so that adaptive execution can split hot nodes: it can't where an aggregate feeds a join
+        sizes = written(rows.groupBy("node").agg(F.count("*").alias("n")).where("n > 1"))
+        old.append(sizes)
         nodes = written(rows.join(sizes.hint("merge"), "node"))
         old.append(nodes)
         full = nodes.where(F.col("n") <= LEAF).join(reps.hint("merge"), "rep").select("node", "rep", "tokens")
