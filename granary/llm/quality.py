@@ -128,8 +128,9 @@ def score(docs: DataFrame) -> DataFrame:
     lines = texts.select("text_key", "host", F.explode(F.arrays_zip("line_hash", "line_words")).alias("l")).select("text_key", "host", F.col("l.line_words").alias("n"), F.xxhash64(F.coalesce("host", F.lit("\0")), "l.line_hash").alias("line"))
     hosts = texts.groupBy("host").agg(F.count("*").alias("host_docs"))
     counts = lines.groupBy("line").agg(F.count("*").alias("docs"), F.first("host").alias("host")).where(F.col("docs") > LINE_DOCS)
-    frequent = counts.join(hosts, counts.host.eqNullSafe(hosts.host)).where(F.col("docs") > F.col("host_docs") * LINE_SHARE).select("line")
-    removed = lines.join(frequent, "line").groupBy("text_key").agg(F.sum("n").alias("removed_words"))
+    # written, so that adaptive execution can split a line that very many documents share
+    frequent = written(counts.join(hosts, counts.host.eqNullSafe(hosts.host)).where(F.col("docs") > F.col("host_docs") * LINE_SHARE).select("line"))
+    removed = lines.join(frequent.hint("merge"), "line").groupBy("text_key").agg(F.sum("n").alias("removed_words"))
     out = base.select("doc_id", *_FIGURES, "text_key").join(removed, "text_key", "left").withColumn("removed_words", F.coalesce("removed_words", F.lit(0)).cast("long"))
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEATED * F.col("n_words"))
     return out.select("doc_id", *_FIGURES, "removed_words", failed.alias("base_failed"), (~failed & (F.col("removed_words") <= DEPLETED * F.col("n_words"))).alias("kept"))
