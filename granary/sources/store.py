@@ -1,6 +1,7 @@
 """Object stores as tables: listings, reads, writes, deletions, and the small text files around them.
 
-Spark's file sources list and read any Hadoop file system (local, s3a, gs, swift ...); the scheme of the path decides.
+Spark's file sources list and read any Hadoop file system (local, s3a, gs, swift ...); the scheme of the path decides. Files
+without a byte are not reported by them; store objects in their encoded form, or with a header, if they may be empty.
 """
 
 from __future__ import annotations
