@@ -6,10 +6,13 @@
    class walks from the root to every child whose token a hash of (path, token) selects; BRANCH children are expected
    in each step. A pair of similarity s shares BRANCH * s children of a common node on average, so with s = 0.75 one
    tree misses it with probability exp(-1.5) = 0.22 in the first step, and all 12 trees with 1.4e-8.
-3. A node of at most LEAF classes is compared exhaustively on the tokens. A larger one branches again, down to DEPTH;
-   what is still larger there (near copies of one text) is compared with LEADERS of its classes each, which is linear.
-   Comparisons only gather classes that may be linked (estimated similarity of CANDIDATE or more) into clusters, by
-   one star per node instead of all its pairs.
+3. A node of at most LEAF classes is compared exhaustively on the tokens. A larger one branches again. Comparisons
+   only gather classes that may be linked (estimated similarity of CANDIDATE or more) into clusters, by one star per
+   node instead of all its pairs. From step GATHER on, a larger node (mostly near copies of one text) is first compared
+   with LEADERS of its classes, which is linear; once all its classes are in one cluster it needs no more comparison,
+   for step 4 decides clusters exhaustively. The others branch on, and what is larger at DEPTH still becomes one cluster
+   as a whole, so no pair that shares a node goes undecided. However deep a tree goes, a pair with s = 0.75 stays
+   together in some node with probability 0.58, and all 12 trees lose it with 2.8e-5.
 4. Inside clusters, links are decided on the full sets: 100 * intersection >= 75 * union. A cluster over BLOCK_SETS
    classes or BLOCK_SHINGLES shingles is dealt into blocks and every two blocks are compared, so no task holds an
    unbounded group and no link inside a cluster is lost.
@@ -36,7 +39,8 @@ from granary.llm.shingles import row_sets
 TOKENS = 128
 TREES = 12
 BRANCH = 2.0
-DEPTH = 3
+GATHER = 3
+DEPTH = 6
 LEAF = 512
 LEADERS = 8
 #: 0.75 less over five standard deviations of an estimate from 128 tokens.
@@ -213,34 +217,60 @@ def _decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield _links(out_a, out_b)
 
 
+def _union(edges: list[DataFrame]) -> DataFrame:
+    out = edges[0]
+    for more in edges[1:]:
+        out = out.unionByName(more)
+    return out
+
+
+def _led_edges(large: DataFrame, reps: DataFrame, old: list[DataFrame]) -> DataFrame:
+    """Each class of the nodes `large` (node, rep) against LEADERS classes of its node."""
+    rows = written(large.join(reps.hint("merge"), "rep").select("node", "rep", "tokens"))
+    pick = [F.min_by(F.struct("rep", "tokens"), F.xxhash64("rep", F.lit(k))).alias(f"l{k}") for k in range(LEADERS)]
+    flat = [F.col(f"l{k}.{c}").alias(f"{c}{k}") for k in range(LEADERS) for c in ("rep", "tokens")]
+    leaders = written(rows.groupBy("node").agg(*pick).select("node", *flat))
+    old += [rows, leaders]
+    return rows.join(leaders, "node").mapInArrow(_led, "a long, b long")
+
+
+def _unresolved(large: DataFrame, labels: DataFrame, old: list[DataFrame]) -> DataFrame:
+    """Rows (node, rep, label, low) of the nodes that hold several clusters; `low` is the node's smallest label."""
+    named = written(large.join(labels.hint("merge"), large.rep == labels.v, "left").select("node", "rep", F.coalesce("root", "rep").alias("label")))
+    several = written(named.groupBy("node").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("node", "low"))
+    old += [named, several]
+    return named.join(several.hint("merge"), "node")
+
+
 def candidate_clusters(reps: DataFrame) -> DataFrame:
     """`v`, `root`: clusters of the classes in `reps` (rep, tokens) that may be linked."""
-    found, old = [], []
+    found, old, labels = [], [], None
     rows = reps.mapInArrow(_roots, "node long, rep long")
     for depth in range(1, DEPTH + 1):
         rows = rows.distinct() if depth > 1 else rows
         # written, so that adaptive execution can split hot nodes: it can't where an aggregate feeds a join
         sizes = written(rows.groupBy("node").agg(F.count("*").alias("n")).where("n > 1"))
-        old.append(sizes)
         nodes = written(rows.join(sizes.hint("merge"), "node"))
-        old.append(nodes)
+        old += [sizes, nodes]
         full = nodes.where(F.col("n") <= LEAF).join(reps.hint("merge"), "rep").select("node", "rep", "tokens")
         found.append(full.repartition("node").sortWithinPartitions("node").mapInArrow(_leaves, "a long, b long"))
-        large = nodes.where(F.col("n") > LEAF)
+        large = nodes.where(F.col("n") > LEAF).select("node", "rep")
         if large.isEmpty():
             break
-        large = large.join(reps, "rep").select("node", "rep", "tokens")
+        if depth >= min(GATHER, DEPTH):
+            if labels is None:
+                labels = written(components(_union([*found, _led_edges(large, reps, old)])))
+                old.append(labels)
+                found = [labels.select(F.col("v").alias("a"), F.col("root").alias("b"))]
+            large = written(_unresolved(large, labels, old))
+            old.append(large)
+            if large.isEmpty():
+                break
         if depth < DEPTH:
-            rows = large.mapInArrow(_branches, "node long, rep long")
+            rows = large.join(reps.hint("merge"), "rep").select("node", "rep", "tokens").mapInArrow(_branches, "node long, rep long")
         else:
-            pick = [F.min_by(F.struct("rep", "tokens"), F.xxhash64("rep", F.lit(k))).alias(f"l{k}") for k in range(LEADERS)]
-            flat = [F.col(f"l{k}.{c}").alias(f"{c}{k}") for k in range(LEADERS) for c in ("rep", "tokens")]
-            leaders = large.groupBy("node").agg(*pick).select("node", *flat)
-            found.append(large.join(leaders, "node").mapInArrow(_led, "a long, b long"))
-    edges = found[0]
-    for more in found[1:]:
-        edges = edges.unionByName(more)
-    out = components(edges)
+            found.append(large.select(F.col("label").alias("a"), F.col("low").alias("b")).distinct())
+    out = components(_union(found))
     for x in old:
         drop_written(x)
     return out

@@ -49,14 +49,28 @@ def corpus():
     return rows
 
 
-@pytest.mark.parametrize("leaf", [512, 8])
-def test_like_brute_force(spark, monkeypatch, leaf):
+@pytest.mark.parametrize("leaf, depth", [(512, 6), (8, 3)])
+def test_like_brute_force(spark, monkeypatch, leaf, depth):
     monkeypatch.setattr(near_dedup, "LEAF", leaf)
+    monkeypatch.setattr(near_dedup, "DEPTH", depth)
     monkeypatch.setattr(near_dedup, "BLOCK_SETS", 2048 if leaf > 8 else 16)
     rows = corpus()
     assert got(spark, rows) == brute(rows)
 
 
+@pytest.mark.parametrize("depth", [2, 4])
+def test_links_in_crowded_nodes(spark, monkeypatch, depth):
+    """Texts that share a long passage crowd the nodes; the links of pairs among them don't depend on the leaders."""
+    monkeypatch.setattr(near_dedup, "LEAF", 4)
+    monkeypatch.setattr(near_dedup, "DEPTH", depth)
+    shared, rows = " ".join(f"w{k}" for k in range(64)), []
+    for i in range(40):
+        own = " ".join(f"o{i}x{k}" for k in range(60))
+        rows += [(2 * i, f"{shared} {own}"), (2 * i + 1, f"{shared} {own} end{i}")]
+    want = brute(rows)
+    assert len({r[2] for r in want}) == 40 and got(spark, rows) == want
+
+
 def test_empty_null_ids_and_extra_columns(spark):
     assert got(spark, []) == set()
     df = spark.createDataFrame([(None, "a b c d e f", 1, 2), (1, "a b c d e f", 3, 4), (1, "a b c d e f", 3, 4)], "doc_id long, text string, kept int, tokens int")
