@@ -152,3 +152,29 @@ def test_place(spark, tmp_path):
         assert (r.slot, r.shard) == (slot, table[slot])
     sharding.write_shards(df, str(tmp_path / "out"))
     assert spark.read.parquet(str(tmp_path / "out")).count() == 4
+
+
+def test_candidates_are_scored_whole(model):
+    key = "ghp_Zk3v9QxT7bLw2RmY8nPcD4sHfJ6gUaE1iKo0"
+    path = "archive/river/stone/cloud/river/stone/cloud/river/stone"
+    found = lambda t: [s for s in secrets.scan_texts([t], model)[0] if s[2] == "model"]
+    for run in (f"{path}/{key}", f"{path}/{key}/{path}", f"{path}/{path}/{path}/{key}"):
+        assert found(f"see {run} there") == [(4, 4 + len(run), "model")]
+    assert not found(f"see {path}/{path}/{path}/12 there")
+    # every character of a candidate and of the context on both sides is read
+    for n in (16, 17, 40, 41, 64, 100, 1000):
+        text = "b" * 24 + "k" * n + "a" * 24
+        whole = secrets.passage("x" + text + "y", 25, 25 + n)
+        assert whole == text
+        read = {a + j for a, w in zip(secrets.starts(len(whole)), secrets.windows_of(whole)) for j in range(len(w)) if w == whole[a : a + secrets.WIDTH]}
+        assert read == set(range(len(whole)))
+
+
+def test_threshold_follows_recall_alone():
+    model = secrets.Network()
+    model.logits = lambda x: x[:, 0].astype(float)
+    score = [-3, -2, -1, *[1] * 97, *[-4] * 100]
+    y = [1] * 100 + [0] * 100
+    model.calibrate(secrets.np.array([[s, 0] for s in score]), secrets.np.array(y, float), secrets.np.arange(200))
+    p = model.probability(secrets.np.array([[s, 0] for s in score]))
+    assert sum(p[:100] >= model.threshold) == 98 and model.threshold < 0.9
