@@ -6,6 +6,7 @@ by how often the window has it. Windows and items of weighted similarity (sum of
 0.75 differ in 11 of the 64 bits on average, deviation 3, so RADIUS is 23. Fingerprints are cut into 8 blocks; two
 within 23 bits agree up to 2 bits in one block at least, and tables by block value hold all items that near: the
 search loses none within the radius. The exact weighted similarity then decides.
+A document shorter than an item is its one window, whole, unless the sizes alone keep the similarity under SIMILARITY.
 
 Windows without a shingle of an item of their size have similarity 0 and are left out before fingerprints are made.
 Items of fewer than five words are one shingle, their whole sequence, which windows must equal.
@@ -107,8 +108,8 @@ class Items:
         for k, at in owned.items():
             sizes.setdefault(self.sizes[k], []).extend(at)
         for n, at in sizes.items():
-            width = n - SIZE + 1
-            if width > len(shingles):
+            width = min(n - SIZE + 1, len(shingles))  # of a document shorter than the item: all of it
+            if width < SIMILARITY * (n - SIZE + 1):
                 continue
             touched = np.zeros(len(shingles) + 1, np.int64)
             at = np.unique(at)
@@ -169,7 +170,7 @@ def _search(items: Items):
             ids = batch.column("doc_id")
             for (r, k), (share, a) in sorted(best.items()):
                 w0 = word_at[r] + a
-                w1 = w0 + items.sizes[k] - 1
+                w1 = min(w0 + items.sizes[k], word_at[r + 1]) - 1
                 out.append((ids[r].as_py(), items.ids[k], share, int(point[start[w0]] - point[at[r]]), int(point[end[w1]] - point[at[r]])))
             cols = list(zip(*out)) or [()] * 5
             kinds = [pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64()]

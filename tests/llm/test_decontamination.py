@@ -61,3 +61,25 @@ def test_like_brute_force(spark, monkeypatch):
     monkeypatch.setattr(decontamination, "ITEMS", 10)
     assert {(r.doc_id, r.item_id) for r in decontamination.find_leaks(d, b).collect()} == set(want)
     assert decontamination.find_leaks(d, b.limit(0)).count() == 0 and decontamination.find_leaks(d.limit(0), b).count() == 0
+
+
+def test_documents_shorter_than_an_item(spark):
+    rng = random.Random(6)
+    items = [(k, " ".join(f"w{rng.randrange(400)}" for _ in range(n))) for k, n in enumerate([59, 59, 30, 12, 8, 7, 6, 5])] + [(20, "aa " * 20)]
+    docs = [(0, "aa " * 17), (1, "aa " * 15), (2, "w1 w2 w3 w4"), (3, None)]
+    for k, x in items[:8]:
+        w = words(x)
+        for cut in (1, 2, 3, 5, 12, 16):
+            docs += [(1000 * k + 10 * cut + 5, " ".join(w[cut:])), (1000 * k + 10 * cut + 6, " ".join(w[: len(w) - cut])), (1000 * k + 10 * cut + 7, "# ".join(w[cut // 2 : len(w) - (cut + 1) // 2]))]
+        docs += [(1000 * k + 900, " ".join(w[:20] + ["zz"] + w[22:]))]
+    want = brute(docs, items)
+    for d, t in docs:
+        for i, x in items:
+            p, q = bag(words(t)), bag(words(x))
+            if 5 <= len(words(t)) < len(words(x)) and (share := sum((p & q).values()) / sum((p | q).values())) >= 0.75:
+                want[d, i] = round(share, 9)
+    d = spark.createDataFrame(docs, "doc_id long, text string")
+    rows = decontamination.find_leaks(d, spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert {(r.doc_id, r.item_id): round(r.similarity, 9) for r in rows} == want and len(want) > 25
+    texts, bench = dict(docs), dict(items)
+    assert all(words(texts[r.doc_id][r.start : r.end]) == words(texts[r.doc_id]) for r in rows if len(words(texts[r.doc_id])) <= len(words(bench[r.item_id])))
