@@ -178,3 +178,20 @@ def test_threshold_follows_recall_alone():
     model.calibrate(secrets.np.array([[s, 0] for s in score]), secrets.np.array(y, float), secrets.np.arange(200))
     p = model.probability(secrets.np.array([[s, 0] for s in score]))
     assert sum(p[:100] >= model.threshold) == 98 and model.threshold < 0.9
+
+
+def test_kept_texts_lose_their_frequent_lines(spark):
+    body = [f"first {i} " + " ".join(f"w{i}x{k}" for k in range(30)) for i in range(40)]
+    texts = [f"{b}\n\nShare  this PAGE\nlast é {i}" if i % 2 else f"share this page\n{b}\n \nshare\tthis page" for i, b in enumerate(body)]
+    texts += [f"share this page\n{body[0]} other host", None, f"{body[1]}\nonly here"]
+    host = lambda i: "b" if i == 40 else None if i > 40 else "a"
+    df = docs(spark, texts, host)
+    got = {r.doc_id: r for r in quality.keep_good(df.unionByName(df.where("doc_id = 3"))).collect()}
+    rows = {r.doc_id: r for r in df.collect()}
+    norm = lambda x: " ".join(x.split()).lower()
+    for i, t in enumerate(texts[:40]):
+        assert got[i].text == "\n".join(x for x in t.split("\n") if norm(x) != "share this page")
+        assert got[i].asDict() | {"text": t} == rows[i].asDict()
+        gone = len(t.split()) - len(got[i].text.split())
+        assert gone == (3 if i % 2 else 6)
+    assert got[40] == rows[40] and got[42] == rows[42] and 41 not in got
