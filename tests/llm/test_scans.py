@@ -195,3 +195,24 @@ def test_kept_texts_lose_their_frequent_lines(spark):
         gone = len(t.split()) - len(got[i].text.split())
         assert gone == (3 if i % 2 else 6)
     assert got[40] == rows[40] and got[42] == rows[42] and 41 not in got
+
+
+def test_common_wordings_and_full_texts(spark):
+    lines = {
+        "mit": ["Licensed under the MIT License", "under the terms of the MIT license", "This code is distributed under a MIT license."],
+        "lgpl": ["It is released under the GNU Lesser General Public License.", "published under the terms of the GNU LGPL license"],
+        "gpl-2.0": ["This is under the GNU General Public License version 2.", "licensed under GPL version 2"],
+        "agpl-3.0": ["available under the GNU Affero General Public License v3"],
+        "epl-2.0": ["made available under the terms of the Eclipse Public License 2.0"],
+        "cc-by-sa-4.0": ["Text is shared under CC BY-SA 4.0 by all"],
+        "zlib": ["distributed under the zlib license"],
+    }
+    texts = [(k, f"lorem é {t}\nipsum") for k, ts in lines.items() for t in ts]
+    full = {k: t for k, t in licenses.all_templates().items() if k not in licenses.TEMPLATES}
+    assert {"apache-2.0-text", "gpl-3.0-text", "lgpl-2.1-text", "mpl-2.0-text"} <= {k.replace("gpl-3-", "gpl-3.0-") for k in full}
+    texts += [(k, "before " * 50 + t + " after" * 50) for k, t in full.items()]
+    got = {r.doc_id: {x.license for x in r.licenses} for r in licenses.scan_licenses(docs(spark, [t for _, t in texts])).collect()}
+    for i, (k, t) in enumerate(texts):
+        assert k in got[i] or any(x.startswith((f"{k}-notice", f"{k}-header")) for x in got[i]), (k, t[:60], got[i])
+    assert not any(x.startswith("gpl-3.0") for x in got[5] | got[6])
+    assert [r.licenses for r in licenses.scan_licenses(docs(spark, ["the license of the general public under the law is free software", None])).collect()] == [[], []]
