@@ -117,12 +117,13 @@ def blob_rows(rows: np.ndarray) -> pa.Array:
     return pa.Array.from_buffers(pa.binary(), len(rows), [None, at.buffers()[1], pa.py_buffer(rows.tobytes())])
 
 
-def components(edges: DataFrame, most_rounds: int = 40) -> DataFrame:
+def components(edges: DataFrame, most_rounds: int = 1000) -> DataFrame:
     """Vertex `v` and smallest reachable vertex `root` for every end of `edges` (a, b: long).
 
     Alternates large-star and small-star steps: each is one aggregation with map-side combining and one join
     that adaptive execution can split, so a vertex with very many neighbours never lands in one task. Rounds are
-    written to the shared folder; they end when a round changes nothing.
+    written to the shared folder; they end when a round changes nothing; RuntimeError if
+    `most_rounds` were not enough.
     """
     now = written(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     mark = None
@@ -140,4 +141,6 @@ def components(edges: DataFrame, most_rounds: int = 40) -> DataFrame:
         if seen == mark:
             break
         mark = seen
+    else:
+        raise RuntimeError(f"unfinished after {most_rounds} rounds")
     return now.select(F.col("a").alias("v"), F.col("b").alias("root")).unionByName(now.select(F.col("b").alias("v"), F.col("b").alias("root")).distinct())

@@ -32,18 +32,18 @@ def unreachable(edges: DataFrame, nodes: DataFrame, root: DataFrame, parent: str
     return nodes.select(F.col(nodes.columns[0]).alias("node")).join(seen.select("node"), "node", "left_anti")
 
 
-def paths(edges: DataFrame, root: DataFrame, parent: str = "parent", child: str = "child", name: str = "name", most: int = 255) -> DataFrame:
-    """node, path (the root's is empty): of several ways to a node, the smallest of the shortest."""
+def paths(edges: DataFrame, root: DataFrame, parent: str = "parent", child: str = "child", name: str = "name", most: int = 10_000) -> DataFrame:
+    """node, path (the root's is empty): of several ways to a node, the smallest of the shortest. RuntimeError above `most` levels."""
     level = saved(root.select(F.col(root.columns[0]).alias("node"), F.lit("").alias("path")))
     found = level
-    for _ in range(most):
+    for depth in range(1, most + 2):
         steps = edges.join(level.select(F.col("node").alias(parent), F.col("path").alias("_p")), parent)
         following = steps.groupBy(F.col(child).alias("node")).agg(F.min(F.concat("_p", F.lit("/"), F.col(name))).alias("path"))
         level = saved(following.join(found.select("node"), "node", "left_anti"))
         if level.isEmpty():
-            break
-        found = found.unionByName(level)
-    return found
+            return found
+        found = saved(found.unionByName(level)) if depth % 20 == 0 else found.unionByName(level)
+    raise RuntimeError(f"deeper than {most}")
 
 
 def _edges(t: Tables) -> DataFrame:

@@ -392,9 +392,9 @@ def reconcile(spark, sf_dir):
 
 @_query("WITH RECURSIVE r AS (SELECT conv_id, turn, '' AS path FROM conversations WHERE turn = 0 UNION ALL SELECT c.conv_id, c.turn, r.path || '/' || c.role FROM r JOIN conversations c ON c.conv_id = r.conv_id AND c.turn = r.turn + 1) SELECT DISTINCT conv_id, turn, path FROM r")
 def path_of(spark, sf_dir):
-    c = _t(spark, sf_dir, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("child"), (F.col("conv_id") * 1000 + F.col("turn") - 1).alias("parent"), F.col("role").alias("name"), "turn")
+    c = _t(spark, sf_dir, "conversations").select(*(F.struct(F.col("conv_id").cast("long").alias("conv_id"), (F.col("turn").cast("long") - k).alias("turn")).alias(c) for k, c in enumerate(("child", "parent"))), F.col("role").alias("name"), "turn")
     out = tree.paths(c.where("turn > 0"), c.where("turn = 0").select(F.col("child").alias("node")).distinct())
-    return out.select(F.expr("node div 1000").alias("conv_id"), (F.col("node") % 1000).alias("turn"), "path")
+    return out.select("node.conv_id", "node.turn", "path")
 
 
 def _url_edges(spark, sf_dir):
