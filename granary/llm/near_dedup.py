@@ -6,16 +6,19 @@
    class walks from the root to every child whose token a hash of (path, token) selects; BRANCH children are expected
    in each step. A pair of similarity s shares BRANCH * s children of a common node on average, so with s = 0.75 one
    tree misses it with probability exp(-1.5) = 0.22 in the first step, and all 12 trees with 1.4e-8.
-3. A node of at most LEAF classes is compared exhaustively on the tokens. A larger one branches again. Comparisons
-   only gather classes that may be linked (estimated similarity of CANDIDATE or more) into clusters, by one star per
-   node instead of all its pairs. From step GATHER on, a larger node (mostly near copies of one text) is first compared
-   with LEADERS of its classes, which is linear; once all its classes are in one cluster it needs no more comparison,
-   for step 4 decides clusters exhaustively. The others branch on, and what is larger at DEPTH still becomes one cluster
+3. A node of at most LEAF classes is compared exhaustively on the tokens: on FIRST of them, then on all. A class is
+   not compared with those already in its cluster, so near copies cost little. A larger node branches again.
+   Comparisons only gather classes that may be linked (estimated similarity of CANDIDATE or more) into clusters, by one
+   star per node instead of all its pairs. From step GATHER on, a larger node (mostly near copies of one text) is first
+   compared with LEADERS of its classes, which is linear; once all its classes are in one cluster it needs no more
+   comparison, for step 4 decides clusters. The others branch on, and what is larger at DEPTH still becomes one cluster
    as a whole, so no pair that shares a node goes undecided. However deep a tree goes, a pair with s = 0.75 stays
    together in some node with probability 0.58, and all 12 trees lose it with 2.8e-5.
 4. Inside clusters, links are decided on the full sets: 100 * intersection >= 75 * union. A cluster over BLOCK_SETS
-   classes or BLOCK_SHINGLES shingles is dealt into blocks and every two blocks are compared, so no task holds an
-   unbounded group and no link inside a cluster is lost.
+   classes or BLOCK_SHINGLES shingles is dealt into blocks. Each block is first decided together with LEADERS classes
+   of the cluster, which is linear and connects most near copies. Pairs inside the largest component found so need no
+   more; the classes outside of it are compared with all blocks. No task holds an unbounded group, and no link between
+   components is lost.
 
 Joins with whole-corpus tables are always sort-merge joins, so the plan and its disk use are alike at every size.
 
@@ -39,14 +42,18 @@ from granary.llm.shingles import row_sets
 TOKENS = 128
 TREES = 12
 BRANCH = 2.0
-GATHER = 3
+GATHER = 2
 DEPTH = 6
-LEAF = 512
+LEAF = 4096
 LEADERS = 8
 #: 0.75 less over five standard deviations of an estimate from 128 tokens.
 CANDIDATE = 0.55
+#: Tokens compared first, and how many of them must agree: fewer agree for 3 in a million pairs of similarity 0.75.
+FIRST = 32
+FIRST_EQUAL = 12
 BLOCK_SETS = 2048
 BLOCK_SHINGLES = 2_000_000
+LOW = f"substring(tokens, 1, {TOKENS}) AS low"
 
 _rng = np.random.default_rng(75)
 _MULTIPLY = (_rng.integers(1, 2**63, TOKENS, dtype=np.uint64) << np.uint64(1)) | np.uint64(1)
@@ -68,12 +75,21 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sets = row_sets(*text_bytes(batch.column("text")))
         digests = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets]
         tokens = np.stack([minwise(s) if len(s) else np.zeros(TOKENS, np.uint32) for s in sets])
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(digests, pa.binary()), blob_rows(tokens)], ["doc_id", "n_shingles", "digest", "tokens"])
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(digests, pa.binary()), blob_rows(_packed(tokens))], ["doc_id", "n_shingles", "digest", "tokens"])
+
+
+def _packed(tokens: np.ndarray) -> np.ndarray:
+    """Tokens as bytes, the lowest byte of each first, so that a prefix of TOKENS bytes is enough to compare sets."""
+    return np.ascontiguousarray(tokens.view(np.uint8).reshape(-1, TOKENS, 4).transpose(0, 2, 1)).reshape(-1, 4 * TOKENS)
 
 
 def _tokens(column: pa.Array) -> np.ndarray:
     data, _ = text_bytes(column)
-    return data.view(np.uint32).reshape(-1, TOKENS)
+    return np.ascontiguousarray(data.reshape(-1, 4, TOKENS).transpose(0, 2, 1)).view(np.uint32)[..., 0]
+
+
+def _low(column: pa.Array) -> np.ndarray:
+    return text_bytes(column)[0].reshape(-1, TOKENS)
 
 
 def _children(tokens: np.ndarray, path: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -119,6 +135,22 @@ def _links(a: list, b: list) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(np.concatenate(a) if a else np.zeros(0, np.int64), pa.int64()), pa.array(np.concatenate(b) if b else np.zeros(0, np.int64), pa.int64())], ["a", "b"])
 
 
+def gathered(low: np.ndarray) -> np.ndarray:
+    """For each row of tokens the smallest row of its cluster of rows that may be linked."""
+    n = len(low)
+    label, first = np.arange(n), np.ascontiguousarray(low[:, :FIRST])
+    for i in range(n - 1):
+        rest = i + 1 + np.flatnonzero(label[i + 1 :] != label[i])
+        if not len(rest):
+            continue
+        rest = rest[np.count_nonzero(first[rest] == first[i], axis=1) >= FIRST_EQUAL]
+        rest = rest[np.count_nonzero(low[rest] == low[i], axis=1) >= CANDIDATE * TOKENS]
+        if len(rest):
+            merged = np.unique(np.append(label[rest], label[i]))
+            label[np.isin(label, merged)] = merged[0]
+    return label
+
+
 def _leaves(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Exhaustive comparison inside each node; rows come sorted by node."""
     out_a, out_b, held, waiting = [], [], 0, []
@@ -132,16 +164,13 @@ def _leaves(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         waiting.clear()
 
     for group in runs_of(batches, ["node"]):
-        ids, tokens = group.column("rep").to_numpy(), _tokens(group.column("tokens")).astype(np.uint8)
+        ids, low = group.column("rep").to_numpy(), _low(group.column("low"))
         if len(ids) == 2:
-            waiting.append((ids, tokens))
+            waiting.append((ids, low))
             if len(waiting) == 4096:
                 pairs()
         elif len(ids) > 2:
-            near = np.zeros((len(ids), len(ids)), bool)
-            for i in range(len(ids)):
-                near[i, i + 1 :] = (tokens[i + 1 :] == tokens[i]).mean(axis=1) >= CANDIDATE
-            label = star_labels(near | near.T)
+            label = gathered(low)
             other = label != np.arange(len(ids))
             out_a.append(ids[label[other]])
             out_b.append(ids[other])
@@ -159,10 +188,10 @@ def _led(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for big in batches:
         for a in range(0, big.num_rows, 2000):
             batch = big.slice(a, 2000)
-            tokens, ids = _tokens(batch.column("tokens")), batch.column("rep").to_numpy()
+            low, ids = _low(batch.column("low")), batch.column("rep").to_numpy()
             best, to = np.zeros(len(ids)), np.zeros(len(ids), np.int64)
             for k in range(LEADERS):
-                s = (tokens == _tokens(batch.column(f"tokens{k}"))).mean(axis=1)
+                s = (low == _low(batch.column(f"low{k}"))).mean(axis=1)
                 better = s > best
                 best[better], to[better] = s[better], batch.column(f"rep{k}").to_numpy()[better]
             ok = best >= CANDIDATE - 0.05
@@ -226,9 +255,9 @@ def _union(edges: list[DataFrame]) -> DataFrame:
 
 def _led_edges(large: DataFrame, reps: DataFrame, old: list[DataFrame]) -> DataFrame:
     """Each class of the nodes `large` (node, rep) against LEADERS classes of its node."""
-    rows = written(large.join(reps.hint("merge"), "rep").select("node", "rep", "tokens"))
-    pick = [F.min_by(F.struct("rep", "tokens"), F.xxhash64("rep", F.lit(k))).alias(f"l{k}") for k in range(LEADERS)]
-    flat = [F.col(f"l{k}.{c}").alias(f"{c}{k}") for k in range(LEADERS) for c in ("rep", "tokens")]
+    rows = written(large.join(reps.hint("merge"), "rep").selectExpr("node", "rep", LOW))
+    pick = [F.min_by(F.struct("rep", "low"), F.xxhash64("rep", F.lit(k))).alias(f"l{k}") for k in range(LEADERS)]
+    flat = [F.col(f"l{k}.{c}").alias(f"{c}{k}") for k in range(LEADERS) for c in ("rep", "low")]
     leaders = written(rows.groupBy("node").agg(*pick).select("node", *flat))
     old += [rows, leaders]
     return rows.join(leaders, "node").mapInArrow(_led, "a long, b long")
@@ -252,7 +281,7 @@ def candidate_clusters(reps: DataFrame) -> DataFrame:
         sizes = written(rows.groupBy("node").agg(F.count("*").alias("n")).where("n > 1"))
         nodes = written(rows.join(sizes.hint("merge"), "node"))
         old += [sizes, nodes]
-        full = nodes.where(F.col("n") <= LEAF).join(reps.hint("merge"), "rep").select("node", "rep", "tokens")
+        full = nodes.where(F.col("n") <= LEAF).join(reps.hint("merge"), "rep").selectExpr("node", "rep", LOW)
         found.append(full.repartition("node").sortWithinPartitions("node").mapInArrow(_leaves, "a long, b long"))
         large = nodes.where(F.col("n") > LEAF).select("node", "rep")
         if large.isEmpty():
@@ -276,6 +305,40 @@ def candidate_clusters(reps: DataFrame) -> DataFrame:
     return out
 
 
+def _decided(docs: DataFrame, groups: DataFrame) -> DataFrame:
+    """Links on the full sets inside each group (cluster, i, j, rep)."""
+    texts = docs.select(F.col("doc_id").alias("rep"), "text").join(groups.hint("merge"), "rep").select("cluster", "i", "j", "rep", "text")
+    sets = texts.mapInArrow(_sets, "cluster long, i int, j int, rep long, shingles binary")
+    return sets.repartition("cluster", "i", "j").sortWithinPartitions("cluster", "i", "j").mapInArrow(_decide, "a long, b long")
+
+
+def _in_blocks(rows: DataFrame, key: str, size: int, shingles: int) -> DataFrame:
+    """`rows` (cluster, rep, n_shingles) with their block `own` and `n_blocks`, numbered for each (cluster, key)."""
+    sizes = written(rows.groupBy("cluster", key).agg(F.greatest(F.ceil(F.count("*") / size), F.ceil(F.sum("n_shingles") / shingles)).cast("int").alias("n_blocks")))
+    return rows.join(sizes.hint("merge"), ["cluster", key]).withColumn("own", F.pmod(F.xxhash64("rep"), "n_blocks").cast("int"))
+
+
+def _large_links(docs: DataFrame, large: DataFrame) -> DataFrame:
+    """Links in clusters of several blocks (cluster, rep, n_shingles, own, n_blocks); those inside a component may lack."""
+    pick = F.array(*[F.min_by(F.struct("rep", "n_blocks"), F.xxhash64("rep", F.lit(k))) for k in range(LEADERS)])
+    leaders = large.groupBy("cluster").agg(F.array_distinct(pick).alias("l")).select("cluster", F.explode("l").alias("l"))
+    everywhere = leaders.select("cluster", F.explode(F.sequence(F.lit(0), F.col("l.n_blocks") - 1)).alias("i"), F.lit(-1).alias("j"), F.col("l.rep").alias("rep"))
+    own = large.select("cluster", F.col("own").alias("i"), F.lit(-1).alias("j"), "rep")
+    first = written(_decided(docs, written(own.unionByName(everywhere).distinct())))
+    roots = components(first)
+    named = written(large.join(roots.hint("merge"), large.rep == roots.v, "left").select("cluster", "rep", "n_shingles", F.coalesce("root", "rep").alias("part")))
+    counts = named.groupBy("cluster", "part").agg(F.count("*").alias("n"))
+    main = written(counts.groupBy("cluster").agg(F.max_by("part", F.struct("n", "part")).alias("main")))
+    sided = named.join(main.hint("merge"), "cluster").select("cluster", "rep", "n_shingles", (F.col("part") != F.col("main")).alias("outside"))
+    blocks = written(_in_blocks(sided, "outside", BLOCK_SETS // 2, BLOCK_SHINGLES // 2))
+    count = lambda side: F.coalesce(F.max(F.when(F.col("outside") == side, F.col("n_blocks"))), F.lit(0))
+    both = written(blocks.groupBy("cluster").agg(count(True).alias("n_out"), count(False).alias("n_in")).where("n_out > 0"))
+    rows = blocks.join(both.hint("merge"), "cluster").withColumn("own", F.when(F.col("outside"), F.col("own")).otherwise(F.col("n_out") + F.col("own")))
+    met = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.when(F.col("outside"), F.col("n_out") + F.col("n_in") - 1).otherwise(F.col("n_out") - 1))))
+    pairs = met.where("own <> other or n_out + n_in = 1").select("cluster", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "rep")
+    return first.unionByName(_decided(docs, pairs))
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id (smallest doc_id reachable over links), kept (doc_id is component_id)."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
@@ -284,17 +347,11 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     per_class = rows.join(classes.hint("merge"), (rows.digest == classes.digest) & (rows.doc_id == classes.rep)).select("rep", "tokens", "n_shingles").dropDuplicates(["rep"])
     reps = written(per_class)
     clusters = written(candidate_clusters(reps.select("rep", "tokens")).join(reps.select(F.col("rep").alias("v"), "n_shingles"), "v").select(F.col("root").alias("cluster"), F.col("v").alias("rep"), "n_shingles"))
-    blocks = clusters.groupBy("cluster").agg(F.greatest(F.ceil(F.count("*") / BLOCK_SETS), F.ceil(F.sum("n_shingles") / BLOCK_SHINGLES)).cast("int").alias("n_blocks"))
-    dealt = (
-        clusters.join(blocks, "cluster")
-        .select("cluster", "rep", "n_blocks", F.pmod(F.xxhash64("rep"), "n_blocks").cast("int").alias("own"))
-        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1)))
-        .where("n_blocks = 1 or own <> other")
-        .select("cluster", "rep", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
-    )
-    texts = docs.select(F.col("doc_id").alias("rep"), "text").join(dealt.hint("merge"), "rep").select("cluster", "i", "j", "rep", "text")
-    sets = texts.mapInArrow(_sets, "cluster long, i int, j int, rep long, shingles binary")
-    links = sets.repartition("cluster", "i", "j").sortWithinPartitions("cluster", "i", "j").mapInArrow(_decide, "a long, b long")
+    blocks = written(_in_blocks(clusters.withColumn("side", F.lit(0)), "side", BLOCK_SETS, BLOCK_SHINGLES))
+    links = _decided(docs, blocks.where("n_blocks = 1").select("cluster", F.lit(0).alias("i"), F.lit(0).alias("j"), "rep"))
+    large = blocks.where("n_blocks > 1").drop("side")
+    if not large.isEmpty():
+        links = links.unionByName(_large_links(docs, large))
     roots = written(components(links))
     named = classes.join(roots, classes.rep == roots.v, "left").select(classes.digest, F.coalesce("root", "rep").alias("component_id"))
     out = rows.select("doc_id", "n_shingles", "digest").join(named.hint("merge"), "digest", "left")

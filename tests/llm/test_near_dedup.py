@@ -71,6 +71,59 @@ def test_links_in_crowded_nodes(spark, monkeypatch, depth):
     assert len({r[2] for r in want}) == 40 and got(spark, rows) == want
 
 
+def test_thousands_of_near_copies_and_outsiders(spark, monkeypatch):
+    """5,000 copies of a text with one to nine words changed, a tenth of all their links missing, and texts around them."""
+    import random
+
+    rng = random.Random(11)
+    base, rows = [f"w{k}" for k in range(90)], []
+    for i in range(5000):
+        t = list(base)
+        for _ in range(rng.choice((1, 1, 1, 1, 2, 2, 9))):
+            t[rng.randrange(90)] = f"x{rng.randrange(40)}"
+        rows.append((i + 10, " ".join(t)))
+    rows += [(6000 + i, " ".join(f"y{rng.randrange(3000)}" for _ in range(60))) for i in range(300)]
+    sets = [shingles(t) for _, t in rows]
+    # the same by counting shared shingles of every two documents in a matrix
+    import numpy as np
+
+    names = {s: k for k, s in enumerate(sorted(set().union(*sets)))}
+    has = np.zeros((len(rows), len(names)), np.float32)
+    for i, s in enumerate(sets):
+        has[i, [names[x] for x in s]] = 1
+    size, label = has.sum(1), np.arange(len(rows))
+    near = np.zeros((len(rows), len(rows)), bool)
+    for a in range(0, len(rows), 500):
+        both = has[a : a + 500] @ has.T
+        near[a : a + 500] = 100 * both >= 75 * (size[a : a + 500, None] + size[None, :] - both)
+    for _ in range(50):
+        label = np.array([label[near[i]].min() for i in range(len(rows))])
+    ids = [i for i, _ in rows]
+    want = {(ids[i], len(sets[i]), ids[label[i]], label[i] == i) for i in range(len(rows))}
+    groups = np.bincount(label)
+    assert groups.max() > 4000 and (groups == 1).sum() > 500  # one large component, and many that stay outside of it
+    monkeypatch.setattr(near_dedup, "LEAF", 1024)
+    monkeypatch.setattr(near_dedup, "BLOCK_SETS", 512)
+    assert got(spark, rows) == want
+
+
+def test_recall_just_above_the_threshold(spark):
+    """Pairs planted with similarities of 0.75 to 0.80, among texts that share a passage with them."""
+    import random
+
+    rng = random.Random(3)
+    rows = []
+    for i in range(2000):
+        t = [f"p{i}w{k}" for k in range(200)]
+        u = list(t)
+        for k in range(0, 5):  # 5 separate changes cost 5 shingles each: 171 of 221 stay
+            u[20 + 40 * k] = f"p{i}c{k}"
+        rows += [(2 * i, " ".join(t)), (2 * i + 1, " ".join(u))]
+    found = got(spark, rows)
+    assert 0.75 < 171 / 221 < 0.80
+    assert sum(r[2] == r[0] - 1 for r in found if r[0] % 2) >= 1999
+
+
 def test_empty_null_ids_and_extra_columns(spark):
     assert got(spark, []) == set()
     df = spark.createDataFrame([(None, "a b c d e f", 1, 2), (1, "a b c d e f", 3, 4), (1, "a b c d e f", 3, 4)], "doc_id long, text string, kept int, tokens int")
