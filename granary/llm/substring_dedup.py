@@ -4,19 +4,23 @@ Every byte that a LENGTH-byte string covers which also starts elsewhere is remov
 
 1. Anchors bring equal strings together. A window of LENGTH bytes has LENGTH - ANCHOR + 1 runs of ANCHOR bytes; the one
    of smallest hash is its anchor, so equal windows have equal anchors at equal places. About one byte in a hundred
-   starts an anchor. Anchors that occur once are dropped; around the others, the bytes that windows with this anchor can
-   cover are the segments to compare. Equal texts count once here (their classes are removed whole), and so do equal
-   segments of one anchor (repeated whole).
+   starts an anchor; a stretch of close places of one anchor (periodic text) is one entry. Anchors that occur once are
+   dropped; around the others, the bytes that windows with this anchor can cover are the segments to compare. Equal
+   texts count once here (their classes are removed whole), and so do equal segments of one anchor (repeated whole).
 2. The distinct segments of an anchor are indexed. Their suffixes are sorted by prefix doubling, many anchors at a time
    and each for itself; the Burrows-Wheeler transform is cut into runs, and only suffixes at run ends are sampled.
    Matching statistics stream from these: at a sampled suffix the longest match with its neighbour is measured, and
    from there along the text it falls by one per byte, as suffixes inside a run keep their neighbours. Where it is LENGTH
    or more, the match is marked. A repetitive corpus has few runs.
-3. An anchor with more than HOT distinct segments is not gathered in one task: its windows are counted by hash instead,
-   with map-side combining, which gives the same marks.
-
-Marks return to their texts by joins; a text meets its own marks only. Hashes have 64 bits and decide step 3 and equal
-segments; bytes decide step 2. Null is empty. Texts under LENGTH bytes lose nothing, and a repeated row is a repeat.
+3. An anchor with more than HOT distinct segments is not gathered in one task. Its windows start 0 to LENGTH - ANCHOR
+   bytes before it; the nearer half of them all hold the bytes that follow it, the farther half those that precede it. So
+   each segment is cut into these two slices, and slices are dealt by the bytes that all their windows hold: equal
+   windows meet again, in parts that are indexed in the same way, and split again where they are still hot. A part of a
+   single window start holds equal windows only, so the splitting ends.
+
+Marks return to their texts by joins; a text meets its own marks only. Hashes have 64 bits and decide equal segments
+and parts; bytes decide step 2. Null is empty. Texts under LENGTH bytes lose nothing, a repeated row is a repeat, an empty
+table gives no rows, and other columns are ignored. A very long text is scanned alone; its segments are rows of their own.
 """
 
 from __future__ import annotations
@@ -72,38 +76,43 @@ def anchors(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return at, h[at]
 
 
+def stretches(at: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """First and last place and hash of each stretch of places of one anchor whose segments overlap."""
+    order = np.lexsort((at, h))
+    at, h = at[order], h[order]
+    new = np.ones(len(at), bool)
+    new[1:] = (h[1:] != h[:-1]) | (at[1:] - at[:-1] >= 2 * LENGTH - ANCHOR)
+    start = np.flatnonzero(new)
+    return at[start], at[np.append(start[1:], len(at))[: len(start)] - 1], h[start]
+
+
 def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in by_bytes(batches, "text"):
         data, at = text_bytes(batch.column("text"))
         raw = data.tobytes()
-        where, what, sha = [], [], []
+        where, until, what, sha = [], [], [], []
         for a, b in zip(at.tolist(), at[1:].tolist()):
             sha.append(hashlib.sha256(raw[a:b]).digest())
             p, h = anchors(data[a:b]) if b - a >= LENGTH else (np.zeros(0, np.int64), np.zeros(0, np.uint64))
-            where.append(p)
+            first, last, h = stretches(p, h)
+            where.append(first)
+            until.append(last)
             what.append(h)
         cut = pa.array(np.concatenate([[0], np.cumsum([len(p) for p in where])]), pa.int32())
-        lists = [pa.ListArray.from_arrays(cut, pa.array(np.concatenate(x or [[]]).astype(np.uint64).view(np.int64), pa.int64())) for x in (what, where)]
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(np.diff(at)), pa.array(sha, pa.binary()), *lists], ["doc_id", "n_bytes", "sha", "anchors", "places"])
+        lists = [pa.ListArray.from_arrays(cut, pa.array(np.concatenate(x or [[]]).astype(np.uint64).view(np.int64), pa.int64())) for x in (what, where, until)]
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(np.diff(at)), pa.array(sha, pa.binary()), *lists], ["doc_id", "n_bytes", "sha", "anchors", "places", "lasts"])
 
 
 def _segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """For each repeated anchor of a text the bytes around it, overlapping stretches of one anchor as one."""
+    """For each stretch of a repeated anchor of a text the bytes around it."""
     reach = LENGTH - ANCHOR
     for batch in by_bytes(batches, "text", 1 << 18):
         out = []
-        for sha, text, what, where in zip(*(batch.column(c).to_pylist() for c in ("sha", "text", "anchors", "places"))):
+        for sha, text, what, where, until in zip(*(batch.column(c).to_pylist() for c in ("sha", "text", "anchors", "places", "lasts"))):
             raw = text.encode()
-            last: dict[int, list[int]] = {}
-            for h, p in sorted(zip(what, where), key=lambda x: x[1]):
-                a, b = max(0, p - reach), min(len(raw), p + LENGTH)
-                if h in last and a < last[h][1]:
-                    last[h][1] = b
-                    continue
-                if h in last:
-                    out.append((h, sha, *last[h], raw[last[h][0] : last[h][1]]))
-                last[h] = [a, b]
-            out += [(h, sha, a, b, raw[a:b]) for h, (a, b) in last.items()]
+            for h, p, q in zip(what, where, until):
+                a, b = max(0, p - reach), min(len(raw), q + LENGTH)
+                out.append((h, sha, a, b, raw[a:b]))
         cols = list(zip(*out)) or [()] * 5
         keys = [int.from_bytes(hashlib.blake2b(s, digest_size=8).digest(), "little", signed=True) for s in cols[4]]
         yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.binary()), pa.array(cols[2], pa.int64()), pa.array(keys, pa.int64()), pa.array(cols[4], pa.binary())], ["anchor", "sha", "start", "segment", "bytes"])
@@ -216,7 +225,7 @@ def _index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return _marks([(*name, a, b) for name, s, t in zip(names, start.tolist(), texts) for a, b in covered(best, s, len(t))])
 
     for k, table in enumerate(runs_of(batches, ["anchor"])):
-        if table.num_rows > 1 or len(table["bytes"][0].as_py()) > 2 * LENGTH - ANCHOR:
+        if table.num_rows > 1 or len(table["bytes"][0].as_py()) > LENGTH:
             for anchor, segment, raw in zip(*(table[c].to_pylist() for c in ("anchor", "segment", "bytes"))):
                 texts.append(raw)
                 groups.append(k & 0x7FFFFF)
@@ -229,19 +238,33 @@ def _index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield done()
 
 
-def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in by_bytes(batches, "bytes", 1 << 16):
+_SLICES = "part long, slice long, near long, far long, anchor long, segment long, offset long, place long, bytes binary"
+
+
+def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Two slices of each segment whose windows start `near` to `far` bytes before the anchor: its nearer and farther half."""
+    for batch in by_bytes(batches, "bytes", 1 << 18):
         out = []
-        for anchor, segment, raw in zip(*(batch.column(c).to_pylist() for c in ("anchor", "segment", "bytes"))):
-            h = window_hashes(np.frombuffer(raw, np.uint8), LENGTH).view(np.int64)
-            out.append((np.full(len(h), anchor), np.full(len(h), segment), np.arange(len(h)), h))
-        cols = [np.concatenate(c) for c in zip(*out)] if out else [np.zeros(0, np.int64)] * 4
-        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["anchor", "segment", "at", "window"])
+        for anchor, segment, near, far, place, raw in zip(*(batch.column(c).to_pylist() for c in ("anchor", "segment", "near", "far", "place", "bytes"))):
+            middle, places = (near + far) // 2, [place]
+            if place < 0:
+                places = np.flatnonzero(window_hashes(np.frombuffer(raw, np.uint8), ANCHOR).view(np.int64) == anchor).tolist()
+            for p in places:
+                for a, b in ((near, middle), (middle + 1, far)):
+                    if a > b or p < a or p + LENGTH - b > len(raw):
+                        continue  # no window of these starts fits into the text
+                    lo, hi = max(0, p - b), min(len(raw), p + LENGTH - a)
+                    part = hashlib.blake2b(b"%d %d %d " % (anchor, a, b) + raw[p - a : p + LENGTH - b], digest_size=8).digest()
+                    name = hashlib.blake2b(b"%d " % (p - lo) + raw[lo:hi], digest_size=8).digest()
+                    out.append((int.from_bytes(part, "little", signed=True), int.from_bytes(name, "little", signed=True), a, b, anchor, segment, lo, p - lo, raw[lo:hi]))
+        cols = list(zip(*out)) or [()] * 9
+        kinds = [*[pa.int64()] * 8, pa.binary()]
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], [c.split()[0] for c in _SLICES.split(", ")])
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Length, removed bytes, spans and rest of each text with marks."""
-    for batch in batches:
+    for batch in by_bytes(batches, "text"):
         out = []
         for sha, text, marks in zip(*(batch.column(c).to_pylist() for c in ("sha", "text", "marks"))):
             raw = text.encode()
@@ -264,41 +287,45 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _all_marks(segments: DataFrame) -> DataFrame:
-    """anchor, segment, at, to: what is repeated of each distinct segment (anchor, segment, bytes, copies)."""
+    """anchor, segment, at, to: what is repeated of each distinct segment (anchor, segment, near, far, place, bytes, copies)."""
     whole = segments.where("copies > 1").select("anchor", "segment", F.lit(0).cast("long").alias("at"), F.length("bytes").cast("long").alias("to"))
     kinds = written(segments.groupBy("anchor").agg(F.count("*").alias("kinds")))
-    sized = segments.select("anchor", "segment", "bytes").join(kinds.hint("merge"), "anchor")
+    sized = segments.join(kinds.hint("merge"), "anchor")
     cold = sized.where(F.col("kinds") <= HOT).select("anchor", "segment", "bytes")
     marks = whole.unionByName(cold.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(_index, _MARKS))
     if kinds.where(F.col("kinds") > HOT).isEmpty():
         return marks
-    hot = sized.where(F.col("kinds") > HOT).select("anchor", "segment", "bytes")
-    windows = hot.mapInArrow(_windows, "anchor long, segment long, at long, window long")
-    often = windows.groupBy("anchor", "window").agg(F.count("*").alias("n")).where("n > 1").select("anchor", "window")
-    found = windows.join(often.hint("merge"), ["anchor", "window"]).select("anchor", "segment", "at", (F.col("at") + LENGTH).alias("to"))
-    return marks.unionByName(found)
+    hot = sized.where(F.col("kinds") > HOT).select("anchor", "segment", "near", "far", "place", "bytes")
+    slices = written(hot.mapInArrow(_slices, _SLICES))
+    first = [F.first(c).alias(c) for c in ("near", "far", "place", "bytes")]
+    distinct = written(slices.groupBy(F.col("part").alias("anchor"), F.col("slice").alias("segment")).agg(*first, F.count("*").alias("copies")))
+    found = _all_marks(distinct).select(F.col("anchor").alias("part"), F.col("segment").alias("slice"), "at", "to")
+    own = slices.select("part", "slice", "anchor", "segment", "offset").join(found.hint("merge"), ["part", "slice"])
+    return marks.unionByName(own.select("anchor", "segment", (F.col("offset") + F.col("at")).alias("at"), (F.col("offset") + F.col("to")).alias("to")))
 
 
 def repeated_bytes(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256, spans (removed bytes: at, to) of every document."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    rows = written(docs.mapInArrow(_scan, "doc_id long, n_bytes long, sha binary, anchors array<long>, places array<long>"))
-    classes = rows.groupBy("sha").agg(F.count("*").alias("copies"), F.first("n_bytes").alias("n_bytes"), F.first("anchors").alias("anchors"), F.first("places").alias("places"))
-    places = classes.where(F.col("n_bytes") >= LENGTH).select("sha", F.explode(F.arrays_zip("anchors", "places")).alias("x")).select("sha", F.col("x.anchors").alias("anchor"), F.col("x.places").alias("place"))
+    rows = written(docs.mapInArrow(_scan, "doc_id long, n_bytes long, sha binary, anchors array<long>, places array<long>, lasts array<long>"))
+    classes = rows.groupBy("sha").agg(F.count("*").alias("copies"), F.first("n_bytes").alias("n_bytes"), F.first("anchors").alias("anchors"), F.first("places").alias("places"), F.first("lasts").alias("lasts"))
+    places = classes.where(F.col("n_bytes") >= LENGTH).select("sha", F.explode(F.arrays_zip("anchors", "places", "lasts")).alias("x")).select("sha", F.col("x.anchors").alias("anchor"), F.col("x.places").alias("place"), F.col("x.lasts").alias("last"))
     # written, so that adaptive execution can split the join's hot anchors: it can't where an aggregate feeds a join
-    often = written(places.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor"))
-    asked = places.join(often.hint("merge"), "anchor").groupBy("sha").agg(F.collect_list(F.struct("anchor", "place")).alias("a"))
-    asked = asked.select("sha", F.col("a.anchor").alias("anchors"), F.col("a.place").alias("places"))
+    often = written(places.groupBy("anchor").agg(F.sum(F.when(F.col("last") > F.col("place"), 2).otherwise(1)).alias("n")).where("n > 1").select("anchor"))
+    asked = places.join(often.hint("merge"), "anchor").groupBy("sha").agg(F.collect_list(F.struct("anchor", "place", "last")).alias("a"))
+    asked = asked.select("sha", F.col("a.anchor").alias("anchors"), F.col("a.place").alias("places"), F.col("a.last").alias("lasts"))
     texts = docs.where(F.octet_length("text") >= LENGTH).select(F.unhex(F.sha2("text", 256)).alias("sha"), "text")
-    asked_texts = written(texts.join(asked.hint("merge"), "sha").groupBy("sha").agg(F.first("text").alias("text"), F.first("anchors").alias("anchors"), F.first("places").alias("places")))
+    asked_texts = written(texts.join(asked.hint("merge"), "sha").groupBy("sha").agg(F.first("text").alias("text"), F.first("anchors").alias("anchors"), F.first("places").alias("places"), F.first("lasts").alias("lasts")))
     occurrences = written(asked_texts.mapInArrow(_segments, "anchor long, sha binary, start long, segment long, bytes binary"))
     segments = written(occurrences.groupBy("anchor", "segment").agg(F.count("*").alias("copies"), F.first("bytes").alias("bytes")))
+    start = [F.lit(n).cast("long").alias(c) for c, n in (("near", 0), ("far", LENGTH - ANCHOR), ("place", -1))]
+    segments = segments.select("anchor", "segment", *start, "bytes", "copies")
     marks = _all_marks(segments)
     own = occurrences.select("anchor", "segment", "sha", "start").join(marks.hint("merge"), ["anchor", "segment"])
     own = own.groupBy("sha").agg(F.collect_set(F.struct((F.col("start") + F.col("at")).alias("at"), (F.col("start") + F.col("to")).alias("to"))).alias("marks"))
     cut = asked_texts.select("sha", "text").join(own.hint("merge"), "sha").mapInArrow(_cut, "sha binary, n_removed long, n_spans long, kept_sha256 string, spans array<struct<at: bigint, to: bigint>>")
     copies = rows.groupBy("sha").agg(F.count("*").alias("copies"))
-    known = copies.join(cut.hint("merge"), "sha", "left")
+    known = written(copies.join(cut.hint("merge"), "sha", "left"))  # written for the same reason as `often`
     out = rows.select("doc_id", "n_bytes", "sha").join(known.hint("merge"), "sha", "left")
     whole = (F.col("copies") > 1) & (F.col("n_bytes") >= LENGTH)
     return out.select(

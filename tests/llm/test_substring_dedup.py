@@ -84,3 +84,35 @@ def test_every_window_has_its_smallest_run():
         w = every[a : a + sd.LENGTH - sd.ANCHOR + 1]
         assert a + int(w.argmin()) in at
     assert len(at) < 0.03 * len(data)
+
+
+def test_hot_anchors_are_split_until_windows_meet(spark, monkeypatch):
+    """Many texts hold one passage with different bytes around and inside of it; every split gives the marks of brute force."""
+    rng = random.Random(9)
+    text = lambda n: "".join(rng.choice("abcdefgh") for _ in range(n))
+    core, left, right, texts = text(sd.ANCHOR), text(300), text(300), []
+    for i in range(60):
+        a, b = rng.randrange(0, 301), rng.randrange(0, 301)
+        texts.append(text(rng.randint(0, 250)) + left[300 - a :] + core + right[:b] + text(rng.randint(0, 250)))
+    texts += ["q" * 5000, "xy" * 900 + core + right, "q" * 5001]
+    monkeypatch.setattr(sd, "HOT", 2)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    want = brute(texts, sd.LENGTH)
+    assert 0 < sum(w[1] for w in want[:60]) < sum(w[0] for w in want[:60])
+    for r in sd.repeated_bytes(df).collect():
+        assert (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) == want[r.doc_id], r.doc_id
+
+
+def test_periodic_text_is_one_entry():
+    at, h = sd.anchors(np.frombuffer(b"c" * 100_000, np.uint8))
+    first, last, _ = sd.stretches(at, h)
+    assert len(at) > 50_000 and len(first) == 1 and last[0] == at.max() and first[0] == at.min()
+
+
+def test_query_columns(spark, tmp_path):
+    from granary.llm.queries import op8_suffix_dedup
+
+    spark.createDataFrame([(1, "ab" * 300), (2, "clean text"), (3, None)], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r.doc_id: r for r in op8_suffix_dedup(spark, str(tmp_path)).collect()}
+    assert (got[1].kept, got[1].n_kept, got[1].spans) == (False, 0, "0:600")
+    assert (got[2].kept, got[2].n_kept, got[2].spans) == (True, 10, "") and got[3].n_kept == 0
