@@ -1,11 +1,16 @@
-"""Scalar functions over columns; all of them built-in expressions that stay inside code generation."""
+"""Functions over columns, built-in expressions that stay inside code generation, and names and numbers over rows."""
 
 from __future__ import annotations
 
+import bisect
+import string
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from granary.operators.storage import saved
+
 
 def sha256(c: Column) -> Column:
     return F.unhex(F.sha2(c.cast("binary"), 256))
@@ -80,10 +85,11 @@ def block_span(offset: Column, length: Column, size: int) -> tuple[Column, Colum
 
 
 def key_path(n: Column, digits: int = 3) -> Column:
-    """Directory path of an object number: three digits a level, none for numbers under 1000."""
+    """Directory path of an object number: below each other its first 3, 6, 9 ... digits, then the number itself."""
     s = n.cast("string")
-    lead = F.transform(F.sequence(F.lit(0), F.greatest(F.lit(0), F.floor((F.length(s) - 1) / digits).cast("int") - 1)), lambda k: F.substring(s, k * digits + 1, F.lit(digits)))
-    return F.when(F.length(s) > digits, F.concat(F.array_join(lead, "/"), F.lit("/"), s)).otherwise(s)
+    levels = F.floor((F.length(s) - 1) / digits).cast("int")
+    above = F.transform(F.sequence(F.lit(1), levels), lambda k: F.substring(s, F.lit(1), k * digits))
+    return F.when(levels > 0, F.concat(F.array_join(above, "/"), F.lit("/"), s)).otherwise(s)
 
 
 def split_every(c: Column, size: int) -> Column:
@@ -126,11 +132,12 @@ def touch_atime(atime: Column, mtime: Column, ctime: Column, now: Column) -> Col
 
 
 def first_char_part(c: Column, parts: int) -> Column:
-    """Part of a name by its first character: letters and digits in `parts` - 1 even ranges, all else in the last."""
-    alphabet = "abcdefghijklmnopqrstuvwxyz0123456789"
-    at = F.instr(F.lit(alphabet), F.substring(F.lower(c), F.lit(1), F.lit(1)))
-    hit = (at > 0) & (F.length(c) > 0)
-    return F.when(hit, F.floor((at - 1) * (parts - 1) / len(alphabet)).cast("int")).otherwise(F.lit(parts - 1))
+    """Part of a name by its first character: a-z, A-Z and 0-9 each in `parts` - 1 even ranges, all else in the last."""
+    pools = [string.ascii_lowercase, string.ascii_uppercase, string.digits]
+    bounds = [[int(i * (len(pool) / (parts - 1))) for i in range(parts)] for pool in pools]
+    part = [parts - 1, *(bisect.bisect_right(b, k) - 1 for pool, b in zip(pools, bounds) for k in range(len(pool)))]
+    at = F.when(F.length(c) > 0, F.instr(F.lit("".join(pools)), F.substring(c, F.lit(1), F.lit(1)))).otherwise(0)
+    return F.element_at(F.array(*map(F.lit, part)), at + 1)
 
 
 def number_list(df: DataFrame, partition: list[str], column: str) -> DataFrame:
@@ -145,18 +152,33 @@ def number_list(df: DataFrame, partition: list[str], column: str) -> DataFrame:
 
 
 def unique_names(wanted: DataFrame, taken: DataFrame, key: str = "parent", name: str = "name", order: str = "id") -> DataFrame:
-    """`new_name` for each wanted name: shortened in the middle above 251 bytes, then -1, -2 ... where it is taken.
+    """`new_name` for each wanted name: shortened in the middle above 251 bytes, then the first free one of name, name-1, ...
 
-    Numbering is one window per (key, name); names already there are counted, so no search loop is needed.
+    The k-th of several equal names takes the k-th free number: one window over its wanted rows and the numbers that are
+    taken. Where two names lead to the same one (`a` twice and `a-1`), the first row in `order` has it and the others look
+    again, until every (key, name) is there once.
     """
     raw = F.col(name).cast("binary")
     short = F.when(F.octet_length(raw) > 251, F.concat(F.substring(raw, F.lit(1), F.lit(120)), F.lit(" ... ").cast("binary"), F.substring(raw, F.octet_length(raw) - 119, F.lit(120)))).otherwise(raw)
-    base = wanted.withColumn("_base", short.cast("string"))
-    suffix = taken.select(F.col(key), F.col(name).cast("string").alias("_t"))
-    stem = suffix.select(key, F.regexp_extract("_t", r"^(?s)(.*)-([0-9]{1,9})$", 1).alias("_stem"), F.regexp_extract("_t", r"^(?s)(.*)-([0-9]{1,9})$", 2).alias("_n")).where("_n <> ''")
-    highest = stem.groupBy(key, F.col("_stem").alias("_base")).agg(F.max(F.col("_n").cast("long")).alias("_high"))
-    plain = suffix.select(key, F.col("_t").alias("_base"), F.lit(1).alias("_there")).distinct()
-    w = Window.partitionBy(key, "_base").orderBy(order)
-    numbered = base.join(plain, [key, "_base"], "left").join(highest, [key, "_base"], "left").withColumn("_k", F.row_number().over(w) - F.when(F.col("_there").isNull(), 1).otherwise(0))
-    new = F.when(F.col("_k") == 0, F.col("_base")).otherwise(F.concat("_base", F.lit("-"), (F.col("_k") + F.coalesce("_high", F.lit(0))).cast("string")))
-    return numbered.select(*wanted.columns, new.alias("new_name"))
+    waiting = saved(wanted.withColumn("_base", short.cast("string")))
+    names = saved(taken.select(F.col(key), F.col(name).cast("string").alias("_t")).distinct())
+    done = None
+    while not waiting.isEmpty():
+        stem, number = (F.regexp_extract("_t", r"(?s)^(.*)-([1-9][0-9]{0,17})$", k) for k in (1, 2))
+        numbers = names.select(key, F.col("_t").alias("_base"), F.lit(0).cast("long").alias("_n")).unionByName(names.where(number != "").select(key, stem.alias("_base"), number.cast("long").alias("_n")))
+        numbers = numbers.join(waiting.select(key, "_base").distinct(), [key, "_base"], "left_semi").distinct()
+        here = Window.partitionBy(key, "_base")
+        free_before = numbers.select(key, "_base", (F.col("_n") - F.row_number().over(here.orderBy("_n")) + 1).alias("_at"), F.lit(0).alias("_kind"))
+        asked = waiting.withColumn("_at", (F.row_number().over(here.orderBy(order)) - 1).cast("long")).withColumn("_kind", F.lit(1))
+        both = asked.unionByName(free_before, allowMissingColumns=True)
+        passed = F.sum(1 - F.col("_kind")).over(here.orderBy("_at", "_kind").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+        chosen = both.withColumn("_n", F.col("_at") + passed).where("_kind = 1")
+        chosen = chosen.withColumn("new_name", F.when(F.col("_n") == 0, F.col("_base")).otherwise(F.concat("_base", F.lit("-"), F.col("_n").cast("string"))))
+        chosen = saved(chosen.withColumn("_turn", F.row_number().over(Window.partitionBy(key, "new_name").orderBy(order))))
+        first = chosen.where("_turn = 1")
+        done = first if done is None else done.unionByName(first)
+        waiting = chosen.where("_turn > 1").select(*waiting.columns)
+        names = names.unionByName(first.select(key, F.col("new_name").alias("_t")))
+    if done is None:
+        done = waiting.withColumn("new_name", F.col("_base"))
+    return done.select(*wanted.columns, "new_name")

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from granary.functions.scalar import unique_names
 from granary.operators.relational import dangling, delete_in, differences, recount
 from granary.operators.storage import assign_ids, saved
-from granary.operators.tree import reachable, recounted
+from granary.operators.tree import reachable
 from granary.plans.schema import CONTROL, DIRECTORY, FOREIGN_KEYS, LOST_FOUND, PRIMARY_KEYS, REGULAR, ROOT, SYMLINK, TYPE_MASK, UNIQUE_KEYS, BLOCK_DEVICE, CHAR_DEVICE, Tables
 
 Detector = Callable[[Tables], DataFrame]
@@ -34,10 +34,6 @@ def _kind(mode: str = "mode"):
     return F.col(mode).bitwiseAND(F.lit(TYPE_MASK))
 
 
-def _empty(t: Tables) -> DataFrame:
-    return t.inodes.select("id").limit(0)
-
-
 # --- lost+found ---------------------------------------------------------------------------------------------
 
 
@@ -179,10 +175,11 @@ def detect_attribute_name(t: Tables) -> DataFrame:
 
 
 def repair_attribute_name(t: Tables, bad: DataFrame) -> Tables:
-    """Attributes without a name are called lost+found_<n>."""
-    bad = saved(bad)
+    """Attributes without a name are called lost+found_<n>, or what follows if that is taken."""
     label = F.concat(F.lit("lost+found_"), F.col("name_id").cast("string")).cast("binary")
-    names = t.names.unionByName(bad.select(F.col("name_id").alias("id"), label.alias("name"), F.lit(0).cast("long").alias("refcount")).distinct())
+    wanted = saved(bad.select(F.lit(0).alias("all"), F.col("name_id").alias("id"), label.alias("name")).distinct())
+    free = unique_names(wanted, t.names.select(F.lit(0).alias("all"), "name"), "all")
+    names = t.names.unionByName(free.select("id", F.col("new_name").cast("binary").alias("name"), F.lit(0).cast("long").alias("refcount")))
     return t.with_(names=recount(names, "id", "refcount", [(t.contents, "name_id"), (t.ext_attributes, "name_id")]))
 
 
@@ -259,14 +256,29 @@ def detect_loops(t: Tables) -> DataFrame:
 
 
 def repair_loops(t: Tables, bad: DataFrame) -> Tables:
-    """Anchors one victim at a time, a self-parent first, else the smallest, and looks again what is left."""
+    """Anchors, in each round, every directory that is its own parent and the smallest of every other loop.
+
+    The smallest that reaches a directory is found for all of them at once, by handing down minima along the entries. A
+    directory that is its own smallest is anchored if it comes back to itself, or if nothing holds it.
+    """
     while not (bad := saved(bad)).isEmpty():
-        own = bad.join(t.contents.where("parent_inode = inode").select(F.col("inode").alias("node")), "node", "left_semi")
-        victim = own.agg(F.min("node")).first()[0] or bad.agg(F.min("node")).first()[0]
-        entry = t.contents_v().where(F.col("inode") == victim).orderBy("rowid").limit(1).select("rowid", "inode", "name")
-        if entry.isEmpty():
-            entry = t.inodes.where(F.col("id") == victim).select(F.lit(-1).cast("long").alias("rowid"), F.col("id").alias("inode"), F.concat(F.lit("inode-"), F.col("id").cast("string")).cast("binary").alias("name"))
-        t = move_to_lost_found(t, entry)
+        edges = saved(t.contents.join(bad.select(F.col("node").alias("inode")), "inode", "left_semi").join(bad.select(F.col("node").alias("parent_inode")), "parent_inode", "left_semi").select(F.col("parent_inode").alias("a"), F.col("inode").alias("b")))
+        own = edges.where("a = b").select(F.col("a").alias("node"))
+        low = saved(bad.select("node", F.col("node").alias("low")))
+        while True:
+            down = edges.join(low.select(F.col("node").alias("a"), F.col("low").alias("_l")), "a").select(F.col("b").alias("node"), F.col("_l").alias("low"))
+            after = saved(low.unionByName(down).groupBy("node").agg(F.min("low").alias("low")))
+            if after.join(low.withColumnRenamed("low", "_was"), "node").where("low < _was").isEmpty():
+                break
+            low = after
+        above = edges.join(low.select(F.col("node").alias("a"), F.col("low").alias("_l")), "a")
+        round_trip = above.where("_l = b").select(F.col("b").alias("node"))
+        held = edges.select(F.col("b").alias("node")).distinct()
+        least = low.where("node = low").select("node")
+        victims = saved(own.unionByName(least.join(round_trip, "node", "left_semi")).unionByName(least.join(held, "node", "left_anti")).distinct())
+        entries = t.contents_v().join(victims.select(F.col("node").alias("inode")), "inode").groupBy("inode").agg(F.min_by(F.struct("rowid", "name"), "rowid").alias("e")).select("e.rowid", "inode", "e.name")
+        alone = victims.select(F.col("node").alias("inode")).join(t.contents, "inode", "left_anti").select(F.lit(-1).cast("long").alias("rowid"), "inode", F.concat(F.lit("inode-"), F.col("inode").cast("string")).cast("binary").alias("name"))
+        t = move_to_lost_found(t, saved(entries.unionByName(alone)))
         t = t.with_(contents=saved(t.contents), names=saved(t.names))
         bad = detect_loops(t)
     return t
@@ -353,5 +365,3 @@ def run_checks(t: Tables, block_size: int, listing: DataFrame | None = None, rep
             t = Tables(**{name: saved(df) for name, df in t.items()})
     return t, found
 
-
-__all__ = ["Check", "checks", "run_checks", "recounted"]

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 
@@ -11,21 +12,35 @@ from pyspark.sql.window import Window
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """spark.checkpoint.dir, or a fresh local folder where that is unset."""
+    """spark.checkpoint.dir, or, on a local master only, a fresh local folder where that is unset."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         found = tempfile.mkdtemp(prefix="granary-checkpoint-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 
 
 def saved(df: DataFrame) -> DataFrame:
-    """`df` written once and read back: cuts the lineage of loops, and lost executors need not repeat it."""
+    """`df` written once and read back: cuts the lineage of loops, and lost executors need not repeat it.
+
+    The table is removed when the application ends.
+    """
     path = f"{shared_folder(df.sparkSession)}/granary-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    atexit.register(_remove, df.sparkSession, path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def _remove(spark: SparkSession, path: str) -> None:
+    try:
+        p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+    except Exception:  # noqa: BLE001 - the session may have ended before
+        pass
+
+
 def assign_ids(df: DataFrame, order: list[str], column: str = "id", after: int = 0) -> DataFrame:
     """Dense ids after `after` in the order of `order`, without sorting all rows in one task.
 

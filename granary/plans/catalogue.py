@@ -6,15 +6,16 @@ log of writes. Each query calls the operator of its name on whole tables.
 
 from __future__ import annotations
 
-import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from granary.functions import codec, scalar
 from granary.operators import checks, content, relational, stats, tree, versions
-from granary.operators.storage import saved, shared_folder
+from granary.operators.storage import assign_ids, saved, shared_folder
 from granary.plans.schema import CONTROL, DIRECTORY, REGULAR, ROOT, SYMLINK, Tables
 from granary.sources import store
 from granary.streaming import flows
@@ -115,22 +116,19 @@ def truncate_blocks(spark, sf_dir):
     return content.truncate(_blocks(spark, sf_dir).select("doc_id", "blockno", "data"), sizes, "doc_id", BLOCK)
 
 
-@_query("SELECT doc_id, sha256(substr(rpad(text, 2000, 'x'), 1, 1000) || repeat('B', 100) || substr(rpad(text, 2000, 'x'), 1101, 500) || repeat('C', 30) || substr(rpad(text, 2000, 'x'), 1631, 370)) AS hash FROM documents WHERE length(text) >= 2000")
-def apply_writes(spark, sf_dir):
-    # writes address bytes; texts of one-byte characters keep the two sides comparable
-    plain = _t(spark, sf_dir, "documents").where(F.length("text") >= 2000).select("doc_id", F.substring("text", 1, 2000).alias("text"))
-    base = content.chunk(plain.select("doc_id", F.col("text").cast("binary").alias("text")), "doc_id", "text", BLOCK).select("doc_id", "blockno", "data")
-    at = lambda n: F.octet_length(F.substring("text", 1, n)).cast("long")
-    one = plain.select("doc_id", at(1000).alias("offset"), F.lit("A" * 100).alias("data"), F.lit(1).alias("version"), "text")
-    two = plain.select("doc_id", at(1000).alias("offset"), F.lit("B" * 100).alias("data"), F.lit(2).alias("version"), "text")
-    three = plain.select("doc_id", at(1600).alias("offset"), F.lit("C" * 30).alias("data"), F.lit(3).alias("version"), "text")
-    only = F.octet_length("text") == F.length("text")
-    writes = one.unionByName(two).unionByName(three).where(only).drop("text")
-    new = content.apply_writes(base.join(plain.where(only).select("doc_id"), "doc_id", "left_semi"), writes, "doc_id", BLOCK)
-    return content.read_range(new, plain.where(only).select("doc_id", F.lit(2000).cast("long").alias("size")), "doc_id", BLOCK, 0, 2000).select("doc_id", F.sha2("data", 256).alias("hash"))
+_WRITES = [(1000, "A" * 100, 1), (1000, "B" * 100, 2), (1600, "C" * 30, 3)]
 
 
-ORACLE["apply_writes"] += " AND octet_length(encode(substr(text, 1, 2000))) = 2000"
+# bytes as hex digits, two each: what is past the end of a text is filled with zero bytes before it is written over
+@_query("SELECT doc_id, sha256(unhex(substr(h, 1, 2000) || repeat('42', 100) || substr(h, 2201, 1000) || repeat('43', 30) || substr(h, 3261))) AS hash FROM (SELECT doc_id, rpad(hex(encode(coalesce(text, ''))), greatest(2 * octet_length(encode(coalesce(text, ''))), 3260)::INT, '0') AS h FROM documents)")
+def apply_writes(spark, sf_dir):
+    docs = _t(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).cast("binary").alias("text"))
+    base = content.chunk(docs, "doc_id", "text", BLOCK).select("doc_id", "blockno", "data")
+    write = F.explode(F.array(*[F.struct(F.lit(o).cast("long").alias("offset"), F.lit(d).alias("data"), F.lit(v).alias("version")) for o, d, v in _WRITES]))
+    new = content.apply_writes(base, docs.select("doc_id", write.alias("w")).select("doc_id", "w.offset", "w.data", "w.version"), "doc_id", BLOCK)
+    size = F.greatest(F.length("text"), F.lit(1630)).cast("long").alias("size")
+    sizes = docs.select("doc_id", size)
+    return content.read_range(new, sizes, "doc_id", BLOCK, 0, 2**31 - 1).select("doc_id", F.sha2("data", 256).alias("hash"))
 
 
 @_query("SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN 'missing' WHEN doc_id % 11 = 0 AND length(text) > 0 THEN 'size' WHEN doc_id % 7 = 0 THEN 'hash' ELSE 'ok' END AS status FROM documents")
@@ -141,9 +139,9 @@ def verify_objects(spark, sf_dir):
     return content.verify_objects(objects, docs.where("doc_id % 5 <> 0").withColumn("data", damaged), "doc_id")
 
 
-@_query(f"WITH {_B} SELECT doc_id, blockno::BIGINT AS blockno, CASE WHEN doc_id % 3 = 0 THEN 'relink' WHEN doc_id % 3 = 1 THEN 'keep' ELSE 'add' END AS action FROM h WHERE blockno = 0")
+@_query(f"WITH {_B} SELECT doc_id, blockno::BIGINT AS blockno, CASE WHEN doc_id % 3 = 0 THEN 'relink' WHEN doc_id % 3 = 1 THEN 'keep' ELSE 'add' END AS action FROM h")
 def commit_cache(spark, sf_dir):
-    blocks = _blocks(spark, sf_dir).where("blockno = 0").select(F.col("doc_id").alias("inode"), "blockno", "hash")
+    blocks = _blocks(spark, sf_dir).select(F.col("doc_id").alias("inode"), "blockno", "hash")
     cached = blocks.withColumn("hash", F.when(F.col("inode") % 3 == 0, F.reverse("hash")).otherwise(F.col("hash")))
     return content.commit_cache(blocks.where("inode % 3 <> 2"), cached).select(F.col("inode").alias("doc_id"), "blockno", "action")
 
@@ -313,11 +311,11 @@ def log_dedup(spark, sf_dir):
     return relational.last_wins(e, ["event_type", "v"], [-F.col("event_id")])
 
 
-_ISLANDS = "WITH k AS (SELECT o_orderkey // 1000 AS bucket, o_orderkey AS n FROM orders WHERE o_orderkey % 7 < 5 AND o_orderkey % 11 <> 3), r AS (SELECT bucket, min(n) AS first, max(n) AS last, count(*) AS size FROM (SELECT bucket, n, n - row_number() OVER (PARTITION BY bucket ORDER BY n) AS g FROM k) GROUP BY bucket, g)"
+_ISLANDS = "WITH k AS (SELECT o_orderkey // 1000 AS bucket, o_orderkey AS n FROM orders), r AS (SELECT bucket, min(n) AS first, max(n) AS last, count(*) AS size FROM (SELECT bucket, n, n - row_number() OVER (PARTITION BY bucket ORDER BY n) AS g FROM k) GROUP BY bucket, g)"
 
 
 def _gappy(spark, sf_dir):
-    return _t(spark, sf_dir, "orders").where("o_orderkey % 7 < 5 and o_orderkey % 11 <> 3").select(F.expr("o_orderkey div 1000").alias("bucket"), F.col("o_orderkey").alias("n"))
+    return _t(spark, sf_dir, "orders").select(F.expr("o_orderkey div 1000").alias("bucket"), F.col("o_orderkey").alias("n"))
 
 
 @_query(f"{_ISLANDS} SELECT bucket, first, last, size FROM r")
@@ -366,18 +364,30 @@ def asof_snapshot(spark, sf_dir):
 ORACLE["asof_snapshot"] = ORACLE["asof_snapshot"].replace("avg(seq_no)::BIGINT", "round(avg(seq_no))::BIGINT")
 
 
-@_query("WITH d AS (SELECT DISTINCT event_type, floor(epoch(ts) / 7200)::BIGINT * 7200 AS s FROM events WHERE user_id % 5 = 0), g AS (SELECT *, s - lag(s) OVER (PARTITION BY event_type ORDER BY s) AS gap FROM d), a AS (SELECT event_type, s, min(gap) OVER (PARTITION BY event_type) AS step, max(s) OVER (PARTITION BY event_type) - s AS age FROM g) SELECT event_type, s, step, age, ceil(age / step)::BIGINT AS cycles FROM a")
+@_query("WITH d AS (SELECT DISTINCT event_type, floor(epoch(ts) / 7200)::BIGINT * 7200 AS s FROM events), g AS (SELECT *, s - lag(s) OVER (PARTITION BY event_type ORDER BY s) AS gap FROM d), a AS (SELECT event_type, s, min(gap) OVER (PARTITION BY event_type) AS step, (SELECT max(s) + 9000 FROM d) - s AS age FROM g) SELECT event_type, s, step, age, ceil(age / step)::BIGINT AS cycles FROM a")
 def backup_ages(spark, sf_dir):
-    d = _t(spark, sf_dir, "events").where("user_id % 5 = 0").select("event_type", (F.floor(_seconds() / 7200) * 7200).alias("s")).distinct()
-    return versions.backup_ages(d, ["event_type"], "s")
+    d = saved(_t(spark, sf_dir, "events").select("event_type", (F.floor(_seconds() / 7200) * 7200).alias("s")).distinct())
+    now = (d.agg(F.max("s")).first()[0] or 0) + 9000
+    return versions.backup_ages(d, ["event_type"], "s", F.lit(now))
 
 
 @_query()
 def expire_backups(spark, sf_dir):
-    ages = backup_ages(spark, sf_dir).select(F.col("event_type").alias("backup_set"), F.concat(F.lit("b"), F.col("s").cast("string")).alias("name"), F.least(F.col("cycles"), F.lit(400)).alias("age"))
+    ages = backup_ages(spark, sf_dir).select(F.col("event_type").alias("backup_set"), F.concat(F.lit("b"), F.col("s").cast("string")).alias("name"), F.col("cycles").alias("age"))
     return versions.expire_backups(ages, [1, 3, 7, 14, 31, 150, 300], most_deleted=1.0)
 
 
+@_query("SELECT event_type AS backup_set, 'b' || s AS name, (row_number() OVER (PARTITION BY event_type ORDER BY s DESC) - 1)::BIGINT AS age FROM (SELECT DISTINCT event_type, strftime(ts, '%Y%m%d') AS s FROM events) WHERE right(s, 1) <> '3' OR s > (SELECT strftime(avg(epoch(ts)).to_timestamp(), '%Y%m%d') FROM events)")
+def backup_state(spark, sf_dir):
+    """A state of the days in the first half, some of which are gone, and the days of the second half as new backups."""
+    e = _t(spark, sf_dir, "events").select(F.col("event_type").alias("backup_set"), F.concat(F.lit("b"), F.date_format("ts", "yyyyMMdd")).alias("name")).distinct()
+    half = _t(spark, sf_dir, "events").agg(F.date_format(F.timestamp_seconds(F.avg(_seconds())), "yyyyMMdd")).first()[0] or ""
+    e = saved(e.withColumn("old", F.col("name") <= F.lit("b" + half)))
+    newest = F.row_number().over(Window.partitionBy("backup_set").orderBy(F.desc("name"))) - 1
+    state = e.where("old").where(~F.col("name").endswith("3")).withColumn("age", newest.cast("long"))
+    return versions.next_state(state.select("backup_set", "name", "age"), e.where(~(F.col("old") & F.col("name").endswith("3"))))
+
+
 @_query("SELECT 'fs' || c_custkey AS label, CASE WHEN c_custkey % 4 = 0 THEN 'no local copy' WHEN c_custkey % 4 = 1 THEN 'local outdated' WHEN c_custkey % 4 = 2 THEN 'local newer' WHEN c_custkey % 3 = 0 THEN 'mounted elsewhere' WHEN c_custkey % 5 = 0 THEN 'needs check' WHEN c_acctbal < 0 THEN 'check due' ELSE 'clean' END AS state FROM customer")
 def reconcile(spark, sf_dir):
     c = _t(spark, sf_dir, "customer")
@@ -420,50 +430,112 @@ def unreachable(spark, sf_dir):
     return tree.unreachable(g, nodes, spark.range(1).select(F.lit("").alias("node")))
 
 
-def _nation_tables(spark, sf_dir) -> Tables:
-    """Regions as directories below the root, nations as files in them, one object per nation."""
-    r, n = _t(spark, sf_dir, "region"), _t(spark, sf_dir, "nation")
+# The file system of page urls: hosts below the root, a directory where a url goes on, else a file of one block.
+_FS = f"{_URL_TREE}, i AS (SELECT node, 9 + row_number() OVER (ORDER BY encode(node)) AS id FROM (SELECT parent AS node FROM e UNION SELECT child FROM e)), c AS (SELECT x.node, x.id, coalesce(y.id, 1) AS parent, string_split(x.node, '/')[-1] AS name, x.node IN (SELECT parent FROM e) AS dir FROM i x LEFT JOIN e ON e.child = x.node LEFT JOIN i y ON y.node = e.parent)"
+
+
+def _url_tables(spark, sf_dir) -> Tables:
+    e = saved(_url_edges(spark, sf_dir))
+    nodes = e.select(F.col("parent").alias("node"), F.lit(True).alias("dir")).unionByName(e.select(F.col("child").alias("node"), F.lit(False).alias("dir")))
+    i = saved(assign_ids(nodes.groupBy("node").agg(F.max("dir").alias("dir")), ["node"], "id", 9))
+    above = e.join(i.select(F.col("node").alias("parent"), F.col("id").alias("parent_inode")), "parent").select(F.col("child").alias("node"), "parent_inode")
+    entries = i.join(above, "node", "left").select(F.col("id").alias("inode"), F.coalesce("parent_inode", F.lit(ROOT)).cast("long").alias("parent_inode"), F.element_at(F.split("node", "/"), -1).cast("binary").alias("name"))
+    names = saved(assign_ids(entries.groupBy("name").agg(F.count("*").alias("refcount")), ["name"], "id", 0)).select("id", "name", "refcount")
+    contents = saved(entries.join(names.select(F.col("id").alias("name_id"), "name"), "name").select(F.col("inode").alias("rowid"), "name_id", "inode", "parent_inode"))
     zero = F.lit(0).cast("long")
-    inode = lambda i, mode, refs, size: [i.cast("long").alias("id"), *[zero.alias(c) for c in ("uid", "gid")], F.lit(mode).cast("long").alias("mode"), *[zero.alias(c) for c in ("mtime_ns", "atime_ns", "ctime_ns")], F.lit(refs).cast("long").alias("refcount"), size.cast("long").alias("size"), zero.alias("rdev"), F.lit(False).alias("locked")]
-    dir_id, file_id = F.col("r_regionkey") + 100, F.col("n_nationkey") + 1000
-    seeds = spark.range(1).select(*inode(F.lit(ROOT), DIRECTORY, 1, F.lit(0))).unionByName(spark.range(1).select(*inode(F.lit(CONTROL), REGULAR, 42, F.lit(0))))
-    inodes = seeds.unionByName(r.select(*inode(dir_id, DIRECTORY, 1, F.lit(0)))).unionByName(n.select(*inode(file_id, REGULAR, 1, F.length("n_name"))))
-    names = r.select(dir_id.cast("long").alias("id"), F.col("r_name").cast("binary").alias("name")).unionByName(n.select(file_id.cast("long").alias("id"), F.col("n_name").cast("binary").alias("name"))).withColumn("refcount", F.lit(1).cast("long"))
-    contents = r.select(dir_id.cast("long").alias("rowid"), dir_id.cast("long").alias("name_id"), dir_id.cast("long").alias("inode"), F.lit(ROOT).cast("long").alias("parent_inode")).unionByName(n.select(file_id.cast("long").alias("rowid"), file_id.cast("long").alias("name_id"), file_id.cast("long").alias("inode"), (F.col("n_regionkey") + 100).cast("long").alias("parent_inode")))
-    objects = n.select(file_id.cast("long").alias("id"), F.unhex(F.sha2(F.col("n_name").cast("binary"), 256)).alias("hash"), F.lit(1).cast("long").alias("refcount"), F.length("n_name").cast("long").alias("phys_size"), F.length("n_name").cast("long").alias("length"))
-    blocks = n.select(file_id.cast("long").alias("inode"), zero.alias("blockno"), file_id.cast("long").alias("obj_id"))
+    inode = lambda i, mode, refs, size: [i.cast("long").alias("id"), *[zero.alias(c) for c in ("uid", "gid")], mode.cast("long").alias("mode"), *[zero.alias(c) for c in ("mtime_ns", "atime_ns", "ctime_ns")], F.lit(refs).cast("long").alias("refcount"), size.cast("long").alias("size"), zero.alias("rdev"), F.lit(False).alias("locked")]
+    bytes_ = F.octet_length("node")
+    seeds = spark.range(1).select(*inode(F.lit(ROOT), F.lit(DIRECTORY), 1, F.lit(0))).unionByName(spark.range(1).select(*inode(F.lit(CONTROL), F.lit(REGULAR), 42, F.lit(0))))
+    inodes = seeds.unionByName(i.select(*inode(F.col("id"), F.when(F.col("dir"), DIRECTORY).otherwise(REGULAR), 1, F.when(F.col("dir"), 0).otherwise(bytes_))))
+    files = i.where("not dir")
+    objects = files.select("id", F.unhex(F.sha2("node", 256)).alias("hash"), F.lit(1).cast("long").alias("refcount"), bytes_.cast("long").alias("phys_size"), bytes_.cast("long").alias("length"))
+    blocks = files.select(F.col("id").alias("inode"), zero.alias("blockno"), F.col("id").alias("obj_id"))
     empty = lambda ddl: spark.createDataFrame([], ddl)
-    return Tables(objects, inodes, blocks, empty("inode long, target binary"), names, contents, empty("inode long, name_id long, value binary"))
+    return Tables(objects, saved(inodes), blocks, empty("inode long, target binary"), names, contents, empty("inode long, name_id long, value binary"))
+
+
+def _paths(t: Tables) -> DataFrame:
+    e = t.contents_v().select(F.col("parent_inode").alias("parent"), F.col("inode").alias("child"), scalar.text_of(F.col("name")).alias("name"))
+    return tree.paths(e, t.inodes.sparkSession.range(ROOT, ROOT + 1).select(F.col("id").alias("node")))
+
+
+def _host(t: Tables, newest: bool = False) -> tuple[int, bytes]:
+    """The host directory of the smallest or largest inode."""
+    row = t.contents_v().where(F.col("parent_inode") == ROOT).orderBy(F.desc("inode") if newest else "inode").select("inode", "name").first()
+    return row.inode, bytes(row.name)
+
+
+_FIRST = "(SELECT node FROM c WHERE parent = 1 ORDER BY id LIMIT 1)"
+_LAST = "(SELECT node FROM c WHERE parent = 1 ORDER BY id DESC LIMIT 1)"
+_BELOW = "(c.node = {0} OR starts_with(c.node, {0} || '/'))"
 
 
-@_query("SELECT (SELECT count(*) FROM nation) + (SELECT count(*) FROM region) + 1 + (SELECT count(*) FROM nation WHERE n_regionkey = 1) AS entries, (SELECT count(*) FROM nation) + (SELECT count(*) FROM region) + 2 + 1 + (SELECT count(*) FROM nation WHERE n_regionkey = 1) AS inodes, (SELECT count(*) FROM nation) AS objects, (SELECT sum(length(n_name) * CASE WHEN n_regionkey = 1 THEN 2 ELSE 1 END) FROM nation)::BIGINT AS total_size, (SELECT sum(length(n_name)) FROM nation)::BIGINT AS dedup_size")
+@_query(f"WITH {_FS}, s AS (SELECT *, {_BELOW.format(_FIRST)} AS copied FROM c) SELECT count(*) + count(*) FILTER (copied) AS entries, count(*) + count(*) FILTER (copied) + 2 AS inodes, count(*) FILTER (NOT dir) AS objects, sum(CASE WHEN dir THEN 0 ELSE octet_length(encode(node)) * CASE WHEN copied THEN 2 ELSE 1 END END)::BIGINT AS total_size, sum(CASE WHEN dir THEN 0 ELSE octet_length(encode(node)) END)::BIGINT AS dedup_size FROM s AS s")
 def subtree_copy(spark, sf_dir):
-    t = tree.copy_subtree(_nation_tables(spark, sf_dir), 101, ROOT, 1001)
+    t, name_id = tree.interned(_url_tables(spark, sf_dir), b"copy")
+    t = tree.copy_subtree(t, _host(t)[0], ROOT, name_id)
     return stats.extended_stats(t).select("entries", "inodes", "objects", "total_size", "dedup_size")
 
 
-@_query("SELECT n_nationkey + 1000 AS inode FROM nation WHERE n_regionkey <> 2 UNION ALL SELECT r_regionkey + 100 FROM region WHERE r_regionkey <> 2")
+@_query(f"WITH {_FS} SELECT id AS inode FROM c WHERE NOT {_BELOW.format(_FIRST)}")
 def subtree_remove(spark, sf_dir):
-    region = _t(spark, sf_dir, "region").where("r_regionkey = 2").first()
-    t = tree.remove_subtree(_nation_tables(spark, sf_dir), ROOT, region.r_name.encode())
-    return t.inodes.where("id > 2").select(F.col("id").cast("int").alias("inode"))
+    t = _url_tables(spark, sf_dir)
+    return tree.remove_subtree(t, ROOT, _host(t)[1]).inodes.where("id > 2").select(F.col("id").alias("inode"))
 
 
-@_query("SELECT n_nationkey + 1000 AS inode, n_regionkey = 3 AS locked FROM nation UNION ALL SELECT r_regionkey + 100, r_regionkey = 3 FROM region")
+@_query(f"WITH {_FS} SELECT id AS inode, {_BELOW.format(_LAST)} AS locked FROM c")
 def subtree_lock(spark, sf_dir):
-    return tree.lock_subtree(_nation_tables(spark, sf_dir), 103).inodes.where("id > 2").select(F.col("id").cast("int").alias("inode"), "locked")
+    t = _url_tables(spark, sf_dir)
+    return tree.lock_subtree(t, _host(t, True)[0]).inodes.where("id > 2").select(F.col("id").alias("inode"), "locked")
 
 
-@_query("SELECT n_nationkey + 1000 AS inode, CASE WHEN n_regionkey = 0 THEN 104 ELSE n_regionkey + 100 END AS parent_inode FROM nation UNION ALL SELECT r_regionkey + 100, 1 FROM region")
+@_query(f"WITH {_FS}, f AS (SELECT min(id) AS a, max(id) AS b FROM c WHERE parent = 1) SELECT id AS inode, CASE WHEN parent = f.a THEN f.b ELSE parent END AS parent_inode FROM c, f")
 def bulk_reparent(spark, sf_dir):
-    return tree.reparent(_nation_tables(spark, sf_dir).contents, 100, 104).select(F.col("inode").cast("int").alias("inode"), F.col("parent_inode").cast("int").alias("parent_inode"))
+    t = _url_tables(spark, sf_dir)
+    return tree.reparent(t.contents, _host(t)[0], _host(t, True)[0]).select("inode", "parent_inode")
 
 
-@_query("SELECT n_nationkey + 1000 AS node, '/' || r_name || '/' || n_name AS path FROM nation JOIN region ON n_regionkey = r_regionkey UNION ALL SELECT r_regionkey + 100, '/' || r_name FROM region UNION ALL SELECT 1, ''")
+@_query(f"WITH {_FS} SELECT id AS node, '/' || node AS path FROM c UNION ALL SELECT 1, ''")
 def tree_paths(spark, sf_dir):
-    t = _nation_tables(spark, sf_dir)
-    e = t.contents_v().select(F.col("parent_inode").alias("parent"), F.col("inode").alias("child"), scalar.text_of(F.col("name")).alias("name"))
-    return tree.paths(e, spark.range(ROOT, ROOT + 1).select(F.col("id").alias("node"))).select(F.col("node").cast("int").alias("node"), "path")
+    return _paths(_url_tables(spark, sf_dir))
+
+
+@_query(f"WITH {_FS} SELECT '/' || node AS path, id AS inode FROM c UNION ALL SELECT '/' || node || '/none', NULL FROM c WHERE NOT dir")
+def inodes_of(spark, sf_dir):
+    t = _url_tables(spark, sf_dir)
+    known = saved(_paths(t).where("path <> ''").select("path", "node"))
+    files = known.join(t.inodes.where(F.col("mode") == REGULAR).select(F.col("id").alias("node")), "node", "left_semi")
+    return tree.inodes_of(t, known.select("path").unionByName(files.select(F.concat("path", F.lit("/none")).alias("path"))))
+
+
+@_query(f"WITH {_FS} SELECT id AS node, '/' || CASE WHEN {_BELOW.format(_FIRST)} THEN {_LAST} || '/moved' || substr(node, length({_FIRST}) + 1) ELSE node END AS path FROM c UNION ALL SELECT 1, ''")
+def rename(spark, sf_dir):
+    """The first host becomes the directory `moved` of the last one."""
+    t = _url_tables(spark, sf_dir)
+    return _paths(tree.rename(t, ROOT, _host(t)[1], _host(t, True)[0], b"moved"))
+
+
+@_query(f"WITH {_FS}, gone AS (SELECT min(id) AS id FROM c WHERE NOT dir), left_ AS (SELECT c.* FROM c, gone WHERE c.id <> gone.id) SELECT 'inode' AS kind, id::VARCHAR AS key, 1 AS refcount FROM left_ UNION ALL SELECT 'name', name, count(*) FROM left_ GROUP BY name UNION ALL SELECT 'object', id::VARCHAR, 1 FROM left_ WHERE NOT dir")
+def unlink(spark, sf_dir):
+    """The file of the smallest inode goes, with its object, and its name if no other entry has it."""
+    t = _url_tables(spark, sf_dir)
+    first = t.inodes.where((F.col("mode") == REGULAR) & (F.col("id") > 2)).agg(F.min("id")).first()[0]
+    entry = t.contents_v().where(F.col("inode") == first).select("parent_inode", "name").first()
+    t = tree.unlink(t, entry.parent_inode, bytes(entry.name))
+    rows = [t.inodes.where("id > 2").select(F.lit("inode").alias("kind"), F.col("id").cast("string").alias("key"), "refcount"), t.names.select(F.lit("name"), scalar.text_of(F.col("name")), "refcount"), t.objects.select(F.lit("object"), F.col("id").cast("string"), "refcount")]
+    return rows[0].union(rows[1]).union(rows[2])
+
+
+@_query(f"WITH {_FS}, f AS (SELECT min(id) AS a FROM c) SELECT a AS inode, 'user.b' AS name, 'two' AS value, 1::BIGINT AS refcount FROM f")
+def set_attribute(spark, sf_dir):
+    """An attribute set, one set twice, and the first one removed: its name goes with it."""
+    t = _url_tables(spark, sf_dir)
+    first = t.inodes.where("id > 2").agg(F.min("id")).first()[0]
+    t = tree.set_attribute(t, first, b"user.a", b"one")
+    t = tree.set_attribute(tree.set_attribute(t, first, b"user.b", b"one"), first, b"user.b", b"two")
+    t = tree.remove_attribute(t, first, b"user.a")
+    found = t.ext_attributes_v().select("inode", "name_id", scalar.text_of(F.col("name")).alias("name"), scalar.text_of(F.col("value")).alias("value"))
+    return found.join(t.names.where(F.col("name").startswith(F.lit(b"user."))).select(F.col("id").alias("name_id"), "refcount"), "name_id", "full").select("inode", "name", "value", "refcount")
 
 
 # --- checks --------------------------------------------------------------------------------------------------
@@ -492,10 +564,36 @@ def mode_rules(spark, sf_dir):
 ORACLE["mode_rules"] += " WHERE id <> 2"
 
 
-@_query()
+_CHECKED = ["lost+found", "names refcount", "contents name", "contents inode", "contents parent", "null hash", "blocks object", "blocks inode", "objects refcount", "inodes refcount", "sizes", "attribute name", "attribute inode", "symlink inode", "loops", "conventions", "foreign keys", "duplicate keys"]
+
+
+@_query(
+    f"WITH {_FS}, n AS (SELECT count(*) FILTER (NOT dir AND id % 11 = 0) AS objects, count(*) FILTER (NOT dir AND id % 5 = 0) AS sizes, count(*) FILTER (id % 13 = 0) AS attributes, count(*) FILTER (id % 17 = 0) AS links, count(*) FILTER (NOT dir AND id % 19 = 0) AS inodes, count(*) FILTER (NOT dir AND id % 7 = 0) AS types FROM c), names AS (SELECT count(*) AS names FROM (SELECT DISTINCT name, length(name) % 3 AS k FROM c) WHERE k = 0) "
+    + " UNION ALL ".join(f"SELECT '{k}' AS \"check\", {v}::BIGINT AS violations, 0::BIGINT AS after_repair FROM n, names" for k, v in zip(_CHECKED, ["0", "names + 1", "0", "0", "0", "links", "0", "0", "objects", "inodes", "sizes", "0", "attributes", "links", "3", "types", "0", "0"]))
+)
 def full_check(spark, sf_dir):
-    t, found = checks.run_checks(_nation_tables(spark, sf_dir), BLOCK)
-    _, again = checks.run_checks(t, BLOCK)
+    """Faults of nine kinds in the file system of page urls: what each check finds, and what is left after all repairs."""
+    base = _url_tables(spark, sf_dir)
+    t = checks.repair_lost_found(base, None)
+    is_file = (F.col("mode") == REGULAR) & (F.col("id") > 2)
+    hit = lambda c, cond, value: F.when(cond, value).otherwise(F.col(c)).alias(c)
+    changed = {"size": ("size", is_file & (F.col("id") % 5 == 0), F.col("size") - 1), "mode": ("mode", is_file & (F.col("id") % 7 == 0), F.col("mode") - REGULAR), "refcount": ("refcount", is_file & (F.col("id") % 19 == 0), F.lit(5).cast("long"))}
+    inodes = t.inodes.select(*[hit(*changed[c]) if c in changed else c for c in t.inodes.columns])
+    # two directories that hold each other, and one that holds itself
+    loops = [(10**7 + k, DIRECTORY) for k in range(3)]
+    inodes = inodes.unionByName(spark.createDataFrame([(i, 0, 0, m, 0, 0, 0, 1, 0, 0, False) for i, m in loops], t.inodes.schema))
+    names = t.names.select("id", "name", hit("refcount", F.length(scalar.text_of(F.col("name"))) % 3 == 0, F.col("refcount") + 1))
+    names = names.unionByName(spark.createDataFrame([(10**7, b"loop", 3), (10**7 + 1, b"user.x", 0)], t.names.schema))
+    contents = t.contents.unionByName(spark.createDataFrame([(10**7, 10**7, 10**7, 10**7 + 1), (10**7 + 1, 10**7, 10**7 + 1, 10**7), (10**7 + 2, 10**7, 10**7 + 2, 10**7 + 2)], t.contents.schema))
+    dangling = base.inodes.where("id > 2").select((F.col("id") + 10**9).alias("inode"), F.col("id"))
+    attributes = dangling.where("id % 13 = 0").select("inode", F.lit(10**7 + 1).cast("long").alias("name_id"), F.lit(b"v").alias("value"))
+    links = dangling.where("id % 17 = 0").select("inode", F.lit(b"to").alias("target"))
+    unhashed = dangling.where("id % 17 = 0").select(F.col("inode").alias("id"), F.lit(None).cast("binary").alias("hash"), F.lit(0).cast("long").alias("refcount"), F.lit(-1).cast("long").alias("phys_size"), F.lit(1).cast("long").alias("length"))
+    objects = t.objects.select("id", "hash", hit("refcount", F.col("id") % 11 == 0, F.lit(9).cast("long")), "phys_size", "length").unionByName(unhashed)
+    t = Tables(objects, inodes, t.inode_blocks, links, names, contents, attributes)
+    t = Tables(**{name: saved(df) for name, df in t.items()})
+    mended, found = checks.run_checks(t, BLOCK)
+    _, again = checks.run_checks(mended, BLOCK, repair=False)
     return spark.createDataFrame([(k, n, again[k]) for k, n in found.items()], "check string, violations long, after_repair long")
 
 
@@ -525,20 +623,22 @@ def digests(spark, sf_dir):
     return _t(spark, sf_dir, "documents").select("doc_id", F.lower(F.hex(scalar.sha256(F.col("text")))).alias("sha256"), scalar.md5_base64(F.col("text")).alias("md5_base64"))
 
 
-@_query("SELECT p_partkey, CASE WHEN instr('abcdefghijklmnopqrstuvwxyz0123456789', lower(p_name[1])) > 0 AND length(p_name) > 0 THEN ((instr('abcdefghijklmnopqrstuvwxyz0123456789', lower(p_name[1])) - 1) * 4 // 36)::INT ELSE 4 END AS part FROM part")
+# bounds of four even ranges of 26 letters (0, 6, 13, 19) and of 10 digits (0, 2, 5, 7)
+@_query("SELECT doc_id, CASE WHEN c BETWEEN 'a' AND 'f' OR c BETWEEN 'A' AND 'F' OR c BETWEEN '0' AND '1' THEN 0 WHEN c BETWEEN 'g' AND 'm' OR c BETWEEN 'G' AND 'M' OR c BETWEEN '2' AND '4' THEN 1 WHEN c BETWEEN 'n' AND 's' OR c BETWEEN 'N' AND 'S' OR c BETWEEN '5' AND '6' THEN 2 WHEN c BETWEEN 't' AND 'z' OR c BETWEEN 'T' AND 'Z' OR c BETWEEN '7' AND '9' THEN 3 ELSE 4 END AS part FROM (SELECT doc_id, coalesce(text[1], '') AS c FROM documents)")
 def char_partition(spark, sf_dir):
-    return _t(spark, sf_dir, "part").select("p_partkey", scalar.first_char_part(F.col("p_name"), 5).alias("part"))
+    return _t(spark, sf_dir, "documents").select("doc_id", scalar.first_char_part(F.coalesce("text", F.lit("")), 5).alias("part"))
 
 
-@_query("SELECT doc_id, len(c) AS pieces, array_to_string(c, '') = substr(text, 1, 2000) AS same FROM (SELECT doc_id, text, list_transform(range((length(substr(text, 1, 2000)) + 254) // 255), lambda i: substr(substr(text, 1, 2000), i * 255 + 1, 255)) AS c FROM documents)")
+@_query("SELECT doc_id, CASE WHEN length(text) <= 2048 THEN (length(text) + 254) // 255 END AS pieces, CASE WHEN length(text) <= 2048 THEN true END AS same FROM documents")
 def header_chunks(spark, sf_dir):
-    d = _t(spark, sf_dir, "documents").select("doc_id", F.substring("text", 1, 2000).alias("t")).withColumn("c", scalar.header_chunks(F.col("t")))
-    return d.select("doc_id", F.size("c").cast("long").alias("pieces"), (scalar.join_chunks(F.col("c")) == F.col("t")).alias("same"))
+    """Texts over the limit of a header can't be stored: null."""
+    d = _t(spark, sf_dir, "documents").select("doc_id", "text").withColumn("c", scalar.header_chunks(F.col("text")))
+    return d.select("doc_id", F.when(F.col("c").isNotNull(), F.size("c")).cast("long").alias("pieces"), (scalar.join_chunks(F.col("c")) == F.col("text")).alias("same"))
 
 
-@_query("SELECT o_orderkey, CASE WHEN length(s) > 3 THEN array_to_string(list_transform(range((length(s) - 1) // 3), lambda k: substr(s, k * 3 + 1, 3)), '/') || '/' || s ELSE s END AS path FROM (SELECT o_orderkey, o_orderkey::VARCHAR AS s FROM orders)")
+@_query("SELECT o_orderkey, array_to_string(list_append(list_transform(range(1, (length(s) - 1) // 3 + 1), lambda k: left(s, 3 * k)), s), '/') AS path FROM (SELECT o_orderkey, (o_orderkey * 997)::VARCHAR AS s FROM orders)")
 def key_path(spark, sf_dir):
-    return _t(spark, sf_dir, "orders").select("o_orderkey", scalar.key_path(F.col("o_orderkey")).alias("path"))
+    return _t(spark, sf_dir, "orders").select("o_orderkey", scalar.key_path(F.col("o_orderkey").cast("long") * 997).alias("path"))
 
 
 @_query("SELECT event_id, ts::TIMESTAMP AS parsed FROM (SELECT event_id, date_trunc('second', ts) AS ts FROM events)")
@@ -599,7 +699,7 @@ def metadata_listing(spark, sf_dir):
 
 @_query("SELECT time_bucket(INTERVAL 1 DAY, ts) AS start, time_bucket(INTERVAL 1 DAY, ts) + INTERVAL 1 DAY AS \"end\", count(*) AS n FROM events GROUP BY 1, 2 HAVING \"end\" <= (SELECT max(ts) FROM events) - INTERVAL 1 HOUR")
 def stream_rates(spark, sf_dir):
-    folder = f"{shared_folder(spark)}/stream-{tempfile.mkdtemp().rsplit('/', 1)[-1]}"
+    folder = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
     events = flows.event_stream(spark, f"{sf_dir}/events.parquet")
     # one batch moves the watermark, the next one closes the windows before it
     flows.append(flows.rates(events, "ts", "1 day", "1 day", "1 hour"), f"{folder}/out", f"{folder}/checkpoint").awaitTermination()

@@ -86,10 +86,48 @@ def init_tables(spark: SparkSession, now_ns: int = 0, uid: int = 0, gid: int = 0
     )
 
 
-def save_tables(tables: Tables, path: str) -> None:
+def save_tables(tables: Tables, path: str) -> int:
+    """Writes the tables as the next version and makes it the current one; the version's number.
+
+    Tables go to a folder of their own. Only when all are there the pointer is replaced, by a rename that overwrites,
+    which file systems do at once: readers see the old version or the new one, and a crash before leaves the old one.
+    """
+    spark = tables.inodes.sparkSession
+    version = (current_version(spark, path) or 0) + 1
     for name, df in tables.items():
-        df.write.parquet(f"{path}/{name}")
-
-
-def load_tables(spark: SparkSession, path: str) -> Tables:
-    return Tables(**{name: spark.read.schema(ddl).parquet(f"{path}/{name}") for name, ddl in TABLES.items()})
+        df.write.mode("overwrite").parquet(f"{path}/v{version:010d}/{name}")
+    _point_to(spark, path, version)
+    return version
+
+
+def _hadoop(spark: SparkSession):
+    return spark.sparkContext._jvm.org.apache.hadoop.fs, spark.sparkContext._jsc.hadoopConfiguration()
+
+
+def _point_to(spark: SparkSession, path: str, version: int) -> None:
+    fs, conf = _hadoop(spark)
+    new, pointer = fs.Path(f"{path}/current.tmp"), fs.Path(f"{path}/current")
+    files = new.getFileSystem(conf)
+    out = files.create(new, True)
+    out.writeBytes(str(version))
+    out.close()
+    overwrite = spark.sparkContext._gateway.new_array(spark.sparkContext._jvm.org.apache.hadoop.fs.Options.Rename, 1)
+    overwrite[0] = spark.sparkContext._jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
+    fs.FileContext.getFileContext(files.getUri(), conf).rename(files.makeQualified(new), files.makeQualified(pointer), overwrite)
+
+
+def current_version(spark: SparkSession, path: str) -> int | None:
+    """The version that the pointer names; None where nothing has been saved."""
+    fs, conf = _hadoop(spark)
+    pointer = fs.Path(f"{path}/current")
+    if not pointer.getFileSystem(conf).exists(pointer):
+        return None
+    return int(spark.read.text(f"{path}/current").first()[0])
+
+
+def load_tables(spark: SparkSession, path: str, version: int | None = None) -> Tables:
+    """The current version, or an earlier one by its number; LookupError where there is none."""
+    version = version or current_version(spark, path)
+    if version is None:
+        raise LookupError(f"no version in {path}")
+    return Tables(**{name: spark.read.schema(ddl).parquet(f"{path}/v{version:010d}/{name}") for name, ddl in TABLES.items()})

@@ -30,31 +30,49 @@ def read_objects(spark: SparkSession, path: str, prefix: str = "") -> DataFrame:
     return files.select(key.alias("key"), F.col("content").alias("data")).where(F.col("key").startswith(prefix))
 
 
+def file_system(path: str):
+    """The pyarrow file system of a path, and the path inside of it: local, s3a, gs or hdfs; ValueError for others."""
+    from pyarrow import fs
+
+    if "://" not in path:
+        return fs.LocalFileSystem(), path
+    return fs.FileSystem.from_uri("s3" + path.removeprefix("s3a") if path.startswith("s3a://") else path)
+
+
 def write_objects(objects: DataFrame, path: str) -> None:
-    """Rows (key, data) as one file per object, each written under a temporary name and renamed; the last writer wins."""
-    conf = objects.sparkSession.sparkContext._jsc.hadoopConfiguration()
-    local = objects.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path(path).getFileSystem(conf).getScheme() == "file"
-    if not local:
-        raise NotImplementedError("one file per object needs a mounted path; use write_packed on other file systems")
-    root = path.removeprefix("file://")
+    """Rows (key, data) as one file per object; the last writer wins.
+
+    On file systems that can rename, an object is written under a temporary name first; object stores publish a whole
+    object or none. The folder must be one that all executors share.
+    """
+    file_system(path)  # an unknown scheme raises here, before any task runs
 
     def put(rows) -> None:
-        import os
         import uuid
 
-        os.makedirs(root, exist_ok=True)
+        where, root = file_system(path)
+        where.create_dir(root, recursive=True)
         for r in rows:
             name = f"{root}/{r.name}.bin"
-            part = f"{name}#{uuid.uuid4().hex}.tmp"
-            with open(part, "wb") as f:
+            part = name if path.startswith(("s3", "gs")) else f"{name}#{uuid.uuid4().hex}.tmp"
+            with where.open_output_stream(part) as f:
                 f.write(r.data)
-                f.flush()
-                os.fsync(f.fileno())
-            os.replace(part, name)
+            if part != name:
+                where.move(part, name)
 
     objects.select(escape_key(F.col("key")).alias("name"), F.col("data").cast("binary").alias("data")).foreachPartition(put)
 
 
+def object_sizes(keys: DataFrame, listing: DataFrame) -> DataFrame:
+    """key, length of each asked key (key); null where the listing does not hold it."""
+    return keys.select("key").distinct().join(listing.groupBy("key").agg(F.max("length").alias("length")), "key", "left")
+
+
+def contains(keys: DataFrame, listing: DataFrame) -> DataFrame:
+    """key, found of each asked key."""
+    return object_sizes(keys, listing).select("key", F.col("length").isNotNull().alias("found"))
+
+
 def write_packed(objects: DataFrame, path: str, mode: str = "errorifexists") -> None:
     """Rows (key, data) as a Parquet table, which Hadoop's committer publishes at once on any file system."""
     objects.select("key", F.col("data").cast("binary").alias("data")).write.mode(mode).parquet(path)
@@ -62,18 +80,19 @@ def write_packed(objects: DataFrame, path: str, mode: str = "errorifexists") ->
 
 def delete_objects(keys: DataFrame, path: str) -> DataFrame:
     """key, error of the objects that could not be deleted; deleting what is not there is no error."""
-    root = path.removeprefix("file://")
+    file_system(path)  # an unknown scheme raises here
 
     def run(batches):
-        import os
-
         import pandas as pd
+        from pyarrow.fs import FileType
 
+        where, root = file_system(path)
         for pdf in batches:
             out = []
             for key, name in zip(pdf["key"], pdf["name"]):
                 try:
-                    os.unlink(f"{root}/{name}.bin")
+                    if where.get_file_info(f"{root}/{name}.bin").type != FileType.NotFound:
+                        where.delete_file(f"{root}/{name}.bin")
                 except FileNotFoundError:
                     pass
                 except OSError as e:

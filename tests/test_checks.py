@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from granary.operators import checks, tree
-from granary.plans.catalogue import _nation_tables
+from granary.plans.catalogue import _url_tables
 from granary.plans.schema import DIRECTORY, LOST_FOUND, ROOT, create_tables, init_tables
 
 SF = "/root/testdata/sf0.001"
@@ -127,5 +127,5 @@ def test_tree_operations_leave_consistent_tables(spark):
 
 
 def test_catalogue_tables_are_clean_after_repair(spark):
-    t = _nation_tables(spark, SF)
+    t = _url_tables(spark, SF)
     assert checks.detect_lost_found(t).count() == 1
