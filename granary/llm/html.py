@@ -7,15 +7,18 @@ elements) and of its content (the text below it). Nodes on MIN_PAGES pages or mo
 LOW_IMPORTANCE repeat across the site; their branches are removed from each page.
 
 Two things the entropies alone can't tell are stated as fixed lists: elements and class words that mark menus, headers,
-footers, sidebars, notices, adverts, forms and reader comments (their texts may differ on every page), and that plain
-text elements of an article stay even where all pages of a host repeat them. Where a page has an article or main
-element, only its text counts.
+footers, sidebars, notices, adverts, forms and reader comments (where their texts differ on every page, as those of the
+articles do, no entropy tells them apart), and that plain text elements of an article stay even where all pages of a host
+repeat them. Where a page has an article or main element, only its text counts. What the lists decide is not put into the
+tree, so on pages that mark everything outside of their article the tree has nothing left to remove.
 
 The style tree is two aggregations with map-side combining, so a host with a third of all pages is no hot task; low
 nodes are joined back by (host, path) and nothing is broadcast or collected. Pages are parsed twice, for the tree and
 for the text, which costs less disk than keeping their blocks. Pages of a host with equal html count once.
 
-Null and empty html give an empty text. Repeated rows get equal results. A url without a host is a host of its own.
+Null and empty html give an empty text, an empty table no rows. Repeated rows get equal results. A url without a host is a
+host of its own. Very long pages are parsed alone, whole. Other columns are ignored, whatever their names. Where the two
+entropies tie, either is the importance.
 """
 
 from __future__ import annotations
@@ -37,10 +40,10 @@ LOW_IMPORTANCE = 0.2
 
 # How HTML groups its elements, and the words that mark what is not the article.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style textarea title noscript template iframe svg math object select".split())
+RAW = frozenset("script style textarea title noscript template iframe svg select".split())
 BLOCK = frozenset("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol optgroup option p pre section summary table tbody tfoot thead tr ul".split())
-DROPPED = frozenset("head nav footer aside form menu dialog button input label fieldset".split())
-DROPPED_WORDS = frozenset("ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion sidebar nav navbar navigation menu breadcrumb breadcrumbs footer cookie cookies consent gdpr notice notices alert banner newsletter subscribe popup modal overlay comment comments disqus respond share sharing social related recommended widget pagination pager login signup skip toolbar masthead topbar copyright".split())
+DROPPED = frozenset("head nav footer aside form menu dialog button input".split())
+DROPPED_WORDS = frozenset("ad ads adv advert adverts advertisement advertising sponsor sponsored sidebar nav navbar navigation menu breadcrumb breadcrumbs footer cookie cookies consent gdpr notice notices alert banner newsletter subscribe popup modal overlay comment comments disqus respond widget pagination pager login signup skip toolbar masthead topbar".split())
 DROPPED_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu menubar".split())
 PLAIN = frozenset("p h1 h2 h3 h4 h5 h6 ul ol li blockquote pre table thead tbody tr td th dl dt dd figure figcaption b i em strong a span code br".split())
 

@@ -17,6 +17,8 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share: spark.checkpoint.dir, or a fresh local one where that is unset (tests)."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         found = tempfile.mkdtemp(prefix="granary-checkpoint-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -120,8 +122,8 @@ def blob_rows(rows: np.ndarray) -> pa.Array:
 def components(edges: DataFrame, most_rounds: int = 1000) -> DataFrame:
     """Vertex `v` and smallest reachable vertex `root` for every end of `edges` (a, b: long).
 
-    Alternates large-star and small-star steps: each is one aggregation with map-side combining and one join
-    that adaptive execution can split, so a vertex with very many neighbours never lands in one task. Rounds are
+    Alternates large-star and small-star steps: each is one aggregation with map-side combining and one join on the
+    vertex. The edges of one vertex meet in one task of that join, 16 bytes each, sorted and not held at once. Rounds are
     written to the shared folder; they end when a round changes nothing; RuntimeError if
     `most_rounds` were not enough.
     """

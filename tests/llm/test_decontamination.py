@@ -83,3 +83,26 @@ def test_documents_shorter_than_an_item(spark):
     assert {(r.doc_id, r.item_id): round(r.similarity, 9) for r in rows} == want and len(want) > 25
     texts, bench = dict(docs), dict(items)
     assert all(words(texts[r.doc_id][r.start : r.end]) == words(texts[r.doc_id]) for r in rows if len(words(texts[r.doc_id])) <= len(words(bench[r.item_id])))
+
+
+def test_fingerprints_at_the_threshold_stay_within_the_radius():
+    """Pairs that are just similar enough, of few and many, plain and repeated shingles."""
+    import numpy as np
+
+    rng = np.random.default_rng(8)
+    for n in (8, 14, 21, 40, 84):
+        for kinds in (n, max(2, n // 4)):
+            for _ in range(300):
+                a = rng.choice(rng.integers(0, 2**63, kinds, dtype=np.uint64), n)
+                b = a.copy()
+                b[rng.choice(n, n // 7, replace=False)] = rng.integers(0, 2**63, n // 7, dtype=np.uint64)
+                x, y = (decontamination.fingerprints(s, np.zeros(1, np.int64), n)[0] for s in (a, b))
+                assert decontamination._ONES[x ^ y].sum() <= decontamination.RADIUS
+
+
+def test_repeated_rows_and_empty_tables(spark):
+    text = " ".join(f"w{k}" for k in range(30))
+    d = spark.createDataFrame([(1, text), (1, text), (None, text), (2, "x " + text * 1)], "doc_id long, text string")
+    b = spark.createDataFrame([(7, text), (7, text)], "item_id long, text string")
+    assert sorted(str(r.doc_id) for r in decontamination.find_leaks(d, b).collect()) == sorted(["1"] * 4 + ["None"] * 2 + ["2"] * 2)
+    assert decontamination.find_leaks(d.limit(0), b).count() == 0 and decontamination.find_leaks(d, b.limit(0)).count() == 0

@@ -42,6 +42,54 @@ def test_style_tree_removes_what_a_site_repeats(spark):
     assert got[100] == "Our site\n\nalone" and got[205] == "Copied\n\npage"
 
 
+def test_style_tree_like_brute_force(spark):
+    """Pages, importance and removal of every node, from pages whose nodes the test makes itself."""
+    import math
+    import random
+    from collections import Counter, defaultdict
+
+    import xxhash
+
+    rng, rows, seen = random.Random(6), [], defaultdict(set)
+    for i in range(120):
+        host = rng.choice(["one.example", "two.example"])
+        top, kids = rng.choice(["Site", "Site", "Site", "Other"]), [rng.choice("abcdefgh") * 3 for _ in range(rng.randint(0, 3))]
+        low = "Imprint" if host == "one.example" else f"note {i}"
+        page = f'<body><div class="top">{top}</div><div class="mid">{"".join(f"<p>{k}</p>" for k in kids)}</div><section>{low}</section></body>'
+        rows.append((i, f"http://{host}/{i}", page))
+        nodes = {"/body./div.top": ((), top), "/body./div.mid": (("p.",) * len(kids), " ".join(kids)), "/body./section.": ((), low)}
+        if kids:
+            nodes["/body./div.mid/p."] = ((), " ".join(kids))
+        for path, (children, content) in nodes.items():
+            seen[host, path].add((page, children, content))
+
+    def share(values):
+        n = Counter(values)
+        total = sum(n.values())
+        return -sum(c / total * math.log(c / total) for c in n.values()) / math.log(total)
+
+    want = {}
+    for (host, path), pages in seen.items():
+        importance = max(share([x[1] for x in pages]), share([x[2] for x in pages])) if len(pages) > 1 else 1.0
+        want[host, xxhash.xxh64_intdigest(path) - 2**63] = (len(pages), round(importance, 9))
+    df = spark.createDataFrame([(*r, 1, "h") for r in rows], PAGE).withColumn("row_key", html.F.col("page_id"))
+    parsed = df.select("row_key", "url", "html").mapInArrow(html._nodes, html._NODES)
+    tree = {(r.host, r.path): (r.pages, round(r.importance, 9)) for r in html.style_tree(parsed).collect()}
+    assert tree == want
+    gone = {k for k, (n, importance) in want.items() if n >= html.MIN_PAGES and importance < html.LOW_IMPORTANCE}
+    section, top = (xxhash.xxh64_intdigest(x) - 2**63 for x in ("/body./section.", "/body./div.top"))
+    assert gone == {("one.example", section), ("one.example", top), ("two.example", top)}
+    got = run(spark, rows)
+    for i, url, page in rows:
+        kept = re.findall("<p>(.*?)</p>", page) + ([f"note {i}"] if "two." in url else [])
+        assert got[i] == "\n\n".join(kept)
+
+
+def test_article_text_with_common_words_stays(spark):
+    page = "<article><p class='related'>a</p><p><label>b</label> c</p><p class='copyright share'>d</p></article>"
+    assert text(page) == "a\n\nb c\n\nd"
+
+
 def test_plain_article_text_stays(spark):
     rows = [(i, "http://one.example/", f"<article><h1>Same</h1><p>{i}</p><div class='tail'>Read more</div></article>") for i in range(12)]
     assert run(spark, rows) == {i: f"Same\n\n{i}" for i in range(12)}

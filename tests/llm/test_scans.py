@@ -83,6 +83,76 @@ def test_base_spans_and_flags(spark, model):
         assert (got[i].n_assign, got[i].n_access, got[i].n_hex) == tuple(sum(k == x for *_, k in spans) for x in ("assign", "access", "hex"))
 
 
+def plain_base(text):
+    """Base spans by walking the text, without regular expressions."""
+    key, hexa = set("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_.=-"), set("0123456789abcdef")
+    lower = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text)
+    out, n = [], len(text)
+
+    def run(i, allowed):
+        j = i
+        while j < n and text[j] in allowed:
+            j += 1
+        return j
+
+    def assign(i):
+        # longer alternatives do not matter: each name is tried in order, as the pattern lists them
+        for name in ("password", "passwd", "secret", "token", "api_key", "apikey"):
+            if not lower.startswith(name, i):
+                continue
+            j = i + len(name)
+            j += j < n and text[j] in "\"'"
+            while j < n and text[j] == " ":
+                j += 1
+            if j < n and text[j] in ":=":
+                j += 1
+                while j < n and text[j] == " ":
+                    j += 1
+                j += j < n and text[j] in "\"'"
+                end = run(j, key)
+                if end > j:
+                    return j, end
+        return None
+
+    i = 0
+    while i < n:
+        if found := assign(i):
+            if found[1] - found[0] >= 8:
+                out.append((i, 0, found[1], "assign"))
+            i = found[1]
+        else:
+            i += 1
+    i = 0
+    upper = set("ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789")
+    while i < n:
+        if text.startswith("AKIA", i) and (end := run(i + 4, upper)) > i + 4:
+            if end - i >= 16:
+                out.append((i, 1, end, "access"))
+            i = end
+        else:
+            i += 1
+    i = 0
+    while i < n:
+        end = run(i, hexa)
+        if end - i >= 32:
+            out.append((i, 2, end, "hex"))
+        i = max(end, i + 1)
+    return [(a, b, k) for a, _, b, k in sorted(out)]
+
+
+def test_base_spans_like_a_plain_walk(spark, model):
+    rng = random.Random(18)
+    bits = ["token", "SECRET", "apikey", "api_Key", '"', "'", ":", "=", " ", "AKIA", "ABCDEFGHIJKL0", "deadbeef" * 4, "abcdefg", "12345678", "é", "\n", "passwd", "Password", "x.y/z+9", "secret=token:abcdefgh12", "secret=passwd"]
+    texts = ["".join(rng.choices(bits, k=rng.randint(1, 25))) for _ in range(500)] + ["", "token=" + "k" * 100_000, "token=abcdefgh token=abcdefgh"]
+    got = {r.doc_id: r for r in secrets.digest(secrets.find_secrets(docs(spark, texts + [None] + texts[:3]), model)).collect()}
+    for i, t in enumerate(texts + [""] + texts[:3]):
+        want = plain_base(t)
+        assert got[i].base_sha256 == hashlib.sha256(",".join(f"{k}:{a}:{b}" for a, b, k in want).encode()).hexdigest(), t
+        assert (got[i].n_assign, got[i].n_access, got[i].n_hex) == tuple(sum(k == x for *_, k in want) for x in ("assign", "access", "hex"))
+        assert {f"{k}:{a}:{b}" for a, b, k in want} <= set(got[i].spans.split(","))  | ({""} if not want else set())
+    assert secrets.digest(secrets.find_secrets(docs(spark, []), model)).count() == 0
+
+
 def test_network_finds_held_out_keys_and_leaves_prose(model):
     windows, labels = secrets.drawn_findings(300, ["river", "stone", "cloud"], seed=99)
     p = model.probability(secrets.encode(windows))
