@@ -3,8 +3,9 @@
 Words are runs of ASCII letters, digits and non-ASCII characters, A-Z as a-z. An item of n words is compared with the
 windows of n words of every document. A window's fingerprint is the SimHash of its five-word shingles, each weighted
 by how often the window has it. Windows and items of weighted similarity (sum of smaller over sum of larger weights)
-0.75 differ in 11 of the 64 bits on average, deviation 3, so RADIUS is 23: of 370,000 random pairs at the threshold, of 1
-to 200 shingles, plain and repetitive, none was further apart (tests hold a smaller run). Fingerprints are cut into 8 blocks; two
+0.75 differ in 11 of the 64 bits on average, deviation 3, so RADIUS is 23: of 180,000 random pairs at the threshold, of 8
+to 200 shingles, plain and repetitive, none was further apart (tests hold a smaller run; under 7 shingles only equal
+ones are that similar). Fingerprints are cut into 8 blocks; two
 within 23 bits agree up to 2 bits in one block at least, and tables by block value hold all items that near: the
 search loses none within the radius. The exact weighted similarity then decides.
 A document shorter than an item is its one window, whole, unless the sizes alone keep the similarity under SIMILARITY.
