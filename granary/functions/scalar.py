@@ -28,10 +28,6 @@ def parse_hex(c: Column) -> Column:
     return F.conv(c, 16, 10).cast("long")
 
 
-def object_key(prefix: str, n: Column) -> Column:
-    return F.concat(F.lit(prefix), n.cast("string"))
-
-
 def metadata_key(blockno: Column, seq_no: Column, prefix: str = "metadata_") -> Column:
     """Key of a versioned metadata block: 12 and 10 hex digits."""
     return F.concat(F.lit(prefix), hex_padded(blockno, 12), F.lit("_"), hex_padded(seq_no, 10))
@@ -79,11 +75,6 @@ def pretty_size(n: Column) -> Column:
     return F.when(n < 1024, F.concat(n.cast("string"), F.lit(" bytes"))).otherwise(out)
 
 
-def block_span(offset: Column, length: Column, size: int) -> tuple[Column, Column]:
-    """First block that a range touches, and the one after its last."""
-    return F.floor(offset / size), F.ceil((offset + length) / size)
-
-
 def key_path(n: Column, digits: int = 3) -> Column:
     """Directory path of an object number: below each other its first 3, 6, 9 ... digits, then the number itself."""
     s = n.cast("string")
@@ -111,6 +102,21 @@ def freeze_mapping(c: Column) -> Column:
     return F.to_json(F.map_from_entries(F.array_sort(F.map_entries(c))))
 
 
+def thaw_mapping(c: Column, values: str = "string") -> Column:
+    """The map of a frozen mapping; null for what is none."""
+    return F.from_json(c, f"map<string,{values}>")
+
+
+def parse_literal(c: Column, kind: str) -> Column:
+    """A value of a simple type (long, double, boolean, date ...) from text; null where it is not written as one."""
+    return F.trim(c).try_cast(kind)
+
+
+def serialize_record(*columns: str) -> Column:
+    """Columns of a row as one JSON text, nulls included."""
+    return F.to_json(F.struct(*columns), {"ignoreNullFields": "false"})
+
+
 def mapping_checksum(c: Column) -> Column:
     """MD5 of a map's entries in key order, without its signature."""
     entries = F.array_sort(F.map_entries(F.map_filter(c, lambda k, _: k != "signature")))
@@ -126,6 +132,11 @@ def url_quote(c: Column) -> Column:
     return F.replace(F.replace(F.url_encode(c), F.lit("+"), F.lit("%20")), F.lit("%2F"), F.lit("/"))
 
 
+def url_unquote(c: Column) -> Column:
+    """What `url_quote` made of a text back again; a plus sign is itself."""
+    return F.url_decode(F.replace(c, F.lit("+"), F.lit("%2B")))
+
+
 def touch_atime(atime: Column, mtime: Column, ctime: Column, now: Column) -> Column:
     """Access time after a read: it moves only when older than a change."""
     return F.when((atime < ctime) | (atime < mtime), now).otherwise(atime)

@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from granary.operators.relational import beside
+from granary.operators.relational import beside, upsert
+from granary.operators.storage import saved
 
 
 def chunk(files: DataFrame, key: str, content: str, size: int) -> DataFrame:
@@ -107,12 +107,21 @@ def truncate(blocks: DataFrame, sizes: DataFrame, key: str, block_size: int) ->
     return joined.where(keep).select(key, "blockno", cut.alias("data"))
 
 
-def remove_blocks(blocks: DataFrame, key: str, first: int, last: int | None = None) -> DataFrame:
-    """Blocks without numbers from `first` up to but not including `last`."""
+def remove_blocks(blocks: DataFrame, key: str, first: int, last: int | None = None, only: DataFrame | None = None) -> DataFrame:
+    """Blocks without numbers from `first` up to but not including `last`, of all files or of those in `only` (key)."""
     inside = (F.col("blockno") >= first) & (F.lit(True) if last is None else F.col("blockno") < last)
+    if only is not None:
+        return blocks.join(only.select(key).distinct().withColumn("_only", F.lit(True)), key, "left").where(~(inside & F.col("_only").isNotNull())).select(*blocks.columns)
     return blocks.where(~inside)
 
 
+def remove_range(blocks: DataFrame, objects: DataFrame, key: str, first: int, last: int | None = None, only: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Blocks (key, blockno, hash) without a range, the objects after dropping its references, and the stored ones to delete."""
+    rest = remove_blocks(blocks, key, first, last, only)
+    gone = blocks.join(rest.select(key, "blockno"), [key, "blockno"], "left_anti").select("hash")
+    return (rest, *dereference(objects, gone))
+
+
 def verify_objects(objects: DataFrame, stored: DataFrame, key: str = "id", full: bool = True) -> DataFrame:
     """key, status: ok, missing, size or hash, of each object (key, length, hash hex) against stored (key, data).
 
@@ -135,6 +144,23 @@ def commit_cache(mapping: DataFrame, cached: DataFrame) -> DataFrame:
     return cached.join(old, ["inode", "blockno"], "left").select("inode", "blockno", "hash", "old_hash", action.alias("action"))
 
 
+def apply_cache(mapping: DataFrame, objects: DataFrame, cached: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """After a crash: mapping (inode, blockno, hash), objects, and the stored objects to delete, with the cache committed.
+
+    A cached block (inode, blockno, hash, length) equal to its mapping changes nothing; any other one is linked to the
+    object of its hash, which is inserted if there is none (to be stored, phys_size -1), and its old object loses a reference.
+    """
+    actions = saved(commit_cache(mapping, cached.drop("length")).join(cached.select("inode", "blockno", "length"), ["inode", "blockno"]).where("action <> 'keep'"))
+    linked = dedup_insert(objects, actions.select("hash", "length"))
+    left, gone = dereference(linked, actions.where("action = 'relink'").select(F.col("old_hash").alias("hash")))
+    return upsert(mapping.select("inode", "blockno", "hash"), actions.select("inode", "blockno", "hash"), ["inode", "blockno"]), left, gone
+
+
+def verify_in_order(objects: DataFrame, skip: int = 0, key: str = "id") -> DataFrame:
+    """Objects in the order of their keys without the first `skip`: where an interrupted verification goes on."""
+    return objects.orderBy(key).offset(skip)
+
+
 def dedup_stats(blocks: DataFrame, files: DataFrame) -> DataFrame:
     """Files, block references, distinct objects, total and unique size, de-duplicated share in percent."""
     objects = object_table(blocks).agg(F.count("*").alias("objects"), F.coalesce(F.sum("length"), F.lit(0)).alias("unique_size"), F.coalesce(F.sum(F.col("length") * F.col("refcount")), F.lit(0)).alias("total_size"), F.coalesce(F.sum("refcount"), F.lit(0)).alias("blocks"))
@@ -171,9 +197,3 @@ def lru_cache(accesses: DataFrame, max_bytes: int, max_entries: int, partition:
     key_type = accesses.schema["key"].dataType.simpleString()
     part_type = accesses.schema[partition].dataType.simpleString()
     return accesses.groupBy(partition).applyInPandas(run, f"{partition} {part_type}, seq long, key {key_type}, hit boolean, evicted long")
-
-
-def latest_per_block(blocks: DataFrame, key: str) -> DataFrame:
-    """The last version of each block (key, blockno, version)."""
-    w = Window.partitionBy(key, "blockno").orderBy(F.desc("version"))
-    return blocks.withColumn("_k", F.row_number().over(w)).where("_k = 1").drop("_k")

@@ -2,10 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -93,6 +92,32 @@ def delete_where(df: DataFrame, condition: Column) -> DataFrame:
     return df.where(~F.coalesce(condition, F.lit(False)))
 
 
+def counted(df: DataFrame, condition: Column) -> tuple[DataFrame, Observation]:
+    """`df` and how many of its rows meet a condition (`.get["affected"]` once it has run): the rows a change affects."""
+    seen = Observation()
+    return df.observe(seen, F.count_if(F.coalesce(condition, F.lit(False))).alias("affected")), seen
+
+
+def write_back(df: DataFrame, dirty: DataFrame, key: str = "id") -> DataFrame:
+    """`df` with the rows of `dirty` (same columns) in place of theirs; LookupError if one has no row, or more than one."""
+    hits = dirty.select(key).join(df.groupBy(key).agg(F.count("*").alias("_n")), key, "left")
+    if not hits.where(~F.col("_n").eqNullSafe(1)).isEmpty():
+        raise LookupError("a changed row must replace exactly one")
+    return upsert(df, dirty.select(*df.columns), [key])
+
+
+def delete_one(df: DataFrame, key: str, value) -> DataFrame:
+    """`df` without the one row of a key; LookupError if there is none, or more than one."""
+    if df.where(F.col(key) == F.lit(value)).limit(2).count() != 1:
+        raise LookupError(value)
+    return delete_where(df, F.col(key) == F.lit(value))
+
+
+def compacted(df: DataFrame, files: int) -> DataFrame:
+    """The same rows in `files` partitions, to be written again: many small files become few, without a shuffle."""
+    return df.coalesce(files)
+
+
 def delete_in(df: DataFrame, keys: list[str], ids: DataFrame) -> DataFrame:
     return df.join(ids.select(*keys).distinct(), keys, "left_anti")
 
@@ -199,8 +224,3 @@ def islands(numbers: DataFrame, partition: list[str], column: str) -> DataFrame:
     w = Window.partitionBy(*partition).orderBy(column)
     runs = numbers.select(*partition, column).distinct().withColumn("_run", F.col(column) - F.row_number().over(w))
     return runs.groupBy(*partition, "_run").agg(F.min(column).alias("first"), F.max(column).alias("last"), F.count("*").alias("size")).drop("_run")
-
-
-def fold(tables, steps: list[Callable]):
-    """Applies steps to a value in order."""
-    return reduce(lambda t, step: step(t), steps, tables)

@@ -20,6 +20,16 @@ def extended_stats(t: Tables) -> DataFrame:
     return row.select("entries", "inodes", "objects", "total_size", "dedup_size", "stored_size", percent("dedup_size", "total_size").alias("dedup_pct"), percent("stored_size", "total_size").alias("stored_pct"), percent("stored_size", "dedup_size").alias("compression_pct"))
 
 
+def stats_record(t: Tables, cache: DataFrame | None = None, database_bytes: int = 0, queued: int = 0) -> DataFrame:
+    """The twelve figures of a statistics record: tables, database, cache (bytes, dirty) and objects queued for removal; one row."""
+    figures = extended_stats(t).select("entries", "objects", "inodes", F.col("total_size").alias("fs_size"), "dedup_size", F.col("stored_size").alias("compr_size"))
+    zero = F.lit(0).cast("long")
+    used = cache_usage(cache, "bytes", F.col("dirty")) if cache is not None else t.inodes.sparkSession.range(1).select(*[zero.alias(c) for c in ("entries", "bytes", "dirty_entries", "dirty_bytes")])
+    used = used.select(F.col("entries").alias("cache_entries"), F.col("bytes").alias("cache_size"), F.col("dirty_entries").alias("cache_dirty_entries"), F.col("dirty_bytes").alias("cache_dirty_size"))
+    both = beside(figures, used).withColumns({"db_size": F.lit(database_bytes).cast("long"), "removals": F.lit(queued).cast("long")})
+    return both.select("entries", "objects", "inodes", "fs_size", "dedup_size", "compr_size", "db_size", "cache_entries", "cache_size", "cache_dirty_entries", "cache_dirty_size", "removals")
+
+
 def percent(part: str, whole: str) -> Column:
     return F.when(F.col(whole) > 0, 100.0 * F.col(part) / F.col(whole)).otherwise(0.0)
 

@@ -126,8 +126,8 @@ def apply_writes(spark, sf_dir):
     base = content.chunk(docs, "doc_id", "text", BLOCK).select("doc_id", "blockno", "data")
     write = F.explode(F.array(*[F.struct(F.lit(o).cast("long").alias("offset"), F.lit(d).alias("data"), F.lit(v).alias("version")) for o, d, v in _WRITES]))
     new = content.apply_writes(base, docs.select("doc_id", write.alias("w")).select("doc_id", "w.offset", "w.data", "w.version"), "doc_id", BLOCK)
-    size = F.greatest(F.length("text"), F.lit(1630)).cast("long").alias("size")
-    sizes = docs.select("doc_id", size)
+    files = docs.select("doc_id", F.length("text").cast("long").alias("size"))
+    sizes = content.sizes_after_writes(files, docs.select("doc_id", write.alias("w")).select("doc_id", "w.offset", "w.data"), "doc_id")
     return content.read_range(new, sizes, "doc_id", BLOCK, 0, 2**31 - 1).select("doc_id", F.sha2("data", 256).alias("hash"))
 
 
@@ -146,6 +146,30 @@ def commit_cache(spark, sf_dir):
     return content.commit_cache(blocks.where("inode % 3 <> 2"), cached).select(F.col("inode").alias("doc_id"), "blockno", "action")
 
 
+@_query(f"WITH {_B} SELECT hash, count(*) AS refcount FROM (SELECT CASE WHEN doc_id % 3 = 0 THEN reverse(hash) ELSE hash END AS hash FROM h) GROUP BY hash")
+def apply_cache(spark, sf_dir):
+    """Every third file changed in the cache, every third one only there: the objects after committing it."""
+    blocks = _blocks(spark, sf_dir).select(F.col("doc_id").alias("inode"), "blockno", "hash", "length")
+    stored = blocks.where("inode % 3 <> 2")
+    objects = content.object_table(stored).select("hash", "refcount", F.col("length").cast("long").alias("phys_size"), "length")
+    cached = blocks.withColumn("hash", F.when(F.col("inode") % 3 == 0, F.reverse("hash")).otherwise(F.col("hash")))
+    mapping, left, _ = content.apply_cache(stored.drop("length"), objects, cached)
+    return left.select("hash", "refcount").join(mapping.select("hash").distinct(), "hash", "full")
+
+
+@_query(f"WITH {_B} SELECT hash, count(*) AS refcount FROM h WHERE NOT (doc_id % 4 = 0 AND blockno >= 1 AND blockno < 3) GROUP BY hash")
+def remove_range(spark, sf_dir):
+    blocks = _blocks(spark, sf_dir)
+    objects = content.object_table(blocks).withColumn("phys_size", F.col("length"))
+    _, left, _ = content.remove_range(blocks.select("doc_id", "blockno", "hash"), objects, "doc_id", 1, 3, _t(spark, sf_dir, "documents").where("doc_id % 4 = 0"))
+    return left.select("hash", "refcount")
+
+
+@_query("SELECT o_orderkey FROM orders ORDER BY o_orderkey OFFSET 5000")
+def verify_in_order(spark, sf_dir):
+    return content.verify_in_order(_t(spark, sf_dir, "orders").select("o_orderkey"), 5000, "o_orderkey")
+
+
 @_query("SELECT doc_id, ['none', 'zlib', 'bzip2', 'lzma'][doc_id % 4 + 1] AS compression, CAST(NULL AS VARCHAR) AS error, sha256(text) AS hash FROM documents")
 def codec_roundtrip(spark, sf_dir):
     docs = _t(spark, sf_dir, "documents").select("doc_id", F.col("doc_id").cast("string").alias("key"), F.col("text").cast("binary").alias("data"))
@@ -250,6 +274,12 @@ def delete_where(spark, sf_dir):
     return relational.delete_where(joined, F.col("quality") == 0)
 
 
+@_query("SELECT c_custkey, CASE WHEN c_custkey % 10 = 0 THEN c_nationkey + 100 ELSE c_nationkey END AS c_nationkey FROM customer")
+def write_back(spark, sf_dir):
+    c = _t(spark, sf_dir, "customer").select("c_custkey", F.col("c_nationkey").cast("int").alias("c_nationkey"))
+    return relational.write_back(c, c.where("c_custkey % 10 = 0").withColumn("c_nationkey", F.col("c_nationkey") + 100), "c_custkey")
+
+
 @_query("SELECT l_orderkey, l_linenumber FROM lineitem UNION ALL SELECT l_orderkey + 10000000, l_linenumber FROM lineitem WHERE l_orderkey % 50 = 0")
 def insert_select(spark, sf_dir):
     items = _t(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber")
@@ -618,6 +648,21 @@ def key_codec(spark, sf_dir):
     return d.select("doc_id", "key", "escaped", scalar.unescape_key(F.col("escaped")).alias("plain"), block.alias("blockno"), seq.alias("seq_no"))
 
 
+@_query("SELECT page_id, replace(replace(url_encode(url), '%2F', '/'), '~', '%7E') AS quoted, url AS unquoted FROM pages")
+def url_codec(spark, sf_dir):
+    p = _t(spark, sf_dir, "pages").select("page_id", scalar.url_quote(F.col("url")).alias("quoted"))
+    return p.withColumn("unquoted", scalar.url_unquote(F.col("quoted")))
+
+
+@_query("SELECT doc_id, lang, TRY_CAST(substr(source, 4) AS BIGINT) AS n, true AS same FROM documents")
+def literals(spark, sf_dir):
+    """A frozen mapping thawed again, and a typed value read from text."""
+    m = F.create_map(F.lit("source"), F.col("source"), F.lit("lang"), F.col("lang"))
+    back = scalar.thaw_mapping(scalar.freeze_mapping(m))
+    same = F.coalesce(back["source"] == F.col("source"), F.col("source").isNull())
+    return _t(spark, sf_dir, "documents").select("doc_id", back["lang"].alias("lang"), scalar.parse_literal(F.expr("substr(source, 4)"), "long").alias("n"), same.alias("same"))
+
+
 @_query("SELECT doc_id, sha256(text) AS sha256, base64(unhex(md5(text))) AS md5_base64 FROM documents")
 def digests(spark, sf_dir):
     return _t(spark, sf_dir, "documents").select("doc_id", F.lower(F.hex(scalar.sha256(F.col("text")))).alias("sha256"), scalar.md5_base64(F.col("text")).alias("md5_base64"))
@@ -680,6 +725,12 @@ def cache_usage(spark, sf_dir):
     return stats.cache_usage(o, "n", F.col("o_orderstatus") == "O", ["o_orderpriority"])
 
 
+@_query(f"WITH {_FS} SELECT count(*) AS entries, count(*) FILTER (NOT dir) AS objects, count(*) + 2 AS inodes, sum(CASE WHEN dir THEN 0 ELSE octet_length(encode(node)) END)::BIGINT AS fs_size, sum(CASE WHEN dir THEN 0 ELSE octet_length(encode(node)) END)::BIGINT AS dedup_size, sum(CASE WHEN dir THEN 0 ELSE octet_length(encode(node)) END)::BIGINT AS compr_size, 4096::BIGINT AS db_size, (SELECT count(*) FROM orders) AS cache_entries, (SELECT 10 * count(*) FROM orders) AS cache_size, (SELECT count(*) FILTER (o_orderstatus = 'O') FROM orders) AS cache_dirty_entries, (SELECT 10 * count(*) FILTER (o_orderstatus = 'O') FROM orders) AS cache_dirty_size, 7::BIGINT AS removals FROM c")
+def stats_record(spark, sf_dir):
+    cache = _t(spark, sf_dir, "orders").select(F.lit(10).cast("long").alias("bytes"), (F.col("o_orderstatus") == "O").alias("dirty"))
+    return stats.stats_record(_url_tables(spark, sf_dir), cache, 4096, 7)
+
+
 @_query()
 def lru_cache(spark, sf_dir):
     e = _t(spark, sf_dir, "events").select(F.col("event_type").alias("cache"), F.col("event_id").alias("seq"), F.col("user_id").alias("key"), F.lit(1024).cast("long").alias("bytes"))

@@ -52,19 +52,22 @@ def throttle(events: DataFrame, key: str, seconds: Column, limit: float, order:
     return events.withColumn("_s", seconds.cast("double")).groupBy(key).applyInPandasWithState(run, kinds, "last double", "append", GroupStateTimeout.NoTimeout)
 
 
-def throttle_batch(events: DataFrame, key: str, seconds: Column, limit: float, order: str) -> DataFrame:
-    """The same for a finished table; a key's events stream through one pass in order, holding one number."""
+def throttle_batch(events: DataFrame, key: str, seconds: Column, limit: float, order: str, always: Column | None = None) -> DataFrame:
+    """The same for a finished table; a key's events stream through one pass in order, holding one number.
+
+    Events for which `always` is true (the last of a series) pass in any case, and the next ones count from them.
+    """
     columns = [*events.columns]
-    marked = events.withColumn("_s", seconds.cast("double"))
+    marked = events.withColumn("_s", seconds.cast("double")).withColumn("_always", F.coalesce(always, F.lit(False)) if always is not None else F.lit(False))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         current, last = None, None
         for pdf in batches:
             keep = []
-            for k, s in zip(pdf[key], pdf["_s"]):
+            for k, s, exempt in zip(pdf[key], pdf["_s"], pdf["_always"]):
                 if k != current:
                     current, last = k, None
-                keep.append(last is None or s - last >= limit)
+                keep.append(bool(exempt) or last is None or s - last >= limit)
                 last = s if keep[-1] else last
             yield pdf[keep][columns]
 

@@ -147,3 +147,44 @@ def test_backup_state_and_choice(spark):
     kept = {r.name for r in versions.expire_backups(old, [1, 3, 7], most_deleted=1.0).where("keep").collect()}
     assert kept == versions.backups_to_keep([(f"b{a}", a) for a in range(39, -1, -1)], [1, 3, 7])
     assert versions.expire_backups(old, [1, 3, 7]).where("not keep").isEmpty()
+
+
+def test_changes_that_must_hit_one_row(spark):
+    from granary.operators import relational
+
+    df = spark.createDataFrame([(1, "a"), (2, "b"), (2, "c")], "id long, v string")
+    assert sorted(map(tuple, relational.write_back(df, spark.createDataFrame([(1, "z")], df.schema)).collect())) == [(1, "z"), (2, "b"), (2, "c")]
+    for bad in (2, 9):
+        with pytest.raises(LookupError):
+            relational.write_back(df, spark.createDataFrame([(bad, "z")], df.schema))
+        with pytest.raises(LookupError):
+            relational.delete_one(df, "id", bad)
+    assert relational.delete_one(df, "id", 1).count() == 2
+    watched, seen = relational.counted(df, F.col("id") == 2)
+    assert watched.count() == 3 and seen.get["affected"] == 2
+
+
+def test_throttle_lets_the_last_pass(spark):
+    from granary.streaming import flows
+
+    rows = [(k, "m", float(s), s == 3) for k, s in enumerate((0, 1, 3, 4, 13))]
+    df = spark.createDataFrame(rows, "k long, name string, s double, is_last boolean")
+    assert sorted(r.k for r in flows.throttle_batch(df, "name", F.col("s"), 10.0, "k", F.col("is_last")).collect()) == [0, 2, 4]
+
+
+def test_failed_uploads_are_no_ones_copies(spark):
+    from granary.operators import content
+
+    objects = spark.createDataFrame([(1, "aa"), (2, "bb")], "id long, hash string")
+    marked = content.mark_failed(objects, spark.createDataFrame([(2,)], "id long"))
+    assert {tuple(r) for r in marked.select("id", "hash").collect()} == {(1, "aa"), (2, None)}
+
+
+def test_plans_do_not_show_the_passphrase(spark):
+    from granary.functions import codec
+
+    objects = spark.createDataFrame([("k", b"data")], "key string, data binary")
+    stored = codec.encode_objects(objects, "zlib", 1, "open sesame")
+    plan = stored._jdf.queryExecution().toString()
+    assert "open sesame" not in plan and "6F70656E" not in plan.upper()
+    assert bytes(codec.decode_objects(stored, "open sesame").first().data) == b"data"
