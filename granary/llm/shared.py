@@ -119,22 +119,34 @@ def blob_rows(rows: np.ndarray) -> pa.Array:
     return pa.Array.from_buffers(pa.binary(), len(rows), [None, at.buffers()[1], pa.py_buffer(rows.tobytes())])
 
 
-def components(edges: DataFrame, most_rounds: int = 1000) -> DataFrame:
+def _with_least(edges: DataFrame, hub: int) -> tuple[DataFrame, DataFrame]:
+    """`edges` (a, b) with the smallest `b` of their `a` as `m`, and a, m of every vertex.
+
+    Vertices of over `hub` edges are few (edges / hub at most) and are broadcast; their edges stay where they are.
+    """
+    low = edges.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n"))
+    marked = edges.join(F.broadcast(low.where(F.col("n") > hub).select("a", F.col("m").alias("hub_m"))), "a", "left")
+    hubs = marked.where("hub_m is not null").select("a", "b", F.col("hub_m").alias("m"))
+    rest = marked.where("hub_m is null").select("a", "b").join(low.select("a", "m"), "a")
+    return hubs.unionByName(rest), low.select("a", "m")
+
+
+def components(edges: DataFrame, most_rounds: int = 1000, hubs: int = 1000) -> DataFrame:
     """Vertex `v` and smallest reachable vertex `root` for every end of `edges` (a, b: long).
 
     Alternates large-star and small-star steps: each is one aggregation with map-side combining and one join on the
-    vertex. The edges of one vertex meet in one task of that join, 16 bytes each, sorted and not held at once. Rounds are
-    written to the shared folder; they end when a round changes nothing; RuntimeError if
-    `most_rounds` were not enough.
+    vertex. A vertex with over 1 / `hubs` of all edges (2 * `hubs` at most) is joined by broadcast, so that no task has
+    more edges of one vertex than that share or 1000. Rounds are written to the shared folder; they end when a round
+    changes nothing; RuntimeError if `most_rounds` were not enough.
     """
     now = written(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
-    mark = None
+    mark, count = None, now.count()
     for _ in range(most_rounds):
+        hub = max(1000, count // hubs)
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
-        low = large.groupBy("a").agg(F.min("b").alias("m"))
-        joined = large.join(low, "a")
+        joined, _ = _with_least(both, hub)
+        large = joined.where("b > a").select(F.col("b").alias("a"), F.least("a", "m").alias("b")).where("a <> b").distinct()
+        joined, low = _with_least(large, hub)
         small = joined.select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(low.select("a", F.col("m").alias("b"))).where("a <> b").distinct()
         after = written(small.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")))
         drop_written(now)
@@ -142,7 +154,7 @@ def components(edges: DataFrame, most_rounds: int = 1000) -> DataFrame:
         seen = now.agg(F.count("*"), F.expr("bit_xor(xxhash64(a, b))"), F.expr("coalesce(max(a), -1)")).first()
         if seen == mark:
             break
-        mark = seen
+        mark, count = seen, seen[0]
     else:
         raise RuntimeError(f"unfinished after {most_rounds} rounds")
     return now.select(F.col("a").alias("v"), F.col("b").alias("root")).unionByName(now.select(F.col("b").alias("v"), F.col("b").alias("root")).distinct())

@@ -124,6 +124,19 @@ def test_recall_just_above_the_threshold(spark):
     assert sum(r[2] == r[0] - 1 for r in found if r[0] % 2) >= 1999
 
 
+@pytest.mark.parametrize("least", [1000, 3])
+def test_components_of_stars_and_chains(spark, monkeypatch, least):
+    """Hubs with small and large ids, chains, and loose edges, with hubs broadcast from four edges on or not at all."""
+    from granary.llm import shared
+
+    plain = shared._with_least
+    monkeypatch.setattr(shared, "_with_least", lambda edges, hub: plain(edges, min(hub, least)))
+    edges = [(5000, i) for i in range(60)] + [(100, i) for i in range(101, 150)] + [(200 + i, 201 + i) for i in range(20)] + [(300, 301), (301, 300), (7, 7), (149, 5001)]
+    got = {(r.v, r.root) for r in shared.components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    root = {i: 0 for i in [*range(60), 5000]} | {i: 100 for i in [*range(100, 150), 5001]} | {i: 200 for i in range(200, 221)} | {300: 300, 301: 300}
+    assert got == set(root.items())
+
+
 def test_empty_null_ids_and_extra_columns(spark):
     assert got(spark, []) == set()
     df = spark.createDataFrame([(None, "a b c d e f", 1, 2), (1, "a b c d e f", 3, 4), (1, "a b c d e f", 3, 4)], "doc_id long, text string, kept int, tokens int")
