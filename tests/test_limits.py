@@ -2,7 +2,6 @@
 
 import pytest
 
-from granary.llm.shared import components
 from granary.operators import tree
 from granary.plans import catalogue
 
@@ -20,10 +19,3 @@ def test_turns_stay_in_their_conversation(spark, tmp_path):
     spark.createDataFrame(rows, "conv_id long, turn int, role string").write.parquet(f"{tmp_path}/conversations.parquet")
     got = {tuple(r) for r in catalogue.QUERIES["path_of"](spark, str(tmp_path)).collect()}
     assert got == {(1, 0, ""), (1, 1, "/b"), (2, 0, "")}
-
-
-def test_components_raise_when_unfinished(spark):
-    edges = spark.createDataFrame([(k, k + 1) for k in range(12)], "a long, b long")
-    assert {(r.v, r.root) for r in components(edges).collect()} == {(k, 0) for k in range(13)}
-    with pytest.raises(RuntimeError):
-        components(edges, most_rounds=2)
