@@ -84,7 +84,7 @@ def test_scalars(spark):
     assert one(scalar.freeze_mapping(F.create_map(F.lit("b"), F.lit(1), F.lit("a"), F.lit(2))))[0] == '{"a":2,"b":1}'
     long = spark.createDataFrame([(1, 1, "x" * 300), (1, 2, "n"), (1, 3, "n")], "parent int, id int, name string")
     taken = spark.createDataFrame([(1, "n"), (1, "n-1"), (1, "n-7")], "parent int, name string")
-    assert {r.id: r.new_name for r in scalar.unique_names(long, taken).collect()} == {1: "x" * 120 + " ... " + "x" * 120, 2: "n-8", 3: "n-9"}
+    assert {r.id: r.new_name for r in scalar.unique_names(long, taken).collect()} == {1: "x" * 120 + " ... " + "x" * 120, 2: "n-2", 3: "n-3"}
 
 
 def test_rows(spark):
