@@ -1,24 +1,32 @@
 """HTML extraction with a site style tree.
 
 Every page becomes a tree of elements. Elements of one host's pages that share a style path (tags with their classes,
-from the root) are merged into one node of the host's style tree. A node's importance is the larger of two entropies
-over the host's distinct pages, each divided by the logarithm of the number of pages: of its presentation (the child
-elements) and of its content (the text below it). Nodes on MIN_PAGES pages or more with an importance under
-LOW_IMPORTANCE repeat across the site; their branches are removed from each page.
+from the root) are merged into one node of the host's style tree: menus, adverts and footers as well as articles. A node
+has two entropies over the host's distinct pages, each divided by the logarithm of the number of pages: of its
+presentation (the child elements) and of its content (the text below it). Two rules remove the branches of nodes on
+MIN_PAGES pages or more from each page:
 
-Two things the entropies alone can't tell are stated as fixed lists: elements and class words that mark menus, headers,
-footers, sidebars, notices, adverts, forms and reader comments (where their texts differ on every page, as those of the
-articles do, no entropy tells them apart), and that plain text elements of an article stay even where all pages of a host
-repeat them. Where a page has an article or main element, only its text counts. What the lists decide is not put into the
-tree, so on pages that mark everything outside of their article the tree has nothing left to remove.
+- a node whose larger entropy is under LOW_IMPORTANCE repeats across the site;
+- the children of a node are slots of a template if its presentation varies less than theirs. Where the best slot's
+  presentation has an entropy of MIN_VARIETY (nats, whatever the number of pages), slots with less than SLOT_SHARE of it
+  go, if their parent has less too: a menu, an advert, a footer beside an article, even where all their texts differ.
+  Only slots on half of their parent's pages set the bar.
 
-The style tree is two aggregations with map-side combining, so a host with a third of all pages is no hot task; low
-nodes are joined back by (host, path) and nothing is broadcast or collected. Pages are parsed twice, for the tree and
-for the text, which costs less disk than keeping their blocks. Pages of a host with equal html count once.
+The second rule leaves alone plain text elements, elements that hold an article or main element, and all inside of these.
+Plain text elements of an article stay even where all pages of a host repeat them. After the tree, fixed lists remove what
+it has left: elements and class words that mark menus, headers, footers, sidebars, notices, adverts, forms and reader
+comments, as on hosts of a few pages, or where comments vary as articles do. Where a page has an article or main element,
+only its text counts.
+
+The style tree is two aggregations with map-side combining, so a host with a third of all pages is no hot task. The low
+nodes of a host are one row, joined back to its pages by host; that table is written first, so Spark broadcasts it only
+if its known size is under spark.sql.autoBroadcastJoinThreshold and sorts and merges (with skewed hosts split) beyond.
+Nothing is collected. Pages are parsed twice, for the tree and for the text, which costs less disk than keeping their
+blocks. Pages of a host with equal html count once.
 
 Null and empty html give an empty text, an empty table no rows. Repeated rows get equal results. A url without a host is a
 host of its own. Very long pages are parsed alone, whole. Other columns are ignored, whatever their names. Where the two
-entropies tie, either is the importance.
+entropies tie, either is the importance; equally varied slots all stay.
 """
 
 from __future__ import annotations
@@ -27,7 +35,6 @@ import html as references
 import re
 from collections.abc import Iterator
 
-import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -37,6 +44,11 @@ from granary.llm.shared import by_bytes, written
 
 MIN_PAGES = 8
 LOW_IMPORTANCE = 0.2
+MIN_VARIETY = 2.0
+SLOT_SHARE = 0.5
+
+#: Which rules may remove a node: both, the first only, none.
+SLOT, REPEATED, STAYS = 0, 1, 2
 
 # How HTML groups its elements, and the words that mark what is not the article.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -50,30 +62,39 @@ PLAIN = frozenset("p h1 h2 h3 h4 h5 h6 ul ol li blockquote pre table thead tbody
 _TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?\]\]>|<[!?][^>]*>|<(/?)([a-zA-Z][^\s>/]*)((?:[^>"']|"[^"]*"|'[^']*')*)>|<(/?)([a-zA-Z][^\s>/]*)([^>]*)>""", re.S)
 _ATTRIBUTE = re.compile(r"""(class|id|role|hidden|aria-hidden|itemprop)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
 _WORD = re.compile(r"[a-z]+")
-_HOST = re.compile(r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)")
+#: The host of a url, for Spark's regexp_extract.
+_HOST = r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)"
 
 
-def host_of(url: str | None) -> str:
-    m = _HOST.match(url or "")
-    return m.group(1).lower() if m else ""
+class _Element:
+    __slots__ = ("tag", "path", "dropped", "mute", "main", "chain")
 
+    def __init__(self, tag, path, dropped, mute, main, chain):
+        self.tag, self.path, self.dropped, self.mute, self.main, self.chain = tag, path, dropped, mute, main, chain
 
-class _Element:
-    __slots__ = ("tag", "path", "dropped", "main", "chain", "kinds")
 
-    def __init__(self, tag, path, dropped, main, chain):
-        self.tag, self.path, self.dropped, self.main, self.chain = tag, path, dropped, main, chain
+class _Node:
+    """A style node of one page: its parent, the rules it is under, styles of its child elements, hashes of its texts."""
+
+    __slots__ = ("parent", "rule", "children", "texts")
+
+    def __init__(self, parent, rule):
+        self.parent, self.rule, self.children, self.texts = parent, rule, [], []
+
 
+def _hash(text: str) -> int:
+    return xxhash.xxh64_intdigest(text) - 2**63
 
-def parse(html: str) -> tuple[list[tuple[str, tuple[int, ...]]], list[tuple[int, int, int]]]:
-    """Text blocks of a page with the style nodes above each, and the page's style nodes: path, presentation, content.
 
-    Plain elements of an article are no style nodes, nor is what the fixed lists drop.
+def parse(html: str) -> tuple[list[tuple[str, tuple[int, ...]]], list[tuple[int, int, int, int, int]]]:
+    """Text blocks of a page with the style nodes above each, and the page's style nodes: path, parent, rule, presentation, content.
+
+    Blocks are those that the fixed lists leave. Plain elements of an article are no style nodes.
     """
-    stack = [_Element("", "", False, False, ())]
-    blocks: list[tuple[str, tuple[int, ...], bool]] = []
-    children: dict[int, list[str]] = {}
-    texts: dict[int, list[str]] = {}
+    root = _hash("")
+    nodes = {root: _Node(root, STAYS)}
+    stack = [_Element("", "", False, False, False, (root,))]
+    blocks: list[tuple[str, tuple[int, ...], bool, bool]] = []
     held: list[str] = []
     any_main = False
 
@@ -83,19 +104,20 @@ def parse(html: str) -> tuple[list[tuple[str, tuple[int, ...]]], list[tuple[int,
             held.clear()
             if text:
                 top = stack[-1]
-                blocks.append((text, top.chain, top.main))
+                blocks.append((text, top.chain, top.dropped, top.main))
+                mark = str(_hash(text))
                 for node in top.chain:
-                    texts[node].append(text)
+                    nodes[node].texts.append(mark)
 
     at, n = 0, len(html)
     while at < n:
         m = _TAG.search(html, at)
         top = stack[-1]
         if m is None:
-            if not top.dropped:
+            if not top.mute:
                 held.append(html[at:])
             break
-        if m.start() > at and not top.dropped:
+        if m.start() > at and not top.mute:
             held.append(html[at : m.start()])
         at = m.end()
         tag = m.group(2) or m.group(5)
@@ -108,6 +130,8 @@ def parse(html: str) -> tuple[list[tuple[str, tuple[int, ...]]], list[tuple[int,
                 flush()
             for k in range(len(stack) - 1, 0, -1):
                 if stack[k].tag == tag:
+                    if top.dropped and not top.mute and not stack[k - 1].dropped:
+                        flush()  # an inline end that closes a dropped block
                     del stack[k:]
                     break
             continue
@@ -150,37 +174,40 @@ def parse(html: str) -> tuple[list[tuple[str, tuple[int, ...]]], list[tuple[int,
         dropped = top.dropped or hidden or tag in DROPPED or role in DROPPED_ROLES or bool(words & DROPPED_WORDS) or ("header" in words or tag == "header") and not top.main
         if tag in ("html", "body"):
             dropped = False
+        mute = dropped and (top.mute or not top.dropped and tag not in BLOCK)
         main = main and not dropped
         any_main = any_main or main
         path, chain = top.path, top.chain
-        if not dropped:
+        if not mute and tag != "head":
             style = tag + "." + ".".join(sorted(re.sub(r"[^a-z]+", "", w) for w in marks.split()))
             path = f"{path}/{style}"
-            if chain and chain[-1] in children:
-                children[chain[-1]].append(style)
-            if tag not in ("html", "body", "article", "main") and not (main and tag in PLAIN and not marks):
-                node = xxhash.xxh64_intdigest(path) - 2**63
-                children.setdefault(node, [])
-                texts.setdefault(node, [])
+            nodes[chain[-1]].children.append(style)
+            plain = tag in PLAIN and not marks
+            if not (main and plain):
+                node = _hash(path)
+                rule = STAYS if tag in ("html", "body") or main and not top.main else REPEATED if main or plain else SLOT
+                if node not in nodes:
+                    nodes[node] = _Node(chain[-1], rule)
+                nodes[node].rule = max(nodes[node].rule, rule)
                 chain = (*chain, node)
-        stack.append(_Element(tag, path, dropped, main, chain))
+            if main and not top.main:
+                for node in chain:
+                    nodes[node].rule = STAYS
+        stack.append(_Element(tag, path, dropped, mute, main, chain))
     flush()
-    kept = [(text, chain) for text, chain, main in blocks if main or not any_main]
-    nodes = [(node, xxhash.xxh64_intdigest("\1".join(children[node])) - 2**63, xxhash.xxh64_intdigest("\1".join(texts[node])) - 2**63) for node in children]
-    return kept, nodes
+    kept = [(text, chain) for text, chain, dropped, main in blocks if not dropped and (main or not any_main)]
+    return kept, [(k, x.parent, x.rule, _hash("\1".join(x.children)), _hash(" ".join(x.texts))) for k, x in nodes.items()]
 
 
-_NODES = "row_key long, host string, html_key long, nodes array<struct<path: bigint, presentation: bigint, content: bigint>>"
+_NODES = "host string, html_key long, nodes array<struct<path: bigint, parent: bigint, rule: int, presentation: bigint, content: bigint>>"
+_NODE = pa.struct([("path", pa.int64()), ("parent", pa.int64()), ("rule", pa.int32()), ("presentation", pa.int64()), ("content", pa.int64())])
 
 
 def _nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    node = pa.list_(pa.struct([("path", pa.int64()), ("presentation", pa.int64()), ("content", pa.int64())]))
+    names = [field.name for field in _NODE]
     for batch in by_bytes(batches, "html"):
-        pages = batch.column("html").to_pylist()
-        hosts = pa.array([host_of(u) for u in batch.column("url").to_pylist()], pa.string())
-        keys = np.array([xxhash.xxh64_intdigest(h or "") for h in pages], np.uint64).view(np.int64)
-        nodes = pa.array([[{"path": p, "presentation": s, "content": c} for p, s, c in parse(h or "")[1]] for h in pages], node)
-        yield pa.RecordBatch.from_arrays([batch.column("row_key"), hosts, pa.array(keys), nodes], ["row_key", "host", "html_key", "nodes"])
+        nodes = pa.array([[dict(zip(names, x)) for x in parse(h or "")[1]] for h in batch.column("html").to_pylist()], pa.list_(_NODE))
+        yield pa.RecordBatch.from_arrays([batch.column("host"), batch.column("html_key"), nodes], ["host", "html_key", "nodes"])
 
 
 def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -192,23 +219,45 @@ def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string())], ["page_id", "url", "text"])
 
 
+def parsed_pages(rows: DataFrame) -> DataFrame:
+    """host, html_key and style nodes of each page (host, html)."""
+    return rows.select("host", F.xxhash64("html").alias("html_key"), "html").mapInArrow(_nodes, _NODES)
+
+
 def style_tree(parsed: DataFrame) -> DataFrame:
-    """host, path, pages, importance of each node of the hosts' style trees."""
+    """host, path, node, above (the parent's node), rule, pages, presentation and content of each node of the hosts' style trees."""
     distinct = parsed.groupBy("host", "html_key").agg(F.first("nodes").alias("nodes"))
-    nodes = distinct.select("host", F.explode("nodes").alias("n"))
-    values = nodes.select("host", "n.path", F.explode(F.array(F.struct(F.lit(0).alias("kind"), F.col("n.presentation").alias("value")), F.struct(F.lit(1).alias("kind"), F.col("n.content").alias("value")))).alias("v"))
-    counts = values.groupBy("host", "path", "v.kind", "v.value").agg(F.count("*").alias("c"))
-    entropies = counts.groupBy("host", "path", "kind").agg(F.sum("c").alias("pages"), (F.log(F.sum("c")) - F.sum(F.col("c") * F.log("c")) / F.sum("c")).alias("entropy"))
-    return entropies.groupBy("host", "path").agg(F.max("pages").alias("pages"), F.max(F.when(F.col("pages") > 1, F.col("entropy") / F.log("pages")).otherwise(1.0)).alias("importance"))
+    nodes = distinct.select("host", F.explode("nodes").alias("n")).select(F.xxhash64("host", "n.path").alias("node"), "host", "n.*")
+    # a node of 64 bits for host and path keeps the rows of the larger shuffle short
+    values = nodes.select("node", F.explode(F.array(F.struct(F.lit(0).alias("kind"), F.col("presentation").alias("value")), F.struct(F.lit(1).alias("kind"), F.col("content").alias("value")))).alias("v"))
+    counts = values.groupBy("node", "v.kind", "v.value").agg(F.count("*").alias("c"))
+    of = {k: F.sum(F.when(F.col("kind") == k, F.col("c") * F.log("c")).otherwise(0.0)) for k in (0, 1)}
+    sums = counts.groupBy("node").agg(F.sum(F.when(F.col("kind") == 0, F.col("c"))).alias("pages"), of[0].alias("s0"), of[1].alias("s1"))
+
+    def entropy(s: str):
+        return F.when(F.col("pages") > 1, F.round(1 - F.col(s) / F.col("pages") / F.log("pages"), 9)).otherwise(1.0)
+
+    named = nodes.groupBy("node").agg(F.first("host").alias("host"), F.first("path").alias("path"), F.first("parent").alias("parent"), F.max("rule").alias("rule"))
+    return sums.join(named, "node").select("host", "path", "node", F.xxhash64("host", "parent").alias("above"), "rule", "pages", entropy("s0").alias("presentation"), entropy("s1").alias("content"))
+
+
+def low_nodes(tree: DataFrame) -> DataFrame:
+    """host, path of the nodes of a style tree whose branches are removed from the host's pages."""
+    varied = tree.withColumn("variety", F.col("presentation") * F.log("pages"))
+    parents = varied.select(F.col("node").alias("above"), F.col("pages").alias("above_pages"), F.col("variety").alias("above_variety"))
+    slots = varied.where("node <> above").join(parents, "above")
+    best = slots.where("2 * pages >= above_pages").groupBy("above").agg(F.max("variety").alias("best"))
+    repeated = F.greatest("presentation", "content") < LOW_IMPORTANCE
+    slot = (F.col("rule") == SLOT) & (F.col("best") >= MIN_VARIETY) & (F.greatest("variety", "above_variety") < SLOT_SHARE * F.col("best"))
+    return slots.join(best, "above", "left").where((F.col("rule") < STAYS) & (F.col("pages") >= MIN_PAGES) & (repeated | F.coalesce(slot, F.lit(False)))).select("host", "path")
 
 
 def extract(pages: DataFrame) -> DataFrame:
     """page_id, url, text, n_chars of every page."""
-    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
-    rows = rows.withColumn("row_key", F.xxhash64("page_id", "url", "html"))
-    parsed = written(rows.select("row_key", "url", "html").mapInArrow(_nodes, _NODES))
-    low = style_tree(parsed).where((F.col("pages") >= MIN_PAGES) & (F.col("importance") < LOW_IMPORTANCE)).select("host", "path")
-    own = parsed.select("row_key", "host", F.explode("nodes.path").alias("path"))
-    removed = own.join(low, ["host", "path"]).groupBy("row_key").agg(F.collect_set("path").alias("low"))
-    out = rows.join(removed.hint("merge"), "row_key", "left").mapInArrow(_texts, "page_id long, url string, text string")
+    url = F.col("url").cast("string")
+    host = F.lower(F.regexp_extract(F.coalesce(url, F.lit("")), _HOST, 1))
+    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), url.alias("url"), F.col("html").cast("string").alias("html"), host.alias("host"))
+    tree = written(style_tree(written(parsed_pages(rows))))
+    low = written(low_nodes(tree).groupBy("host").agg(F.collect_set("path").alias("low")))
+    out = rows.join(low, "host", "left").select("page_id", "url", "html", "low").mapInArrow(_texts, "page_id long, url string, text string")
     return out.withColumn("n_chars", F.length("text").cast("long"))

@@ -57,7 +57,8 @@ def test_style_tree_like_brute_force(spark):
         low = "Imprint" if host == "one.example" else f"note {i}"
         page = f'<body><div class="top">{top}</div><div class="mid">{"".join(f"<p>{k}</p>" for k in kids)}</div><section>{low}</section></body>'
         rows.append((i, f"http://{host}/{i}", page))
-        nodes = {"/body./div.top": ((), top), "/body./div.mid": (("p.",) * len(kids), " ".join(kids)), "/body./section.": ((), low)}
+        body = " ".join([top, *kids, low])
+        nodes = {"": (("body.",), body), "/body.": (("div.top", "div.mid", "section."), body), "/body./div.top": ((), top), "/body./div.mid": (("p.",) * len(kids), " ".join(kids)), "/body./section.": ((), low)}
         if kids:
             nodes["/body./div.mid/p."] = ((), " ".join(kids))
         for path, (children, content) in nodes.items():
@@ -66,25 +67,46 @@ def test_style_tree_like_brute_force(spark):
     def share(values):
         n = Counter(values)
         total = sum(n.values())
-        return -sum(c / total * math.log(c / total) for c in n.values()) / math.log(total)
-
-    want = {}
-    for (host, path), pages in seen.items():
-        importance = max(share([x[1] for x in pages]), share([x[2] for x in pages])) if len(pages) > 1 else 1.0
-        want[host, xxhash.xxh64_intdigest(path) - 2**63] = (len(pages), round(importance, 9))
-    df = spark.createDataFrame([(*r, 1, "h") for r in rows], PAGE).withColumn("row_key", html.F.col("page_id"))
-    parsed = df.select("row_key", "url", "html").mapInArrow(html._nodes, html._NODES)
-    tree = {(r.host, r.path): (r.pages, round(r.importance, 9)) for r in html.style_tree(parsed).collect()}
-    assert tree == want
-    gone = {k for k, (n, importance) in want.items() if n >= html.MIN_PAGES and importance < html.LOW_IMPORTANCE}
-    section, top = (xxhash.xxh64_intdigest(x) - 2**63 for x in ("/body./section.", "/body./div.top"))
+        return -sum(c / total * math.log(c / total) for c in n.values()) / math.log(total) if total > 1 else 1.0
+
+    def key(path):
+        return xxhash.xxh64_intdigest(path) - 2**63
+
+    want = {(h, key(p)): (len(pages), round(share([x[1] for x in pages]), 6), round(share([x[2] for x in pages]), 6)) for (h, p), pages in seen.items()}
+    tree = html.style_tree(html.parsed_pages(spark.createDataFrame([(url.split("/")[2], page) for _, url, page in rows], "host string, html string")))
+    assert {(r.host, r.path): (r.pages, round(r.presentation, 6), round(r.content, 6)) for r in tree.collect()} == want
+    section, top = key("/body./section."), key("/body./div.top")
+    gone = {k for k, (n, *both) in want.items() if n >= html.MIN_PAGES and max(both) < html.LOW_IMPORTANCE}
     assert gone == {("one.example", section), ("one.example", top), ("two.example", top)}
+    assert {(r.host, r.path) for r in html.low_nodes(tree).collect()} == gone
     got = run(spark, rows)
     for i, url, page in rows:
         kept = re.findall("<p>(.*?)</p>", page) + ([f"note {i}"] if "two." in url else [])
         assert got[i] == "\n\n".join(kept)
 
 
+def test_template_slots_without_structure_go(spark):
+    """The tree alone decides: no element or class is in a list, every text differs, and only structures tell."""
+    slots = '<div class="a"><ul><li>x{0}</li><li>y{0}</li></ul></div><div class="b">buy {0}</div>'
+    story = "".join
+    rows = [(i, f"http://one.example/{i}", f'<body>{slots.format(i)}<h1>Title {i}</h1><div class="c">{story(f"<p>t{i} {k}</p>" for k in range(1 + i % 11))}</div><div class="d">by {i}</div></body>') for i in range(40)]
+    rows += [(100 + i, f"http://two.example/{i}", rows[i][2]) for i in range(html.MIN_PAGES - 1)]
+    rows += [(200 + i, f"http://flat.example/{i}", f'<body><div class="b">one {i}</div><div class="c">two {i}</div></body>') for i in range(20)]
+    got = run(spark, rows)
+    for i in range(40):
+        assert got[i] == "\n\n".join([f"Title {i}", *(f"t{i} {k}" for k in range(1 + i % 11))])
+    assert got[100].startswith("x0\n\ny0\n\nbuy 0\n\nTitle 0") and got[203].split("\n\n") == ["one 3", "two 3"]
+
+
+def test_article_stays_beside_a_richer_slot(spark):
+    """Elements that hold an article are never slots to remove; list words still decide on hosts of a few pages."""
+    rows = [(i, f"http://one.example/{i}", f'<body><div class="w"><article>story {i}</article></div><div class="z">{"<p>n</p>" * i}{i}</div></body>') for i in range(20)]
+    rows += [(100, "http://few.example/", '<body><nav>menu</nav><p>a <span class="ad">buy</span> b<b><div class="ad">c</b>d</body>')]
+    got = run(spark, rows)
+    assert all(got[i] == f"story {i}" for i in range(20))
+    assert got[100] == "a b\n\nd"
+
+
 def test_article_text_with_common_words_stays(spark):
     page = "<article><p class='related'>a</p><p><label>b</label> c</p><p class='copyright share'>d</p></article>"
     assert text(page) == "a\n\nb c\n\nd"
