@@ -162,6 +162,30 @@ def test_network_finds_held_out_keys_and_leaves_prose(model):
     assert sum(x >= model.threshold for x in negative) <= 0.03 * len(negative)
 
 
+def test_every_candidate_is_scored(spark, model):
+    """Each span's score is the largest of the network's on plain slices around the key; base spans stay below the threshold too."""
+    long = "/".join(["path", "to", "file"] * 30) + "/x1"
+    keys = ["Zk8Qw2Lp9Xv4Tn7Rb3Mc6Yd1", "aaaaaaaa", "deadbeef" * 6, "AKIA" + "B7" * 8, long]
+    texts = [f"é before it token: {k} and what follows is plain prose, more of it" for k in keys] + [f"see {k} here" for k in keys] + [keys[0], "", None]
+    rows = {r.doc_id: r for r in secrets.find_secrets(docs(spark, texts), model).collect()}
+    seen = 0
+    for i, t in enumerate(texts):
+        base = [(s.start, s.end, s.kind) for s in rows[i].spans if s.kind != "model"]
+        assert base == plain_base(t or "")
+        for s in rows[i].spans:
+            a = s.start + len("token: ") if s.kind == "assign" else s.start
+            padded = " " * 24 + t + " " * 24
+            whole = padded[a : s.end + 48]
+            slices = [whole[k : k + 64].ljust(64) for k in range(0, max(1, len(whole) - 31), 32)]
+            slices = [w for k, w in zip(range(0, max(1, len(whole) - 31), 32), slices) if k + 64 <= len(whole) or not k] + [whole[-64:].ljust(64)]
+            want = max(model.probability(secrets.encode([w]))[0] for w in slices)
+            assert abs(s.score - want) < 1e-9 and (s.kind != "model" or s.score >= model.threshold)
+            seen += 1
+    assert seen >= 8
+    out = secrets.digest(secrets.find_secrets(docs(spark, texts), model)).collect()
+    assert all(len(r.scores.split(",")) == len(r.spans.split(",")) for r in out)
+
+
 def test_redaction(spark, model):
     df = docs(spark, ["a token=abcdefgh1 b password: hunter2hunter é", None, "", "clean text"])
     out = secrets.redact_secrets(df, model)
