@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections import OrderedDict
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -170,30 +174,32 @@ def dedup_stats(blocks: DataFrame, files: DataFrame) -> DataFrame:
 
 
 def lru_cache(accesses: DataFrame, max_bytes: int, max_entries: int, partition: str = "cache") -> DataFrame:
-    """hit and evicted of each access (cache, seq, key, bytes) under least-recent eviction; caches are simulated each for itself.
+    """hit and evicted of each access (cache, seq, key, bytes) under least-recent eviction, each cache for itself.
 
-    A reuse hits when the distinct keys used since, and their bytes, still fit. Each cache is one group: its state is
-    sequential, as a node's cache is bounded by that node; rows of it stream in order.
+    What a cache holds depends on all accesses before, so a cache is one task's; its accesses are sorted on Spark and
+    stream through in order of seq, then key, and only the bounded cache is held. The last used entry stays even where
+    it alone is over `max_bytes`. A null cache is one of its own; null bytes count as 0.
     """
-    from collections import OrderedDict
-
-    import pandas as pd
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        held: OrderedDict = OrderedDict()
-        total, hits, evicted = 0, [], []
-        for k, b in zip(pdf.sort_values("seq")["key"], pdf.sort_values("seq")["bytes"]):
-            hits.append(k in held)
-            total -= held.pop(k, 0)
-            held[k] = b
-            total += b
-            n = 0
-            while len(held) > 1 and (total > max_bytes or len(held) > max_entries):
-                total -= held.popitem(last=False)[1]
-                n += 1
-            evicted.append(n)
-        return pdf.sort_values("seq").assign(hit=hits, evicted=evicted)[[partition, "seq", "key", "hit", "evicted"]]
-
-    key_type = accesses.schema["key"].dataType.simpleString()
-    part_type = accesses.schema[partition].dataType.simpleString()
-    return accesses.groupBy(partition).applyInPandas(run, f"{partition} {part_type}, seq long, key {key_type}, hit boolean, evicted long")
+    names = [partition, "seq", "key", "bytes"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        current, held, total = object(), OrderedDict(), 0
+        for batch in batches:
+            hits, evicted = [], []
+            for cache, key, size in zip(*(batch.column(n).to_pylist() for n in (partition, "key", "bytes"))):
+                if cache != current:
+                    current, held, total = cache, OrderedDict(), 0
+                hits.append(key in held)
+                total += (size or 0) - held.pop(key, 0)
+                held[key] = size or 0
+                n = 0
+                while len(held) > 1 and (total > max_bytes or len(held) > max_entries):
+                    total -= held.popitem(last=False)[1]
+                    n += 1
+                evicted.append(n)
+            columns = [*(batch.column(n) for n in names[:3]), pa.array(hits, pa.bool_()), pa.array(evicted, pa.int64())]
+            yield pa.RecordBatch.from_arrays(columns, [*names[:3], "hit", "evicted"])
+
+    rows = accesses.select(partition, F.col("seq").cast("long").alias("seq"), "key", "bytes")
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:3])
+    return rows.repartition(partition).sortWithinPartitions(partition, "seq", "key").mapInArrow(run, f"{kinds}, hit boolean, evicted long")

@@ -1,4 +1,5 @@
 import os
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -124,6 +125,35 @@ def test_lru(spark):
     assert [r.hit for r in got] == [False, False, True, False, False, False, False] and sum(r.evicted for r in got) == 4
 
 
+def plain_lru(accesses, max_bytes, max_entries):
+    """hit and evicted by seq, with each cache as a list of (key, bytes), the least recent first."""
+    caches, out = {}, {}
+    for cache, seq, key, size in sorted(accesses, key=lambda a: (a[1], a[2])):
+        before = caches.get(cache, [])
+        now = [e for e in before if e[0] != key] + [(key, size or 0)]
+        gone = 0
+        while len(now) > 1 and (len(now) > max_entries or sum(n for _, n in now) > max_bytes):
+            now, gone = now[1:], gone + 1
+        out[seq] = (any(k == key for k, _ in before), gone)
+        caches[cache] = now
+    return out
+
+
+def test_lru_like_a_plain_replay(spark):
+    rng = random.Random(5)
+    rows = [(rng.choice(["hot"] * 6 + ["a", "b", None]), i, f"k{rng.randrange(12)}", rng.choice([1, 3, 8, 40, None])) for i in range(900)]
+    df = spark.createDataFrame(rows, "cache string, seq long, key string, bytes long").repartition(5)
+    kept = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")  # a cache crosses batches
+    try:
+        for limits in ((30, 5), (10_000, 3), (12, 100)):
+            got = content.lru_cache(df, *limits)
+            assert {r.seq: (r.hit, r.evicted) for r in got.collect()} == plain_lru(rows, *limits)
+        assert got.columns == ["cache", "seq", "key", "hit", "evicted"] and content.lru_cache(df.limit(0), 30, 5).count() == 0
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", kept)
+
+
 def test_streams(spark, tmp_path):
     events = spark.createDataFrame([(1, "a", 0), (2, "a", 5), (3, "b", 6), (4, "a", 30), (5, "b", 500), (6, "a", 501), (7, "c", 2000)], "event_id long, k string, s long").withColumn("ts", F.timestamp_seconds("s"))
     events.coalesce(1).write.parquet(str(tmp_path / "in"))
