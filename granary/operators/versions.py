@@ -100,8 +100,11 @@ def retention(stored: DataFrame, params: DataFrame, keep: int, group: list[str]
     by kept snapshots from its own seq_no up to before its block's next version, so no (snapshot, block) pairs are made.
     """
     group = group or []
-    newest = Window.partitionBy(*group).orderBy(F.desc("seq_no"))
-    kept = params.withColumn("_k", F.row_number().over(newest)).where(F.col("_k") <= keep)
+    if group:
+        newest = Window.partitionBy(*group).orderBy(F.desc("seq_no"))
+        kept = params.withColumn("_k", F.row_number().over(newest)).where(F.col("_k") <= keep)
+    else:
+        kept = params.orderBy(F.desc("seq_no")).limit(keep)
     kept = kept.groupBy(*group).agg(F.sort_array(F.collect_list(F.struct("seq_no", "n_blocks"))).alias("_kept"))  # `keep` entries
     ahead = Window.partitionBy(*group, "blockno").orderBy("seq_no")
     versions = stored.select(*group, "blockno", "seq_no").distinct().withColumn("_next", F.lead("seq_no").over(ahead))
