@@ -53,6 +53,8 @@ FIRST = 32
 FIRST_EQUAL = 12
 BLOCK_SETS = 2048
 BLOCK_SHINGLES = 2_000_000
+#: Edges that one task contracts at once.
+BLOCK_EDGES = 1 << 18
 LOW = f"substring(tokens, 1, {TOKENS}) AS low"
 
 _rng = np.random.default_rng(75)
@@ -288,7 +290,7 @@ def candidate_clusters(reps: DataFrame) -> DataFrame:
             break
         if depth >= min(GATHER, DEPTH):
             if labels is None:
-                labels = written(components(_union([*found, _led_edges(large, reps, old)])))
+                labels = written(components(_union([*found, _led_edges(large, reps, old)]), block=BLOCK_EDGES))
                 old.append(labels)
                 found = [labels.select(F.col("v").alias("a"), F.col("root").alias("b"))]
             large = written(_unresolved(large, labels, old))
@@ -299,7 +301,7 @@ def candidate_clusters(reps: DataFrame) -> DataFrame:
             rows = large.join(reps.hint("merge"), "rep").select("node", "rep", "tokens").mapInArrow(_branches, "node long, rep long")
         else:
             found.append(large.select(F.col("label").alias("a"), F.col("low").alias("b")).distinct())
-    out = components(_union(found))
+    out = components(_union(found), block=BLOCK_EDGES)
     for x in old:
         drop_written(x)
     return out
@@ -325,7 +327,7 @@ def _large_links(docs: DataFrame, large: DataFrame) -> DataFrame:
     everywhere = leaders.select("cluster", F.explode(F.sequence(F.lit(0), F.col("l.n_blocks") - 1)).alias("i"), F.lit(-1).alias("j"), F.col("l.rep").alias("rep"))
     own = large.select("cluster", F.col("own").alias("i"), F.lit(-1).alias("j"), "rep")
     first = written(_decided(docs, written(own.unionByName(everywhere).distinct())))
-    roots = components(first)
+    roots = components(first, block=BLOCK_EDGES)
     named = written(large.join(roots.hint("merge"), large.rep == roots.v, "left").select("cluster", "rep", "n_shingles", F.coalesce("root", "rep").alias("part")))
     counts = named.groupBy("cluster", "part").agg(F.count("*").alias("n"))
     main = written(counts.groupBy("cluster").agg(F.max_by("part", F.struct("n", "part")).alias("main")))
@@ -352,7 +354,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     large = blocks.where("n_blocks > 1").drop("side")
     if not large.isEmpty():
         links = links.unionByName(_large_links(docs, large))
-    roots = written(components(links))
+    roots = written(components(links, block=BLOCK_EDGES))
     named = classes.join(roots, classes.rep == roots.v, "left").select(classes.digest, F.coalesce("root", "rep").alias("component_id"))
     out = rows.select("doc_id", "n_shingles", "digest").join(named.hint("merge"), "digest", "left")
     return out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))

@@ -131,16 +131,65 @@ def _with_least(edges: DataFrame, hub: int) -> tuple[DataFrame, DataFrame]:
     return hubs.unionByName(rest), low.select("a", "m")
 
 
-def components(edges: DataFrame, most_rounds: int = 1000, hubs: int = 1000) -> DataFrame:
+def _with_roots(now: DataFrame) -> DataFrame:
+    """v, root of stars (a, b), the roots included."""
+    return now.select(F.col("a").alias("v"), F.col("b").alias("root")).unionByName(now.select(F.col("b").alias("v"), F.col("b").alias("root")).distinct())
+
+
+def stars(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Every vertex of the edges (a, b) but the smallest of its component, and that smallest one."""
+    ids, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    x, y = at[: len(a)], at[len(a) :]
+    label = np.arange(len(ids))
+    while len(x := x[(differ := label[x] != label[y])]):
+        y = y[differ]
+        np.minimum.at(label, np.maximum(label[x], label[y]), np.minimum(label[x], label[y]))
+        while not np.array_equal(label, label[label]):
+            label = label[label]
+    other = label != np.arange(len(ids))
+    return ids[other], ids[label[other]]
+
+
+def _contract(block: int):
+    def contract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The stars of each `block` edges of a task."""
+        held, n = [], 0
+
+        def done() -> pa.RecordBatch:
+            a, b = stars(*(np.concatenate(x) for x in zip(*held)))
+            return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+        for batch in batches:
+            for k in range(0, batch.num_rows, block):
+                part = batch.slice(k, block)
+                held.append((part.column("a").to_numpy(), part.column("b").to_numpy()))
+                n += part.num_rows
+                if n >= block:
+                    yield done()
+                    held, n = [], 0
+        if held:
+            yield done()
+
+    return contract
+
+
+def components(edges: DataFrame, most_rounds: int = 1000, hubs: int = 1000, block: int = 0) -> DataFrame:
     """Vertex `v` and smallest reachable vertex `root` for every end of `edges` (a, b: long).
 
-    Alternates large-star and small-star steps: each is one aggregation with map-side combining and one join on the
-    vertex. A vertex with over 1 / `hubs` of all edges (2 * `hubs` at most) is joined by broadcast, so that no task has
-    more edges of one vertex than that share or 1000. Rounds are written to the shared folder; they end when a round
-    changes nothing; RuntimeError if `most_rounds` were not enough.
+    With a `block`, each task first contracts its edges to stars, `block` of them at a time, without a shuffle; where
+    `block` edges or fewer are left, these are contracted once more and there are no rounds. Rounds alternate large-star
+    and small-star steps: each is one aggregation with map-side combining and one join on the vertex. A vertex with over
+    1 / `hubs` of all edges (2 * `hubs` at most) is joined by broadcast, so that no task has more edges of one vertex
+    than that share or 1000. Rounds are written to the shared folder; they end when a round changes nothing;
+    RuntimeError if `most_rounds` were not enough.
     """
-    now = written(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+    pairs = edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
+    now = written(pairs.mapInArrow(_contract(block), "a long, b long") if block else pairs.distinct())
     mark, count = None, now.count()
+    if count <= block:
+        settled = written(now.coalesce(1).mapInArrow(_contract(2 * block), "a long, b long"))
+        drop_written(now)
+        return _with_roots(settled)
     for _ in range(most_rounds):
         hub = max(1000, count // hubs)
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
@@ -157,4 +206,4 @@ def components(edges: DataFrame, most_rounds: int = 1000, hubs: int = 1000) -> D
         mark, count = seen, seen[0]
     else:
         raise RuntimeError(f"unfinished after {most_rounds} rounds")
-    return now.select(F.col("a").alias("v"), F.col("b").alias("root")).unionByName(now.select(F.col("b").alias("v"), F.col("b").alias("root")).distinct())
+    return _with_roots(now)

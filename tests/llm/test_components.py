@@ -1,7 +1,10 @@
 """Rounds of connected components end with whole results or with an error."""
 
+import random
+
 import pytest
 
+from granary.llm import shared
 from granary.llm.shared import components
 
 
@@ -10,3 +13,14 @@ def test_components_raise_when_unfinished(spark):
     assert {(r.v, r.root) for r in components(edges).collect()} == {(k, 0) for k in range(13)}
     with pytest.raises(RuntimeError):
         components(edges, most_rounds=2)
+
+
+def test_blocks_of_edges_are_contracted_without_rounds(spark, monkeypatch):
+    r = random.Random(5)
+    edges = [(a, a + r.randint(1, 9)) for a in r.sample(range(4000), 1500)] + [(7, 7), (0, 3999)]
+    plain = {(x.v, x.root) for x in shared.components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    for block in (1, 300):  # too many edges are left for one block: rounds follow
+        assert {(x.v, x.root) for x in shared.components(spark.createDataFrame(edges, "a long, b long"), block=block).collect()} == plain
+    monkeypatch.setattr(shared, "_with_least", None)
+    assert {(x.v, x.root) for x in shared.components(spark.createDataFrame(edges, "a long, b long"), block=2000).collect()} == plain
+    assert shared.components(spark.createDataFrame([], "a long, b long"), block=2000).count() == 0
