@@ -8,9 +8,10 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from granary.operators.relational import beside, upsert
-from granary.operators.storage import saved
+from granary.operators.storage import rows_before, saved
 
 
 def chunk(files: DataFrame, key: str, content: str, size: int) -> DataFrame:
@@ -161,8 +162,17 @@ def apply_cache(mapping: DataFrame, objects: DataFrame, cached: DataFrame) -> tu
 
 
 def verify_in_order(objects: DataFrame, skip: int = 0, key: str = "id") -> DataFrame:
-    """Objects in the order of their keys without the first `skip`: where an interrupted verification goes on."""
-    return objects.orderBy(key).offset(skip)
+    """Objects in the order of their keys without the first `skip`: where an interrupted verification goes on.
+
+    Rows are dealt into ranges of keys. Ranges before the place to go on are left out whole, those after it kept whole,
+    and only the range that holds it is numbered, so no task gets more than its range.
+    """
+    ranges = saved(objects.repartitionByRange(key).withColumn("_range", F.spark_partition_id()))
+    placed = ranges.join(F.broadcast(rows_before(ranges)), "_range")
+    split = placed.where((F.col("_before") < skip) & (F.col("_before") + F.col("_rows") > skip))
+    split = split.withColumn("_at", F.row_number().over(Window.partitionBy("_range").orderBy(key))).where(F.col("_before") + F.col("_at") > skip)
+    rest = placed.where(F.col("_before") >= skip).unionByName(split.drop("_at"))
+    return rest.select(*objects.columns).orderBy(key)
 
 
 def dedup_stats(blocks: DataFrame, files: DataFrame) -> DataFrame:

@@ -41,6 +41,12 @@ def _remove(spark: SparkSession, path: str) -> None:
         pass
 
 
+def rows_before(ranges: DataFrame) -> DataFrame:
+    """_range, _rows (its rows) and _before (rows of the ranges before it) of rows dealt into numbered ranges."""
+    sizes = ranges.groupBy("_range").agg(F.count("*").alias("_rows"))
+    return sizes.withColumn("_before", F.sum("_rows").over(Window.orderBy("_range")) - F.col("_rows"))
+
+
 def assign_ids(df: DataFrame, order: list[str], column: str = "id", after: int = 0) -> DataFrame:
     """Dense ids after `after` in the order of `order`, without sorting all rows in one task.
 
@@ -48,7 +54,5 @@ def assign_ids(df: DataFrame, order: list[str], column: str = "id", after: int =
     range. The high-water mark `after` is the caller's, so that ids are never reused.
     """
     ranges = saved(df.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()))
-    sizes = ranges.groupBy("_range").count()
-    before = sizes.select("_range", (F.sum("count").over(Window.orderBy("_range")) - F.col("count")).alias("_before"))
     inside = F.row_number().over(Window.partitionBy("_range").orderBy(*order))
-    return ranges.withColumn("_at", inside).join(before, "_range").withColumn(column, (F.lit(after) + F.col("_before") + F.col("_at")).cast("long")).drop("_range", "_before", "_at")
+    return ranges.withColumn("_at", inside).join(F.broadcast(rows_before(ranges).drop("_rows")), "_range").withColumn(column, (F.lit(after) + F.col("_before") + F.col("_at")).cast("long")).drop("_range", "_before", "_at")

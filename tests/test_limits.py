@@ -1,8 +1,13 @@
 """Loops over levels and rounds end with whole results or with an error."""
 
+import random
+
 import pytest
 
-from granary.operators import tree
+from granary.operators import content
+from pyspark.sql import functions as F
+
+from granary.operators import content, tree
 from granary.plans import catalogue
 
 
@@ -19,3 +24,17 @@ def test_turns_stay_in_their_conversation(spark, tmp_path):
     spark.createDataFrame(rows, "conv_id long, turn int, role string").write.parquet(f"{tmp_path}/conversations.parquet")
     got = {tuple(r) for r in catalogue.QUERIES["path_of"](spark, str(tmp_path)).collect()}
     assert got == {(1, 0, ""), (1, 1, "/b"), (2, 0, "")}
+
+
+def test_a_verification_goes_on_without_one_task_of_all_rows(spark):
+    keys = [None, *range(400)]
+    objects = spark.createDataFrame([(k, str(k)) for k in random.Random(3).sample(keys, len(keys))], "id int, name string").repartition(4)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        for skip in (0, 1, 150, 400, 401, 900):
+            got = content.verify_in_order(objects, skip)
+            assert [(r.id, r.name) for r in got.collect()] == [(k, str(k)) for k in keys[skip:]]
+        parts = content.verify_in_order(objects, 10).groupBy(F.spark_partition_id()).count().collect()
+        assert len(parts) > 1
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
