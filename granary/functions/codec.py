@@ -14,10 +14,11 @@ import lzma
 import zlib
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute  # noqa: F401 - pa.compute
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.functions import pandas_udf
+from pyspark.sql.functions import arrow_udf
 
 FORMAT_VERSION = 2
 ALGORITHMS = ("none", "zlib", "bzip2", "lzma")
@@ -51,23 +52,58 @@ def decompress_bytes(data: bytes, algorithm: str) -> tuple[bytes | None, str | N
     return (None, "trailing data") if d.unused_data else (out, None)
 
 
+def parts_of(column: pa.Array, most: int = 1 << 20) -> Iterator[tuple[int, int]]:
+    """Start and length of runs of values with about `most` bytes each (a longer value comes alone).
+
+    Only what is made of one run is held beside a batch, however many rows Spark puts into it.
+    """
+    start = size = 0
+    for k, n in enumerate(pa.compute.binary_length(column).to_pylist()):
+        if k > start and size + (n or 0) > most:
+            yield start, k - start
+            start, size = k, 0
+        size += n or 0
+    if start < len(column):
+        yield start, len(column) - start
+
+
+def _each(function, kind: pa.DataType):
+    """An Arrow function of one binary column that applies `function` to each value; null stays null."""
+
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for column in batches:
+            if not len(column):
+                yield pa.array([], kind)
+            for start, n in parts_of(column):
+                yield pa.array((None if b is None else function(b) for b in _values(column, start, n)), kind)
+
+    return run
+
+
+def _values(column: pa.Array, start: int, n: int) -> Iterator[object]:
+    return (column[k].as_py() for k in range(start, start + n))
+
+
 def compress(data: Column, algorithm: str, level: int = 6) -> Column:
-    @pandas_udf("binary")
-    def run(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for s in parts:
-            yield s.map(lambda b: None if b is None else compress_bytes(bytes(b), algorithm, level))
+    @arrow_udf("binary")
+    def run(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        return _each(lambda b: compress_bytes(b, algorithm, level), pa.binary())(parts)
 
     return run(data)
 
 
 def decompress(data: Column, algorithm: Column) -> Column:
     """struct(data, error); never fails for a row."""
+    kind = pa.struct([("data", pa.binary()), ("error", pa.string())])
 
-    @pandas_udf("data binary, error string")
-    def run(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
-        for s, a in parts:
-            rows = [(None, "missing") if b is None else decompress_bytes(bytes(b), k) for b, k in zip(s, a)]
-            yield pd.DataFrame(rows, columns=["data", "error"])
+    @arrow_udf("data binary, error string")
+    def run(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        for s, a in batches:
+            if not len(s):
+                yield pa.array([], kind)
+            for start, n in parts_of(s):
+                rows = ((None, "missing") if b is None else decompress_bytes(b, k) for b, k in zip(_values(s, start, n), _values(a, start, n)))
+                yield pa.array(({"data": d, "error": e} for d, e in rows), kind)
 
     return run(data, algorithm)
 
@@ -75,10 +111,9 @@ def decompress(data: Column, algorithm: Column) -> Column:
 def keyed_digest(key: bytes, data: Column) -> Column:
     """HMAC-SHA256 in hex; a function, as an expression of `sha2` would show the key in plans and event logs."""
 
-    @pandas_udf("string")
-    def run(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for s in parts:
-            yield s.map(lambda b: None if b is None else hmac.new(key, bytes(b), hashlib.sha256).hexdigest())
+    @arrow_udf("string")
+    def run(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        return _each(lambda b: hmac.new(key, b, hashlib.sha256).hexdigest(), pa.string())(parts)
 
     return run(data.cast("binary"))
 
@@ -86,10 +121,9 @@ def keyed_digest(key: bytes, data: Column) -> Column:
 def _object_key(passphrase: str, nonce: Column) -> Column:
     """The key of an object. A function and not an expression, so that plans and event logs don't show the passphrase."""
 
-    @pandas_udf("binary")
-    def derive(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for s in parts:
-            yield s.map(lambda n: None if n is None else hashlib.sha256(passphrase.encode() + bytes(n)).digest())
+    @arrow_udf("binary")
+    def derive(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        return _each(lambda n: hashlib.sha256(passphrase.encode() + n).digest(), pa.binary())(parts)
 
     return derive(nonce)
 

@@ -1,6 +1,7 @@
 import os
 import random
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -22,6 +23,18 @@ def test_round_trip(objects, algorithm, phrase):
     assert {(r.key, bytes(r.data), r.error) for r in back.collect()} == {(r.key, bytes(r.data), None) for r in objects.collect()}
 
 
+def test_batches_of_many_bytes_are_taken_in_parts(spark):
+    """What is made of a batch leaves the worker in parts, however many rows the batch has."""
+    column = pa.array([b"a" * 700, None, b"", b"b" * 400, b"c" * 3000, b"d"], pa.binary())
+    assert list(codec.parts_of(column, 1000)) == [(0, 3), (3, 1), (4, 1), (5, 1)]
+    parts = list(codec._each(len, pa.int64())(iter([column.slice(1), column.slice(0, 0)])))
+    assert [p.to_pylist() for p in parts] == [[None, 0, 400, 3000, 1], []]
+    rows = [(k, None if k % 7 == 0 else bytes([k % 251]) * 20_000) for k in range(300)]
+    data = spark.createDataFrame(rows, "k int, data binary").coalesce(1)
+    back = data.select("k", codec.decompress(codec.compress(F.col("data"), "zlib", 1), F.lit("zlib")).alias("d")).select("k", "d.*")
+    assert {r.k: (r.data and bytes(r.data), r.error) for r in back.collect()} == {k: (d, None if d else "missing") for k, d in rows}
+
+
 def test_damage_is_refused(spark, objects):
     one = objects.where("key = 'data_7'")
 
