@@ -355,13 +355,20 @@ def checks(block_size: int, listing: DataFrame | None = None) -> list[Check]:
 
 
 def run_checks(t: Tables, block_size: int, listing: DataFrame | None = None, repair: bool = True) -> tuple[Tables, dict[str, int]]:
-    """Tables after all repairs, and the number of violations each check found."""
+    """Tables after all repairs, and the number of violations each check found.
+
+    A repair's new tables are written, those it did not touch stay as they are. Without repairs all checks see the same
+    tables, and one job counts what they find.
+    """
+    if not repair:
+        counts = [check.detect(t).agg(F.count("*").alias("n")).select(F.lit(check.name).alias("name"), "n") for check in checks(block_size, listing)]
+        n = dict(map(tuple, reduce(DataFrame.unionByName, counts).collect()))
+        return t, {check.name: n[check.name] for check in checks(block_size, listing)}
     found = {}
     for check in checks(block_size, listing):
-        bad = saved(check.detect(t))
+        bad = check.detect(t) if check.repair is None else saved(check.detect(t))
         found[check.name] = bad.count()
-        if repair and found[check.name] and check.repair:
-            t = check.repair(t, bad)
-            t = Tables(**{name: saved(df) for name, df in t.items()})
+        if found[check.name] and check.repair:
+            mended = check.repair(t, bad)
+            t = Tables(**{name: df if df is getattr(t, name) else saved(df) for name, df in mended.items()})
     return t, found
-

@@ -129,3 +129,15 @@ def test_tree_operations_leave_consistent_tables(spark):
 def test_catalogue_tables_are_clean_after_repair(spark):
     t = _url_tables(spark, SF)
     assert checks.detect_lost_found(t).count() == 1
+
+
+def test_repairs_write_only_what_they_change(spark, monkeypatch):
+    t = init_tables(spark)
+    t = t.with_(names=t.names.withColumn("refcount", F.lit(7).cast("long")))
+    written = []
+    monkeypatch.setattr(checks, "saved", lambda df, plain=checks.saved: written.append(df) or plain(df))
+    mended, found = checks.run_checks(t, 1024)
+    assert {k: n for k, n in found.items() if n} == {"names refcount": 1}
+    assert [name for name, df in mended.items() if df is not getattr(t, name)] == ["names"]
+    written.clear()
+    assert set(checks.run_checks(mended, 1024, repair=False)[1].values()) == {0} and not written
