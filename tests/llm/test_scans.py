@@ -264,6 +264,19 @@ def test_candidates_are_scored_whole(model):
         assert read == set(range(len(whole)))
 
 
+def test_every_document_teaches_the_network(spark):
+    """No document, finding or word is left out of the training, and how the rows are dealt changes nothing."""
+    key = lambda i: hashlib.sha1(b"%d" % i).hexdigest()
+    texts = [None, *(f"see file-{i:06d}.txt and file-{i:06d}.txt only token = {key(i)} words without" for i in range(3500))]
+    df = docs(spark, texts)
+    rows = secrets.labelled_passages(df.repartition(3)).collect()
+    assert len(rows) == 7000 and sum(r.label for r in rows) == 3500
+    assert {r.passage[24:64] for r in rows if r.label} == {key(i) for i in range(3500)}
+    few = df.where("doc_id < 40")
+    one, other = secrets.train(few.coalesce(1)), secrets.train(few.repartition(5))
+    assert one.threshold == other.threshold and all((one.p[k] == other.p[k]).all() for k in one.p)
+
+
 def test_threshold_follows_recall_alone():
     model = secrets.Network()
     model.logits = lambda x: x[:, 0].astype(float)
