@@ -176,16 +176,21 @@ def _contract(block: int):
 def components(edges: DataFrame, most_rounds: int = 1000, hubs: int = 1000, block: int = 0) -> DataFrame:
     """Vertex `v` and smallest reachable vertex `root` for every end of `edges` (a, b: long).
 
-    With a `block`, each task first contracts its edges to stars, `block` of them at a time, without a shuffle; where
-    `block` edges or fewer are left, these are contracted once more and there are no rounds. Rounds alternate large-star
-    and small-star steps: each is one aggregation with map-side combining and one join on the vertex. A vertex with over
+    With a `block`, edges are first contracted to stars, `block` of them at a time, without a shuffle; where `block`
+    edges or fewer are left, these are contracted once more and there are no rounds. The edges are written before that:
+    they come from Python steps, and a second one in the same stage doubles the Python workers of an executor, which
+    keep their memory for later stages. Rounds alternate large-star and small-star steps: each is one aggregation with map-side combining and one join on the vertex. A vertex with over
     1 / `hubs` of all edges (2 * `hubs` at most) is joined by broadcast, so that no task has more edges of one vertex
     than that share or 1000. Rounds are written to the shared folder; they end when a round changes nothing;
     RuntimeError if `most_rounds` were not enough.
     """
     pairs = edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    now = written(pairs.mapInArrow(_contract(block), "a long, b long") if block else pairs.distinct())
+    now = written(pairs if block else pairs.distinct())
     mark, count = None, now.count()
+    if count > block > 0:
+        contracted = written(now.mapInArrow(_contract(block), "a long, b long"))
+        drop_written(now)
+        now, count = contracted, contracted.count()
     if count <= block:
         settled = written(now.coalesce(1).mapInArrow(_contract(2 * block), "a long, b long"))
         drop_written(now)

@@ -24,3 +24,27 @@ def test_blocks_of_edges_are_contracted_without_rounds(spark, monkeypatch):
     monkeypatch.setattr(shared, "_with_least", None)
     assert {(x.v, x.root) for x in shared.components(spark.createDataFrame(edges, "a long, b long"), block=2000).collect()} == plain
     assert shared.components(spark.createDataFrame([], "a long, b long"), block=2000).count() == 0
+
+
+def test_contraction_shares_no_stage_with_the_step_before(spark, monkeypatch):
+    """Two Python steps in one stage take twice the Python workers, whose memory an executor keeps."""
+    plans, write = [], shared.written
+    monkeypatch.setattr(shared, "written", lambda df: plans.append(python_steps(df)) or write(df))
+    edges = spark.range(600).selectExpr("id AS a", "id + 1 AS b").mapInArrow(lambda batches: batches, "a long, b long")
+    for block in (100, 5000):
+        plans.clear()
+        assert {r.root for r in components(edges, block=block).collect()} == {0}
+        assert max(plans) == 1
+
+
+def python_steps(df):
+    """The most Python steps that one stage of the plan has."""
+
+    def walk(node, above):
+        name = node.nodeName()
+        here = 0 if "Exchange" in name else above + (name == "MapInArrow")
+        below = node.children()
+        return max([here, *(walk(below.apply(k), here) for k in range(below.size()))])
+
+    plan = df._jdf.queryExecution().executedPlan()
+    return walk(plan.initialPlan() if plan.nodeName() == "AdaptiveSparkPlan" else plan, 0)
