@@ -116,3 +116,17 @@ def test_query_columns(spark, tmp_path):
     got = {r.doc_id: r for r in op8_suffix_dedup(spark, str(tmp_path)).collect()}
     assert (got[1].kept, got[1].n_kept, got[1].spans) == (False, 0, "0:600")
     assert (got[2].kept, got[2].n_kept, got[2].spans) == (True, 10, "") and got[3].n_kept == 0
+
+
+def test_a_shared_passage_of_over_fifty_words_goes_if_it_has_400_bytes(spark, tmp_path):
+    from granary.llm.queries import op8_suffix_dedup
+
+    rng = random.Random(4)
+    words = lambda n, size: " ".join("".join(rng.choice("abcdefgh") for _ in range(size)) for _ in range(n))
+    long, short = words(55, 8), words(55, 5)
+    texts = [words(80, 7) + "\n" + p + "\n" + words(80, 7) for p in (long, long, short, short)] + [words(200, 7)]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r.doc_id: r for r in op8_suffix_dedup(spark, str(tmp_path)).collect()}
+    assert len(short) < sd.LENGTH < len(long)
+    assert [got[k].kept for k in range(5)] == [False, False, True, True, True]
+    assert all(got[k].n_removed >= len(long) for k in (0, 1)) and all(got[k].n_kept == len(texts[k]) for k in (2, 3, 4))
