@@ -45,7 +45,7 @@ def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = substring_dedup.repeated_bytes(table(spark, sf_dir, "documents"))
     text = F.array_join(F.transform("spans", lambda x: F.concat_ws(":", x["at"].cast("string"), x["to"].cast("string"))), ",")
-    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", (F.col("n_removed") == 0).alias("kept"), (F.col("n_bytes") - F.col("n_removed")).alias("n_kept"), text.alias("spans"))
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", (F.col("n_removed") == 0).alias("kept"), (F.col("n_bytes") - F.col("n_removed")).alias("n_kept"), text.alias("spans"), "n_shared_passages")
 
 
 def op9_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:

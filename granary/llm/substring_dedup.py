@@ -18,6 +18,11 @@ Every byte that a LENGTH-byte string covers which also starts elsewhere is remov
    windows meet again, in parts that are indexed in the same way, and split again where they are still hot. A part of a
    single window start holds equal windows only, so the splitting ends.
 
+Beside the bytes, documents that hold a passage of PASSAGE words (over fifty) which another document holds too are found
+in the same way, whatever its length in bytes and the white space between its words: a window of PASSAGE words has as
+anchor the run of RUN words of smallest hash, and windows around anchors that several texts have are compared. Such a
+passage of under LENGTH bytes is counted (n_shared_passages), not removed.
+
 Marks return to their texts by joins; a text meets its own marks only. Hashes have 64 bits and decide equal segments
 and parts; bytes decide step 2. Null is empty. Texts under LENGTH bytes lose nothing, a repeated row is a repeat, an empty
 table gives no rows, and other columns are ignored. A very long text is scanned alone; its segments are rows of their own.
@@ -34,22 +39,29 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from granary.llm.shared import by_bytes, drop_written, mix, runs_of, text_bytes, written
-from granary.llm.shingles import BASE, BASE_INVERSE, BYTE_VALUE, _power
+from granary.llm.shingles import BASE, BASE_INVERSE, BYTE_VALUE, _power, words
 
 LENGTH = 400
 ANCHOR = 192
+PASSAGE = 51
+RUN = 18
 HOT = 4096
 BLOCK = 1 << 20
 
 
 def window_hashes(data: np.ndarray, width: int) -> np.ndarray:
     """Hash of each run of `width` bytes."""
-    n = len(data) - width + 1
-    if n < 1:
-        return np.zeros(0, np.uint64)
-    total = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(BYTE_VALUE[data] * _power("up", BASE, len(data)), out=total[1:])
-    return mix((total[width:] - total[:-width]) * _power("down", BASE_INVERSE, len(data))[:n])
+    return _run_hashes(BYTE_VALUE[data], width)[0]
+
+
+def _run_hashes(values: np.ndarray, *widths: int) -> list[np.ndarray]:
+    """Hash of each run of each width of values."""
+    n = len(values)
+    if n < min(widths):
+        return [np.zeros(0, np.uint64)] * len(widths)
+    total = np.zeros(n + 1, np.uint64)
+    np.cumsum(values * _power("up", BASE, n), out=total[1:])
+    return [mix((total[w:] - total[: n + 1 - w]) * _power("down", BASE_INVERSE, n)[: n - w + 1]) if n >= w else np.zeros(0, np.uint64) for w in widths]
 
 
 def _sliding(values: np.ndarray, width: int, pick) -> np.ndarray:
@@ -86,21 +98,38 @@ def stretches(at: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np
     return at[start], at[np.append(start[1:], len(at))[: len(start)] - 1], h[start]
 
 
+def passages(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Number of words of each row; row, hash and anchor of every window of PASSAGE words inside a row."""
+    n_rows = len(offsets) - 1
+    _, _, row, h = words(data, offsets, lower=False)
+    count = np.bincount(row, minlength=n_rows)
+    run, window = _run_hashes(h, RUN, PASSAGE)
+    if not len(window):
+        return count, np.zeros(0, np.int64), *[np.zeros(0, np.uint64)] * 2
+    ok = np.flatnonzero(row[: len(window)] == row[PASSAGE - 1 :])
+    least = _sliding(run, PASSAGE - RUN + 1, np.minimum)
+    return count, row[ok], window[ok], least[ok]
+
+
 def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in by_bytes(batches, "text"):
         data, at = text_bytes(batch.column("text"))
         raw = data.tobytes()
         where, until, what, sha = [], [], [], []
-        for a, b in zip(at.tolist(), at[1:].tolist()):
+        n_words, row, _, least = passages(data, at)
+        cut = np.searchsorted(row, np.arange(len(at))).tolist()
+        for k, (a, b) in enumerate(zip(at.tolist(), at[1:].tolist())):
             sha.append(hashlib.sha256(raw[a:b]).digest())
             p, h = anchors(data[a:b]) if b - a >= LENGTH else (np.zeros(0, np.int64), np.zeros(0, np.uint64))
             first, last, h = stretches(p, h)
-            where.append(first)
-            until.append(last)
-            what.append(h)
-        cut = pa.array(np.concatenate([[0], np.cumsum([len(p) for p in where])]), pa.int32())
-        lists = [pa.ListArray.from_arrays(cut, pa.array(np.concatenate(x or [[]]).astype(np.uint64).view(np.int64), pa.int64())) for x in (what, where, until)]
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(np.diff(at)), pa.array(sha, pa.binary()), *lists], ["doc_id", "n_bytes", "sha", "anchors", "places", "lasts"])
+            runs = np.unique(least[cut[k] : cut[k + 1]])
+            none = np.full(len(runs), -1)  # anchors of words go by their hash alone
+            where += [first, none]
+            until += [last, none]
+            what += [h, runs]
+        cut = pa.array(np.concatenate([[0], np.cumsum([len(p) for p in where])])[::2], pa.int32())
+        lists = [pa.ListArray.from_arrays(cut, pa.array(np.concatenate(x or [[]]).astype(kind).view(np.int64), pa.int64())) for x, kind in ((what, np.uint64), (where, np.int64), (until, np.int64))]
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(np.diff(at)), pa.array(n_words, pa.int64()), pa.array(sha, pa.binary()), *lists], ["doc_id", "n_bytes", "n_words", "sha", "anchors", "places", "lasts"])
 
 
 def _segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -111,6 +140,8 @@ def _segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for sha, text, what, where, until in zip(*(batch.column(c).to_pylist() for c in ("sha", "text", "anchors", "places", "lasts"))):
             raw = text.encode()
             for h, p, q in zip(what, where, until):
+                if p < 0:
+                    continue
                 a, b = max(0, p - reach), min(len(raw), q + LENGTH)
                 out.append((h, sha, a, b, raw[a:b]))
         cols = list(zip(*out)) or [()] * 5
@@ -118,25 +149,49 @@ def _segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.binary()), pa.array(cols[2], pa.int64()), pa.array(keys, pa.int64()), pa.array(cols[4], pa.binary())], ["anchor", "sha", "start", "segment", "bytes"])
 
 
+_WINDOWS = "window long, text long, n long"
+
+
+def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """For each text, which has a number, the windows of PASSAGE words whose anchor is repeated, and how often it has each."""
+    for batch in by_bytes(batches, "text"):
+        _, row, window, least = passages(*text_bytes(batch.column("text")))
+        asked = batch.column("anchors").flatten().to_numpy()[batch.column("places").flatten().to_numpy() < 0]
+        ok = np.isin(least.view(np.int64), asked)
+        row, window = row[ok], window[ok].view(np.int64)
+        order = np.lexsort((window, row))
+        row, window = row[order], window[order]
+        new = np.ones(len(row), bool)
+        new[1:] = (row[1:] != row[:-1]) | (window[1:] != window[:-1])
+        start = np.flatnonzero(new)
+        cols = [window[start], batch.column("number").to_numpy()[row[start]], np.diff(start, append=len(row))]
+        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], [c.split()[0] for c in _WINDOWS.split(", ")])
+
+
 def suffix_order(text: np.ndarray, group: np.ndarray) -> tuple[np.ndarray, list[tuple[int, np.ndarray]]]:
     """Suffixes sorted inside each group (groups in a row), and the rank of each by its first 4, 8, 16 ... symbols."""
     n = len(text)
     key = group.astype(np.uint64) << np.uint64(36)
     for k in range(4):
         key[: n - k] |= text[k:].astype(np.uint64) << np.uint64(27 - 9 * k)
-    width, ranks = 4, []
+    left, width, ranks = np.arange(n), 4, []
+    rank = np.zeros(n, np.int64)  # the place of the first of equals, so a suffix like no other keeps its own
     while True:
-        order = np.argsort(key, kind="stable")
-        sorted_key = key[order]
-        step = np.concatenate([[0], np.cumsum(sorted_key[1:] != sorted_key[:-1])])
-        rank = np.empty(n, np.int64)
-        rank[order] = step
+        order = np.argsort(key)
+        left, key, old = left[order], key[order], rank[left[order]]
+        first, new = (np.concatenate([[True], x[1:] != x[:-1]]) for x in (old, key))
+        at = np.arange(len(left))
+        rank[left] = old + np.maximum.accumulate(np.where(new, at, 0)) - np.maximum.accumulate(np.where(first, at, 0))
         ranks.append((width, rank.astype(np.int32)))
-        if step[-1] == n - 1:
+        left = left[~(new & np.append(new[1:], True))]
+        if not len(left):
+            order = np.empty(n, np.int64)
+            order[rank] = np.arange(n)
             return order, ranks
-        following = np.zeros(n, np.int64)
-        following[: n - width] = rank[width:] + 1
-        key = (rank * (n + 2) + following).astype(np.uint64)
+        following = np.zeros(len(left), np.int64)
+        inside = left + width < n
+        following[inside] = rank[left[inside] + width] + 1
+        key = rank[left] * (n + 2) + following
         width *= 2
 
 
@@ -304,17 +359,29 @@ def _all_marks(segments: DataFrame) -> DataFrame:
     return marks.unionByName(own.select("anchor", "segment", (F.col("offset") + F.col("at")).alias("at"), (F.col("offset") + F.col("to")).alias("to")))
 
 
+def _shared_passages(texts: DataFrame) -> DataFrame:
+    """sha, n_shared_passages of each text that shares a window of PASSAGE words with another text."""
+    number = F.xxhash64("sha").alias("number")
+    windows = written(texts.select(number, "text", "anchors", "places").mapInArrow(_windows, _WINDOWS))
+    shared = written(windows.groupBy("window").agg(F.min("text").alias("a"), F.max("text").alias("b")).where("a < b").select("window"))
+    found = windows.join(shared.hint("merge"), "window").groupBy(F.col("text").alias("number")).agg(F.sum("n").alias("n_shared_passages"))
+    return texts.select("sha", number).join(found.hint("merge"), "number").drop("number")
+
+
 def repeated_bytes(docs: DataFrame) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256, spans (removed bytes: at, to) of every document."""
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256, spans (removed bytes: at, to), n_shared_passages of every document.
+
+    n_shared_passages counts the words at which a passage of PASSAGE words starts that another document holds too.
+    """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    rows = written(docs.mapInArrow(_scan, "doc_id long, n_bytes long, sha binary, anchors array<long>, places array<long>, lasts array<long>"))
+    rows = written(docs.mapInArrow(_scan, "doc_id long, n_bytes long, n_words long, sha binary, anchors array<long>, places array<long>, lasts array<long>"))
     classes = rows.groupBy("sha").agg(F.count("*").alias("copies"), F.first("n_bytes").alias("n_bytes"), F.first("anchors").alias("anchors"), F.first("places").alias("places"), F.first("lasts").alias("lasts"))
-    places = classes.where(F.col("n_bytes") >= LENGTH).select("sha", F.explode(F.arrays_zip("anchors", "places", "lasts")).alias("x")).select("sha", F.col("x.anchors").alias("anchor"), F.col("x.places").alias("place"), F.col("x.lasts").alias("last"))
+    places = classes.select("sha", F.explode(F.arrays_zip("anchors", "places", "lasts")).alias("x")).select("sha", F.col("x.anchors").alias("anchor"), F.col("x.places").alias("place"), F.col("x.lasts").alias("last"))
     # written, so that adaptive execution can split the join's hot anchors: it can't where an aggregate feeds a join
     often = written(places.groupBy("anchor").agg(F.sum(F.when(F.col("last") > F.col("place"), 2).otherwise(1)).alias("n")).where("n > 1").select("anchor"))
     asked = places.join(often.hint("merge"), "anchor").groupBy("sha").agg(F.collect_list(F.struct("anchor", "place", "last")).alias("a"))
     asked = asked.select("sha", F.col("a.anchor").alias("anchors"), F.col("a.place").alias("places"), F.col("a.last").alias("lasts"))
-    texts = docs.where(F.octet_length("text") >= LENGTH).select(F.unhex(F.sha2("text", 256)).alias("sha"), "text")
+    texts = docs.where(F.octet_length("text") >= min(LENGTH, 2 * PASSAGE - 1)).select(F.unhex(F.sha2("text", 256)).alias("sha"), "text")
     asked_texts = written(texts.join(asked.hint("merge"), "sha").groupBy("sha").agg(F.first("text").alias("text"), F.first("anchors").alias("anchors"), F.first("places").alias("places"), F.first("lasts").alias("lasts")))
     occurrences = written(asked_texts.mapInArrow(_segments, "anchor long, sha binary, start long, segment long, bytes binary"))
     segments = written(occurrences.groupBy("anchor", "segment").agg(F.count("*").alias("copies"), F.first("bytes").alias("bytes")))
@@ -325,8 +392,8 @@ def repeated_bytes(docs: DataFrame) -> DataFrame:
     own = own.groupBy("sha").agg(F.collect_set(F.struct((F.col("start") + F.col("at")).alias("at"), (F.col("start") + F.col("to")).alias("to"))).alias("marks"))
     cut = asked_texts.select("sha", "text").join(own.hint("merge"), "sha").mapInArrow(_cut, "sha binary, n_removed long, n_spans long, kept_sha256 string, spans array<struct<at: bigint, to: bigint>>")
     copies = rows.groupBy("sha").agg(F.count("*").alias("copies"))
-    known = written(copies.join(cut.hint("merge"), "sha", "left"))  # written for the same reason as `often`
-    out = rows.select("doc_id", "n_bytes", "sha").join(known.hint("merge"), "sha", "left")
+    known = written(copies.join(cut.hint("merge"), "sha", "left").join(_shared_passages(asked_texts).hint("merge"), "sha", "left"))  # written for the same reason as `often`
+    out = rows.select("doc_id", "n_bytes", "n_words", "sha").join(known.hint("merge"), "sha", "left")
     whole = (F.col("copies") > 1) & (F.col("n_bytes") >= LENGTH)
     return out.select(
         "doc_id",
@@ -335,4 +402,5 @@ def repeated_bytes(docs: DataFrame) -> DataFrame:
         F.when(whole, 1).otherwise(F.coalesce("n_spans", F.lit(0))).cast("long").alias("n_spans"),
         F.when(whole, hashlib.sha256(b"").hexdigest()).otherwise(F.coalesce("kept_sha256", F.lower(F.hex("sha")))).alias("kept_sha256"),
         F.when(whole, F.array(F.struct(F.lit(0).cast("long").alias("at"), F.col("n_bytes").alias("to")))).otherwise(F.coalesce("spans", F.array().cast("array<struct<at: bigint, to: bigint>>"))).alias("spans"),
+        F.when((F.col("copies") > 1) & (F.col("n_words") >= PASSAGE), F.col("n_words") - (PASSAGE - 1)).otherwise(F.coalesce("n_shared_passages", F.lit(0))).alias("n_shared_passages"),
     )

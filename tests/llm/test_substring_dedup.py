@@ -1,5 +1,6 @@
 import hashlib
 import random
+import re
 
 import numpy as np
 import pytest
@@ -130,3 +131,51 @@ def test_a_shared_passage_of_over_fifty_words_goes_if_it_has_400_bytes(spark, tm
     assert len(short) < sd.LENGTH < len(long)
     assert [got[k].kept for k in range(5)] == [False, False, True, True, True]
     assert all(got[k].n_removed >= len(long) for k in (0, 1)) and all(got[k].n_kept == len(texts[k]) for k in (2, 3, 4))
+
+
+def shared_passages(texts):
+    """Windows of 51 words that another text holds too, by a dictionary of all windows."""
+    split = [[w for w in re.split(r"[\x20\x09-\x0D]+", t or "") if w] for t in texts]
+    holders = {}
+    for k, w in enumerate(split):
+        for a in range(len(w) - 50):
+            holders.setdefault(tuple(w[a : a + 51]), set()).add(k)
+    return [sum(len(holders[tuple(w[a : a + 51])]) > 1 for a in range(len(w) - 50)) for w in split]
+
+
+def test_documents_that_share_over_fifty_words(spark, tmp_path):
+    from granary.llm.queries import op8_suffix_dedup
+
+    rng = random.Random(6)
+    words = lambda n, size=5: " ".join("".join(rng.choice("abcdefgé") for _ in range(size)) for _ in range(n))
+    passage, fifty, twice = words(51), words(50), words(60)
+    texts = [None, "", passage, words(80) + "\n" + passage + "\n" + words(80), words(30) + "\t" + passage.replace(" ", "\r\n") + " " + words(9)]
+    texts += [words(80) + " " + fifty + " " + words(80) for _ in range(2)] + [words(20) + " " + twice + " " + words(20) + " " + twice, words(200), passage.upper()]
+    same, tiny = words(70), words(51, 1)
+    texts += [same, same, words(3), words(50), tiny + " " + words(9), words(9) + " " + tiny, "er " * 4000, "er " * 51, "er " * 50, "er\n" * 300 + words(60)]
+    texts += [words(5) + " " + same[100:] + " " + words(5), words(60) + "\u00a0" + passage]
+    pool = [words(rng.choice([49, 50, 51, 52, 70, 150])) for _ in range(8)]
+    texts += [" ".join(x for _ in range(3) for x in (words(rng.randint(0, 40)), rng.choice(pool)[rng.choice([0, 0, 0, 6, 60]) :])) for _ in range(60)]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r.doc_id: r for r in op8_suffix_dedup(spark, str(tmp_path)).collect()}
+    assert len(passage.encode()) < sd.LENGTH and [got[k].n_removed for k in (2, 3, 4)] == [0, 0, 0]
+    assert [got[k].n_shared_passages for k in range(10)] == [0, 0, 1, 1, 1, 0, 0, 0, 0, 0]
+    assert [got[k].n_shared_passages for k in range(len(texts))] == shared_passages(texts)
+
+
+def test_suffix_order_like_plain_doubling():
+    """Only suffixes that others equal so far are sorted on; order and equal ranks are those of sorting all each time."""
+    rng = random.Random(8)
+    texts = [bytes(rng.choice(b"ab") for _ in range(rng.randint(1, 60))) for _ in range(20)] + [b"ab" * 90, b"a" * 130]
+    text = np.array([c for t in texts for c in (*(x + 1 for x in t), 0)], np.uint16)
+    group = np.repeat(np.arange(len(texts)) // 3, [len(t) + 1 for t in texts])
+    n, width = len(text), 4
+    key = [(int(group[a]), *text[a : a + 4].tolist()) for a in range(n)]
+    order, ranks = sd.suffix_order(text, group)
+    for got_width, got in ranks:
+        dense = {k: i for i, k in enumerate(sorted(set(key)))}
+        rank = [dense[k] for k in key]
+        assert got_width == width and [rank.index(r) for r in rank] == [got.tolist().index(r) for r in got.tolist()]
+        key = [(r, rank[a + width] + 1 if a + width < n else 0) for a, r in enumerate(rank)]
+        width *= 2
+    assert len(set(rank)) == n and order.tolist() == sorted(range(n), key=rank.__getitem__)
