@@ -361,11 +361,10 @@ def _all_marks(segments: DataFrame) -> DataFrame:
 
 def _shared_passages(texts: DataFrame) -> DataFrame:
     """sha, n_shared_passages of each text that shares a window of PASSAGE words with another text."""
-    number = F.xxhash64("sha").alias("number")
-    windows = written(texts.select(number, "text", "anchors", "places").mapInArrow(_windows, _WINDOWS))
+    windows = written(texts.select("number", "text", "anchors", "places").mapInArrow(_windows, _WINDOWS))
     shared = written(windows.groupBy("window").agg(F.min("text").alias("a"), F.max("text").alias("b")).where("a < b").select("window"))
     found = windows.join(shared.hint("merge"), "window").groupBy(F.col("text").alias("number")).agg(F.sum("n").alias("n_shared_passages"))
-    return texts.select("sha", number).join(found.hint("merge"), "number").drop("number")
+    return texts.select("sha", "number").join(found.hint("merge"), "number").drop("number")
 
 
 def repeated_bytes(docs: DataFrame) -> DataFrame:
@@ -376,13 +375,14 @@ def repeated_bytes(docs: DataFrame) -> DataFrame:
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     rows = written(docs.mapInArrow(_scan, "doc_id long, n_bytes long, n_words long, sha binary, anchors array<long>, places array<long>, lasts array<long>"))
     classes = rows.groupBy("sha").agg(F.count("*").alias("copies"), F.first("n_bytes").alias("n_bytes"), F.first("anchors").alias("anchors"), F.first("places").alias("places"), F.first("lasts").alias("lasts"))
-    places = classes.select("sha", F.explode(F.arrays_zip("anchors", "places", "lasts")).alias("x")).select("sha", F.col("x.anchors").alias("anchor"), F.col("x.places").alias("place"), F.col("x.lasts").alias("last"))
+    number = F.xxhash64("sha").alias("number")  # shuffled in place of sha; if two texts had one number, each would be asked for the anchors of both
+    places = classes.select(number, F.explode(F.arrays_zip("anchors", "places", "lasts")).alias("x")).select("number", F.col("x.anchors").alias("anchor"), F.col("x.places").alias("place"), F.col("x.lasts").alias("last"))
     # written, so that adaptive execution can split the join's hot anchors: it can't where an aggregate feeds a join
     often = written(places.groupBy("anchor").agg(F.sum(F.when(F.col("last") > F.col("place"), 2).otherwise(1)).alias("n")).where("n > 1").select("anchor"))
-    asked = places.join(often.hint("merge"), "anchor").groupBy("sha").agg(F.collect_list(F.struct("anchor", "place", "last")).alias("a"))
-    asked = asked.select("sha", F.col("a.anchor").alias("anchors"), F.col("a.place").alias("places"), F.col("a.last").alias("lasts"))
-    texts = docs.where(F.octet_length("text") >= min(LENGTH, 2 * PASSAGE - 1)).select(F.unhex(F.sha2("text", 256)).alias("sha"), "text")
-    asked_texts = written(texts.join(asked.hint("merge"), "sha").groupBy("sha").agg(F.first("text").alias("text"), F.first("anchors").alias("anchors"), F.first("places").alias("places"), F.first("lasts").alias("lasts")))
+    asked = places.join(often.hint("merge"), "anchor").groupBy("number").agg(F.collect_list(F.struct("anchor", "place", "last")).alias("a"))
+    asked = asked.select("number", F.col("a.anchor").alias("anchors"), F.col("a.place").alias("places"), F.col("a.last").alias("lasts"))
+    texts = docs.where(F.octet_length("text") >= min(LENGTH, 2 * PASSAGE - 1)).select(F.unhex(F.sha2("text", 256)).alias("sha"), "text").select("sha", number, "text")
+    asked_texts = written(texts.join(asked.hint("merge"), "number").groupBy("number", "sha").agg(F.first("text").alias("text"), F.first("anchors").alias("anchors"), F.first("places").alias("places"), F.first("lasts").alias("lasts")))
     occurrences = written(asked_texts.mapInArrow(_segments, "anchor long, sha binary, start long, segment long, bytes binary"))
     segments = written(occurrences.groupBy("anchor", "segment").agg(F.count("*").alias("copies"), F.first("bytes").alias("bytes")))
     start = [F.lit(n).cast("long").alias(c) for c, n in (("near", 0), ("far", LENGTH - ANCHOR), ("place", -1))]
